@@ -359,22 +359,23 @@ SELECT median(l_quantity) AS l_quantity, median(l_extendedprice) AS l_extendedpr
 CTES["s_lines"] = """
 SELECT d.doc_id // 4 AS tender_id, d.doc_id,
   CASE d.doc_id % 3 WHEN 0 THEN 'won' WHEN 1 THEN 'lost' ELSE 'other' END AS outcome,
-  coalesce(d.text, '') AS a, coalesce(e.text, '') AS b
+  sha256(coalesce(d.text, '')) AS a, sha256(coalesce(e.text, '')) AS b
 FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1
 """
 CTES["s_texts"] = """
-SELECT text, count(*) AS copies FROM (
-  SELECT DISTINCT a AS text, 1 AS side FROM s_lines UNION ALL SELECT DISTINCT b, 2 FROM s_lines) u GROUP BY text
+SELECT h, count(*) AS copies FROM (
+  SELECT DISTINCT a AS h, 1 AS side FROM s_lines UNION ALL SELECT DISTINCT b, 2 FROM s_lines) u GROUP BY h
 """
 CTES["s_tokens"] = """
-SELECT text, copies, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS t FROM s_texts
+SELECT h, copies, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS t
+FROM s_texts JOIN (SELECT DISTINCT text, sha256(text) AS h FROM documents) d USING (h)
 """
 CTES["s_terms"] = """
-SELECT text, copies, term, count(*) AS tf FROM (
-  SELECT text, copies, unnest(t) AS term FROM s_tokens
+SELECT h, copies, term, count(*) AS tf FROM (
+  SELECT h, copies, unnest(t) AS term FROM s_tokens
   UNION ALL
-  SELECT text, copies, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM s_tokens) g
-GROUP BY text, copies, term
+  SELECT h, copies, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM s_tokens) g
+GROUP BY h, copies, term
 """
 CTES["s_vocab"] = """
 SELECT row_number() OVER (ORDER BY occurrences DESC, term) - 1 AS term_id, term, n_texts, occurrences,
@@ -383,18 +384,19 @@ FROM (SELECT term, sum(copies)::bigint AS n_texts, sum(tf * copies)::bigint AS o
   HAVING sum(copies) >= 3 ORDER BY occurrences DESC, term LIMIT 30000) v
 """
 ORACLES["tfidf_vocab"] = f"SELECT term_id::int AS term_id, term, n_texts, occurrences, {up('idf')} AS idf FROM s_vocab"
-CTES["s_weights"] = "SELECT text, term, tf * idf AS w FROM s_terms JOIN s_vocab USING (term)"
-CTES["s_norms"] = "SELECT text, sqrt(sum(w * w)) AS norm FROM s_weights GROUP BY text"
+CTES["s_weights"] = "SELECT h, term_id, tf * idf AS w FROM s_terms JOIN s_vocab USING (term)"
+CTES["s_norms"] = "SELECT h, sqrt(sum(w * w)) AS norm FROM s_weights GROUP BY h"
+CTES["s_text_pairs"] = "SELECT DISTINCT a, b FROM s_lines"
 CTES["s_cosines"] = """
 SELECT p.a, p.b, coalesce(c.dot / (na.norm * nb.norm), 0.0) AS similarity
-FROM (SELECT DISTINCT a, b FROM s_lines) p
-LEFT JOIN (SELECT q.a, q.b, sum(x.w * y.w) AS dot FROM (SELECT DISTINCT a, b FROM s_lines) q
-  JOIN s_weights x ON x.text = q.a JOIN s_weights y ON y.text = q.b AND y.term = x.term GROUP BY q.a, q.b) c
+FROM s_text_pairs p
+LEFT JOIN (SELECT q.a, q.b, sum(x.w * y.w) AS dot FROM s_text_pairs q
+  JOIN s_weights x ON x.h = q.a JOIN s_weights y ON y.h = q.b AND y.term_id = x.term_id GROUP BY q.a, q.b) c
   ON c.a = p.a AND c.b = p.b
-LEFT JOIN s_norms na ON na.text = p.a LEFT JOIN s_norms nb ON nb.text = p.b
+LEFT JOIN s_norms na ON na.h = p.a LEFT JOIN s_norms nb ON nb.h = p.b
 """
 ORACLES["tfidf_pair_similarity"] = f"""
-SELECT sha256(a) AS a_hash, sha256(b) AS b_hash, {up('similarity')} AS similarity FROM s_cosines
+SELECT a AS a_hash, b AS b_hash, {up('similarity')} AS similarity FROM s_cosines
 """
 ORACLES["delta_similarity"] = f"""
 SELECT tender_id, {up('w')} AS sim_won_tfidf, {up('l')} AS sim_lost_tfidf, {up('w - l')} AS delta_sim_tfidf FROM (

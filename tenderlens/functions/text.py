@@ -40,13 +40,18 @@ def tokens(text: Column) -> Column:
 
 
 def one_two_grams(words: Column) -> Column:
-    """Each word and each pair of neighbouring words."""
-    pairs = F.zip_with(
-        F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+    """Each word and each pair of neighbouring words.
+
+    The one-element ``transform`` names the word array, so an expensive ``words``
+    expression runs once per row although three places use it.
+    """
+
+    def grams(w: Column) -> Column:
+        others = F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(w, 1, others), F.slice(w, 2, others), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(w, pairs)
+
+    return F.transform(F.array(words), grams)[0]
 
 
 def text_hash(text: Column) -> Column:

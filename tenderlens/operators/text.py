@@ -14,6 +14,7 @@ from tenderlens.config import LOST, WON, TextSettings
 from tenderlens.functions.text import one_two_grams, text_hash, tokens
 from tenderlens.functions.vectors import dense_dot, sparse_dot
 from tenderlens.operators.selection import keep_top
+from tenderlens.session import checkpointed
 
 SIDE_A, SIDE_B = "item_text", "offer_text"
 
@@ -26,9 +27,11 @@ def with_text_hashes(offers: DataFrame) -> DataFrame:
 def corpus(offers: DataFrame) -> DataFrame:
     """Distinct texts of both sides; ``copies`` is 2 for a text found on both.
 
-    The result is partitioned by text_hash, which the term counts below rely on to
-    avoid another shuffle.
+    Copies merge before the first shuffle. The second one spreads the distinct texts over
+    all tasks by ``slot``: cutting them into terms costs far more than their bytes
+    suggest, and the term counts below keep this partitioning instead of shuffling terms.
     """
+    tasks = int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = F.inline(F.array(
         F.struct(F.col("a_hash").alias("text_hash"), F.coalesce(SIDE_A, F.lit("")).alias("text"),
                  F.lit(1).alias("in_a"), F.lit(0).alias("in_b")),
@@ -39,14 +42,16 @@ def corpus(offers: DataFrame) -> DataFrame:
         offers.select(sides)
         .groupBy("text_hash")
         .agg(F.first("text").alias("text"), (F.max("in_a") + F.max("in_b")).alias("copies"))
+        .withColumn("slot", F.xxhash64("text_hash"))
+        .repartition(tasks, "slot")
     )
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """Occurrences of every 1-2-gram per text."""
     return (
-        texts.select("text_hash", "copies", F.explode(one_two_grams(tokens(F.col("text")))).alias("term"))
-        .groupBy("text_hash", "copies", "term")
+        texts.select("slot", "text_hash", "copies", F.explode(one_two_grams(tokens(F.col("text")))).alias("term"))
+        .groupBy("slot", "text_hash", "copies", "term")
         .agg(F.count("*").alias("tf"))
     )
 
@@ -79,9 +84,9 @@ def tfidf_vectors(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     weighted = (
         term_counts(texts)
         .join(F.broadcast(vocabulary.select("term", "term_id", "idf")), "term")
-        .select("text_hash", "term_id", (F.col("tf") * F.col("idf")).alias("w"))
+        .select("slot", "text_hash", "term_id", (F.col("tf") * F.col("idf")).alias("w"))
     )
-    return weighted.groupBy("text_hash").agg(
+    return weighted.groupBy("slot", "text_hash").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
         F.collect_list(F.struct(F.col("term_id").alias("id"), F.col("w").alias("w"))).alias("terms"),
     )
@@ -105,9 +110,12 @@ def pair_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def lexical_similarity(hashed: DataFrame, settings: TextSettings = TextSettings()) -> DataFrame:
-    """TF-IDF cosine per distinct (a_hash, b_hash) of the hashed offer lines."""
+    """TF-IDF cosine per distinct (a_hash, b_hash) of the hashed offer lines.
+
+    The vectors are stored once because both sides of every pair read them.
+    """
     texts = corpus(hashed)
-    vectors = tfidf_vectors(texts, fit_vocabulary(texts, settings))
+    vectors = checkpointed(tfidf_vectors(texts, fit_vocabulary(texts, settings)))
     return pair_cosines(distinct_pairs(hashed), vectors)
 
 
