@@ -103,11 +103,16 @@ class ForestSettings:
 
 @dataclass(frozen=True)
 class GraphSettings:
-    """Community detection on the buyer-supplier graph."""
+    """Community detection on the buyer-supplier graph.
+
+    A level ends after two sweeps in a row that raise modularity by less than
+    ``min_rise``; a smaller value buys a little modularity with more sweeps.
+    """
 
     resolution: float = 1.0
     max_sweeps: int = 20
     max_levels: int = 8
+    min_rise: float = 1e-3
     fit_until: int | None = None
 
 

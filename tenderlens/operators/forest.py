@@ -159,7 +159,9 @@ def fit_forest(train: DataFrame, features: Sequence[str], key: str, settings: Fo
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
 
     narrow = train.select(key, *features)
-    drawn = sample_rows(narrow, n, key, settings).drop(key)
+    # An explicit task count: growing trees is slow for its few bytes.
+    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sample_rows(narrow, n, key, settings).drop(key).repartition(min(tasks, settings.n_trees), "tree")
     nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
 
     trees = sorted(nodes["tree"].unique())

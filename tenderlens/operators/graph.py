@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tenderlens.config import GraphSettings
 from tenderlens.operators.selection import layout_positions
-from tenderlens.session import checkpointed
+from tenderlens.session import checkpointed, stored
 
 MIN_GAIN = 1e-9
 
@@ -99,7 +99,7 @@ def _first_level(edges: DataFrame) -> tuple[_Level, DataFrame]:
         F.struct(F.col("dst").alias("id"), F.lit(1).alias("colour"), F.col("weight").alias("w")),
     ))
     nodes = named.select(ends).groupBy("id", "colour").agg(F.sum("w").alias("degree"))
-    index = checkpointed(layout_positions(nodes, [], [F.asc("id")], "v"))
+    index = stored(layout_positions(nodes, [], [F.asc("id")], "v"))
     src = index.select(F.col("id").alias("src"), F.col("v").alias("src_v"))
     dst = index.select(F.col("id").alias("dst"), F.col("v").alias("dst_v"))
     numbered = named.join(src, "src").join(dst, "dst")
@@ -107,7 +107,7 @@ def _first_level(edges: DataFrame) -> tuple[_Level, DataFrame]:
         F.struct(F.col("src_v").alias("src"), F.col("dst_v").alias("dst"), F.col("weight").alias("w")),
         F.struct(F.col("dst_v").alias("src"), F.col("src_v").alias("dst"), F.col("weight").alias("w")),
     )))
-    links = checkpointed(links.repartition("dst"))
+    links = stored(links)
     total = index.agg(F.sum("degree").alias("t")).first()["t"] or 0.0
     vertices = index.select("v", "degree", F.lit(0.0).alias("loop"), "colour")
     return _Level(links, vertices, total), index.select("v", "id")
@@ -154,7 +154,7 @@ class _Position:
 
 
 def _evaluate(level: _Level, state: DataFrame, resolution: float) -> _Position:
-    proposals = checkpointed(_proposals(level, state, resolution))
+    proposals = stored(_proposals(level, state, resolution))
     willing = F.col("gain") > MIN_GAIN
     row = proposals.agg(
         F.sum(F.col("k_own") + F.col("loop")).alias("inside"),
@@ -181,24 +181,22 @@ def _top_quarter_gain(position: _Position, colour: int) -> float:
 
 
 def _settle(level: _Level, settings: GraphSettings) -> _Position:
-    """Move colours in turn until neither improves modularity."""
+    """Move colours in turn until neither raises modularity enough."""
     start = level.vertices.withColumn("comm", F.col("v"))
     position = _evaluate(level, start, settings.resolution)
-    failed, colour = 0, 0
+    idle, colour = 0, 0
     for _ in range(settings.max_sweeps):
-        if failed == 2 or position.movers == (0, 0):
+        if idle == 2 or position.movers == (0, 0):
             break
+        before = position.modularity
         if position.movers[colour]:
             tried = _evaluate(level, _moved(position, colour, 0.0), settings.resolution)
-            if tried.modularity <= position.modularity + MIN_GAIN and position.movers[colour] > 1:
+            if tried.modularity <= before + MIN_GAIN and position.movers[colour] > 1:
                 least = _top_quarter_gain(position, colour)
                 tried = _evaluate(level, _moved(position, colour, least), settings.resolution)
-            if tried.modularity > position.modularity + MIN_GAIN:
-                position, failed = tried, 0
-            else:
-                failed += 1
-        else:
-            failed += 1
+            if tried.modularity > before + MIN_GAIN:
+                position = tried
+        idle = 0 if position.modularity >= before + settings.min_rise else idle + 1
         colour = 1 - colour
     return position
 
@@ -217,7 +215,7 @@ def _contract(level: _Level, position: _Position) -> _Level:
     vertices = position.proposals.groupBy(F.col("comm").alias("v")).agg(
         F.sum("degree").alias("degree"), F.sum(F.col("loop") + F.col("k_own")).alias("loop")
     ).withColumn("colour", F.pmod(F.xxhash64("v"), F.lit(2)).cast("int"))
-    return _Level(checkpointed(links.repartition("dst")), checkpointed(vertices), level.total)
+    return _Level(stored(links), stored(vertices), level.total)
 
 
 def communities(edges: DataFrame, settings: GraphSettings = GraphSettings()) -> DataFrame:
@@ -234,9 +232,12 @@ def communities(edges: DataFrame, settings: GraphSettings = GraphSettings()) ->
         position = _settle(level, settings)
         if reached is not None and position.modularity <= reached + MIN_GAIN:
             break
+        last = reached is not None and position.modularity < reached + settings.min_rise
         reached = position.modularity
         step = position.proposals.select(F.col("v").alias("comm"), F.col("comm").alias("next"))
-        member = checkpointed(member.join(step, "comm").select("id", "rank", F.col("next").alias("comm")))
+        member = stored(member.join(step, "comm").select("id", "rank", F.col("next").alias("comm")))
+        if last:
+            break
         level = _contract(level, position)
     return number_by_size(member)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderlens.functions.scalars import ratio_or
 from tenderlens.operators.selection import HOT_KEY_ROWS, hot_keys, running_positions
+from tenderlens.session import checkpointed
 
 PAIR = ("buyer_id", "winner_id")
 SUPPLIER = ("winner_id",)
@@ -19,12 +20,12 @@ def prior_concentration(
     """Per awarded tender: earlier awards of the pair, the supplier and the buyer, and
     the pair's share of each. Equal dates are ordered by tender.
 
-    The narrow (tender, buyer, supplier, date) rows are numbered three times. The pair
-    window reuses the buyer window's partitioning; keys above ``hot_rows`` leave the
+    The narrow (tender, buyer, supplier, date) rows are stored once, as several steps read
+    them, and numbered three times. The pair window reuses the buyer window's partitioning; keys above ``hot_rows`` leave the
     windows for a range layout.
     """
-    awards = tenders.filter(F.col("winner_id").isNotNull()).select(
-        "tender_id", "buyer_id", "winner_id", order_by
+    awards = checkpointed(
+        tenders.filter(F.col("winner_id").isNotNull()).select("tender_id", "buyer_id", "winner_id", order_by)
     )
     order = [F.col(order_by).asc_nulls_first(), F.col("tender_id").asc()]
     hot_pair, hot_supplier, hot_buyer = hot_keys(awards, [PAIR, SUPPLIER, BUYER], hot_rows)
@@ -42,4 +43,5 @@ def prior_concentration(
 
 
 def attach_history(tenders: DataFrame, order_by: str = "published_at", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Tenders with their history; give it a stored table, it is read twice."""
     return tenders.join(prior_concentration(tenders, order_by, hot_rows), "tender_id", "left")

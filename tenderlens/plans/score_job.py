@@ -30,10 +30,13 @@ from tenderlens.sources.tables import append_run_log, read_snapshot, upsert_embe
 def tender_features(
     offers: DataFrame, row_order: Sequence[str], settings: ScoringSettings = ScoringSettings()
 ) -> DataFrame:
-    """Tender rows with structural flags and history; no text, no graph."""
+    """Tender rows with structural flags and history; no text, no graph.
+
+    Tenders are stored before the history reads them, so offer lines are folded once.
+    """
     offers = parse_timestamps(offers)
     tenders = tier1_flags(assemble_tenders(offers, row_order, settings.null_counts_as_bidder), settings.flags)
-    return attach_history(tenders, settings.history_order)
+    return attach_history(checkpointed(tenders), settings.history_order)
 
 
 def attach_lexical(tenders: DataFrame, offers: DataFrame, settings: ScoringSettings) -> DataFrame:
