@@ -493,7 +493,7 @@ CTES["s_known"] = """
 SELECT code, arg_max(state, (ts, event_id)) AS state FROM s_codes WHERE ts < TIMESTAMP '2024-01-15' GROUP BY code
 """
 CTES["s_listed"] = """
-SELECT code, arg_max(state, (ts, event_id)) AS state FROM s_codes WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY code
+SELECT code, arg_max(state, (ts, event_id)) AS state FROM s_codes WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY code
 """
 ORACLES["latest_per_key"] = """
 SELECT code, state, ts, event_id FROM s_codes QUALIFY row_number() OVER (PARTITION BY code ORDER BY ts DESC, event_id DESC) = 1

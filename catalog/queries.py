@@ -23,7 +23,7 @@ QUERIES: dict[str, Query] = {}
 
 # Events are split into what was known before this moment and what is listed after it.
 KNOWN_UNTIL = "2024-01-15 00:00:00"
-LISTED_FROM = "2024-01-10 00:00:00"
+LISTED_FROM = "2024-01-29 00:00:00"
 FOREST_FEATURES = ("n_bidders", "n_items", "days_open", "days_to_award", "awarded_amount", "estimate", "award_ratio")
 
 

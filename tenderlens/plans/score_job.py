@@ -79,8 +79,8 @@ def score_tenders(
 ) -> DataFrame:
     """Offer lines to one scored row per tender.
 
-    The plan is cut where later steps depend on computed data: before the graph (which
-    reads the rule score), and before the final min-max.
+    The plan is cut where several later steps read the same computed rows: once the first
+    rule score exists (graph and forest both start from it), and before the final min-max.
     """
     features = [*BASE_FEATURES, *LEXICAL_FEATURES, *(DENSE_FEATURES if make_encoder else ())]
     tenders = tender_features(offers, row_order, settings)
@@ -88,9 +88,8 @@ def score_tenders(
     if make_encoder is not None:
         tenders = attach_dense(tenders, offers, make_encoder, model, cache_path)
     first = checkpointed(rule_score(tenders, settings.weights))
-    placed = community_features(first, settings.graph)
-    ruled = checkpointed(rule_score(placed, settings.weights))
-    anomalies = isolation_scores(ruled, features, settings.forest).select("tender_id", "anomaly")
+    anomalies = isolation_scores(first, features, settings.forest).select("tender_id", "anomaly")
+    ruled = rule_score(community_features(first, settings.graph), settings.weights)
     scored = checkpointed(ruled.join(anomalies, "tender_id", "left"))
     return combine_scores(scored, settings.rules_share, settings.forest_share)
 
