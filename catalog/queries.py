@@ -351,18 +351,14 @@ def cache_probe(spark, sf):
     return hits.unionByName(embeddings.cache_misses(texts, cache, "m").select("text_hash", F.lit(False).alias("hit")))
 
 
-def letter_encoder():
-    """A small stand-in encoder: letter frequencies."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-
-    def encode(texts):
-        return np.array([[t.lower().count(c) for c in letters] for t in texts], dtype=np.float32)
-
-    return encode
-
-
 @query
 def embed_missing(spark, sf):
+    """New vectors for the texts the cache lacks, from a small stand-in encoder that counts letters."""
+
+    def letter_encoder():
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        return lambda texts: np.array([[t.lower().count(c) for c in letters] for t in texts], dtype=np.float32)
+
     docs = _documents(spark, sf)
     texts = docs.groupBy("text_hash").agg(F.first("text").alias("text"))
     return embeddings.embed_missing(texts, _english_cache(spark, sf), letter_encoder, "m")

@@ -7,11 +7,13 @@ number of rows in vectorised batches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from tenderlens.config import ForestSettings
 from tenderlens.operators.selection import exact_quantiles
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
+# The tree functions travel inside the tasks, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EULER_GAMMA = 0.5772156649015329
 # Candidates drawn per sample slot, so that every tree finds enough rows by chance.
 OVERDRAW = 1.5
@@ -116,29 +121,33 @@ def _grow(points: np.ndarray, tree: int, depth_limit: int, rng: np.random.Genera
 
 @dataclass(frozen=True)
 class Forest:
-    """A fitted forest as padded node arrays, with the sample size it was grown on."""
+    """A fitted forest: one padded row of nodes per tree in each array."""
 
     features: tuple[str, ...]
     sample_size: int
+    depth: int
     feature: np.ndarray
     threshold: np.ndarray
     left: np.ndarray
     right: np.ndarray
     path: np.ndarray
-    depth: int
 
-    def anomaly(self, points: np.ndarray) -> np.ndarray:
-        """Score in (0, 1]; higher is more isolated."""
-        total = np.zeros(len(points))
-        rows = np.arange(len(points))
-        for t in range(len(self.feature)):
-            node = np.zeros(len(points), dtype=np.int32)
-            for _ in range(self.depth):
-                split = self.feature[t, node]
-                goes_left = points[rows, np.maximum(split, 0)] <= self.threshold[t, node]
-                node = np.where(goes_left, self.left[t, node], self.right[t, node])
-            total += self.path[t, node]
-        return np.exp2(-total / len(self.feature) / float(mean_path(self.sample_size)))
+    def nodes(self) -> tuple[np.ndarray, ...]:
+        return self.feature, self.threshold, self.left, self.right, self.path
+
+
+def anomaly(points: np.ndarray, nodes: tuple[np.ndarray, ...], depth: int, sample_size: int) -> np.ndarray:
+    """Score in (0, 1] per point; higher is more isolated."""
+    feature, threshold, left, right, path = nodes
+    total = np.zeros(len(points))
+    rows = np.arange(len(points))
+    for t in range(len(feature)):
+        node = np.zeros(len(points), dtype=np.int32)
+        for _ in range(depth):
+            goes_left = points[rows, np.maximum(feature[t, node], 0)] <= threshold[t, node]
+            node = np.where(goes_left, left[t, node], right[t, node])
+        total += path[t, node]
+    return np.exp2(-total / len(feature) / float(mean_path(sample_size)))
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], key: str, settings: ForestSettings) -> Forest:
@@ -175,23 +184,24 @@ def fit_forest(train: DataFrame, features: Sequence[str], key: str, settings: Fo
         return table
 
     return Forest(
-        tuple(features), size,
+        tuple(features), size, depth_limit,
         padded("feature", np.int32), padded("threshold", float), padded("left", np.int32),
-        padded("right", np.int32), padded("path", float), depth_limit,
+        padded("right", np.int32), padded("path", float),
     )
 
 
 def apply_forest(df: DataFrame, forest: Forest, carry: Sequence[str] = ("tender_id",)) -> DataFrame:
     """The carried columns and ``anomaly`` for every row. Nothing but those columns and
     the features enters Python, and no shuffle is needed."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    shared = df.sparkSession.sparkContext.broadcast(forest.nodes())
+    depth, size = forest.depth, forest.sample_size
     features, carry = list(forest.features), list(carry)
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in carry)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             points = frame[features].to_numpy(dtype=float)
-            yield frame[carry].assign(anomaly=shared.value.anomaly(points))
+            yield frame[carry].assign(anomaly=anomaly(points, shared.value, depth, size))
 
     return df.select(*carry, *features).mapInPandas(score, f"{schema}, anomaly double")
 
