@@ -254,8 +254,7 @@ def drop_sparse_columns(spark, sf):
 
 @query
 def impute_nulls(spark, sf):
-    df = cleaning.drop_sparse_columns(b.raw_frames(spark, sf)[0])
-    return cleaning.impute_nulls(df, {c: 1 for c in df.columns}, CleaningRules(), cleaning.CleaningMetrics())
+    return cleaning.impute_nulls(cleaning.drop_sparse_columns(b.raw_frames(spark, sf)[0]))
 
 
 @query

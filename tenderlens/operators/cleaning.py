@@ -98,12 +98,31 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def _profile(df: DataFrame) -> tuple[int, dict[str, int]]:
+@dataclass
+class Profile:
+    """What one pass over the data says about every column."""
+
+    rows: int
+    nulls: dict[str, int]
+    numeric_text: list[str]
+
+
+def profile(df: DataFrame, skip: str | None = None) -> Profile:
+    """Rows, nulls per column, and the text columns whose every meaningful value is a
+    number (decimal comma allowed). One aggregation over all columns."""
+    names = [c for c in df.columns if c != skip]
+    texts = [c for c in text_columns(df) if c != skip]
     row = df.agg(
         F.count("*").alias("rows"),
-        *[F.count_if(_quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(_quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(names)],
+        *[F.count_if(_meaningful(c)).alias(f"t{i}") for i, c in enumerate(texts)],
+        *[F.count_if(_meaningful(c) & parse_number(_quoted(c)).isNull()).alias(f"bad{i}") for i, c in enumerate(texts)],
     ).first()
-    return row["rows"], {c: row[f"n{i}"] for i, c in enumerate(df.columns)}
+    return Profile(
+        row["rows"],
+        {c: row[f"n{i}"] for i, c in enumerate(names)},
+        [c for i, c in enumerate(texts) if row[f"t{i}"] > 0 and row[f"bad{i}"] == 0],
+    )
 
 
 def sparse_columns(rows: int, nulls: dict[str, int], max_null_pct: float) -> list[str]:
@@ -111,21 +130,29 @@ def sparse_columns(rows: int, nulls: dict[str, int], max_null_pct: float) -> lis
 
 
 def drop_sparse_columns(df: DataFrame, max_null_pct: float = 90.0) -> DataFrame:
-    rows, nulls = _profile(df)
-    return df.drop(*sparse_columns(rows, nulls, max_null_pct))
+    seen = profile(df)
+    return df.drop(*sparse_columns(seen.rows, seen.nulls, max_null_pct))
 
 
 def is_date_name(name: str, parts: Sequence[str]) -> bool:
     return any(p in name.lower() for p in parts)
 
 
-def impute_nulls(df: DataFrame, nulls: dict[str, int], rules: CleaningRules, metrics: CleaningMetrics) -> DataFrame:
+def impute_nulls(
+    df: DataFrame,
+    rules: CleaningRules = CleaningRules(),
+    seen: Profile | None = None,
+    metrics: CleaningMetrics | None = None,
+) -> DataFrame:
     """Numbers to their exact median, dates to one placeholder, other text to another."""
-    gaps = {c for c in df.columns if nulls.get(c) and c not in rules.impute_exclude}
+    seen = profile(df) if seen is None else seen
+    metrics = CleaningMetrics() if metrics is None else metrics
+    gaps = {c for c in df.columns if seen.nulls.get(c) and c not in rules.impute_exclude}
     numbers = [c for c in numeric_columns(df) if c in gaps]
     texts = [c for c in text_columns(df) if c in gaps]
     dates = [c for c in texts if is_date_name(c, rules.date_name_parts)]
-    medians = {c: m for c, m in exact_quantiles(df, numbers).items() if m is not None}
+    present = {c: seen.rows - seen.nulls[c] for c in numbers}
+    medians = {c: m for c, m in exact_quantiles(df, numbers, counts=present).items() if m is not None}
     metrics.numeric_imputed = medians
     metrics.text_imputed = [c for c in texts if c not in dates]
     metrics.date_imputed = dates
@@ -159,25 +186,9 @@ def _meaningful(c: str) -> Column:
     return _quoted(c).isNotNull() & ~_quoted(c).isin(list(SENTINELS))
 
 
-def numeric_text_columns(df: DataFrame) -> list[str]:
-    """Text columns whose every meaningful value is a number (decimal comma allowed)."""
-    texts = text_columns(df)
-    if not texts:
-        return []
-    row = df.agg(*[
-        e
-        for i, c in enumerate(texts)
-        for e in (
-            F.count_if(_meaningful(c)).alias(f"n{i}"),
-            F.count_if(_meaningful(c) & parse_number(_quoted(c)).isNull()).alias(f"bad{i}"),
-        )
-    ]).first()
-    return [c for i, c in enumerate(texts) if row[f"n{i}"] > 0 and row[f"bad{i}"] == 0]
-
-
 def retype_numeric_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Those columns as double; placeholders and nulls become 0.0."""
-    columns = numeric_text_columns(df) if columns is None else columns
+    """Text columns that hold only numbers as double; placeholders and nulls become 0.0."""
+    columns = profile(df).numeric_text if columns is None else columns
     return df.withColumns({c: F.coalesce(parse_number(_quoted(c)), F.lit(0.0)) for c in columns})
 
 
@@ -198,19 +209,20 @@ def clean_offers(
 ) -> tuple[DataFrame, CleaningMetrics]:
     """Union, then drop sparse columns, impute, drop duplicates, retype and drop zeros.
 
-    Counts that only feed the metrics are skipped with ``with_metrics=False``.
+    One profile of the raw rows answers every question about the columns: imputing and
+    dropping duplicates change neither which columns are sparse nor which text is
+    numeric. Counts that only feed the metrics are skipped with ``with_metrics=False``.
     """
     df = union_by_name(frames)
     metrics = CleaningMetrics(columns_in=len(df.columns) - (row_order is not None))
-    rows, nulls = _profile(df)
-    metrics.rows_in = rows
-    metrics.dropped_columns = sparse_columns(rows, nulls, rules.max_null_pct)
+    seen = profile(df, skip=row_order)
+    metrics.rows_in = seen.rows
+    metrics.dropped_columns = sparse_columns(seen.rows, seen.nulls, rules.max_null_pct)
     df = df.drop(*metrics.dropped_columns)
-    df = impute_nulls(df, nulls, rules, metrics)
+    metrics.retyped_columns = [c for c in seen.numeric_text if c in df.columns]
+    df = impute_nulls(df, rules, seen, metrics)
     if with_metrics and rules.key in df.columns:
         metrics.duplicate_keys = duplicate_key_count(df, rules.key).first()["duplicate_keys"]
-    # Duplicates do not change which text is numeric, so the profile reads the cheaper input.
-    metrics.retyped_columns = numeric_text_columns(df)
     df = drop_duplicate_rows(df, rules.key, row_order)
     typed = retype_numeric_text(df, metrics.retyped_columns)
     kept = exclude_zero_amounts(typed, rules.amount_columns)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tenderlens.config import ForestSettings
 from tenderlens.operators.selection import exact_quantiles
 
-NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
+NODE_SCHEMA = "tree int, node int, feature int, threshold double, child int, path double"
 # The tree functions travel inside the tasks, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -97,26 +97,27 @@ def sample_rows(train: DataFrame, rows: int, key: str, settings: ForestSettings)
 
 
 def _grow(points: np.ndarray, tree: int, depth_limit: int, rng: np.random.Generator) -> list[tuple]:
-    """Node rows of one isolation tree, root first."""
-    nodes: list[list] = []
-    todo = [(np.arange(len(points)), 0, -1, None)]
+    """Node rows of one isolation tree. An inner node names its left child; the right one
+    follows it. A leaf is its own child behind an infinite threshold, so descending past
+    it changes nothing."""
+    nodes: list[tuple | None] = [None]
+    todo = [(np.arange(len(points)), 0, 0)]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        node = len(nodes)
-        if parent >= 0:
-            nodes[parent][4 if side == "left" else 5] = node
+        rows, depth, node = todo.pop()
         low, high = points[rows].min(axis=0), points[rows].max(axis=0)
         varying = np.flatnonzero(high > low)
         if depth >= depth_limit or len(rows) <= 1 or len(varying) == 0:
-            nodes.append([tree, node, -1, 0.0, node, node, depth + float(mean_path(len(rows)))])
+            nodes[node] = (tree, node, 0, np.inf, node, depth + float(mean_path(len(rows))))
             continue
         feature = int(rng.choice(varying))
         threshold = float(rng.uniform(low[feature], high[feature]))
-        goes_left = points[rows, feature] <= threshold
-        nodes.append([tree, node, feature, threshold, -1, -1, 0.0])
-        todo.append((rows[~goes_left], depth + 1, node, "right"))
-        todo.append((rows[goes_left], depth + 1, node, "left"))
-    return [tuple(n) for n in nodes]
+        child = len(nodes)
+        nodes[node] = (tree, node, feature, threshold, child, 0.0)
+        nodes += [None, None]
+        above = points[rows, feature] > threshold
+        todo.append((rows[above], depth + 1, child + 1))
+        todo.append((rows[~above], depth + 1, child))
+    return nodes
 
 
 @dataclass(frozen=True)
@@ -128,25 +129,25 @@ class Forest:
     depth: int
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    child: np.ndarray
     path: np.ndarray
 
     def nodes(self) -> tuple[np.ndarray, ...]:
-        return self.feature, self.threshold, self.left, self.right, self.path
+        return self.feature, self.threshold, self.child, self.path
 
 
 def anomaly(points: np.ndarray, nodes: tuple[np.ndarray, ...], depth: int, sample_size: int) -> np.ndarray:
     """Score in (0, 1] per point; higher is more isolated."""
-    feature, threshold, left, right, path = nodes
+    feature, threshold, child, path = nodes
     total = np.zeros(len(points))
-    rows = np.arange(len(points))
+    columns = np.ascontiguousarray(points.T).ravel()
+    rows, width = np.arange(len(points)), len(points)
     for t in range(len(feature)):
-        node = np.zeros(len(points), dtype=np.int32)
+        node = np.zeros(width, dtype=np.intp)
         for _ in range(depth):
-            goes_left = points[rows, np.maximum(feature[t, node], 0)] <= threshold[t, node]
-            node = np.where(goes_left, left[t, node], right[t, node])
-        total += path[t, node]
+            value = columns.take(feature[t].take(node) * width + rows)
+            node = child[t].take(node) + (value > threshold[t].take(node))
+        total += path[t].take(node)
     return np.exp2(-total / len(feature) / float(mean_path(sample_size)))
 
 
@@ -165,7 +166,7 @@ def fit_forest(train: DataFrame, features: Sequence[str], key: str, settings: Fo
         tree = int(frame["tree"].iloc[0])
         points = frame[features].to_numpy(dtype=float)
         nodes = _grow(points, tree, depth_limit, np.random.default_rng([seed, tree]))
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "child", "path"])
 
     narrow = train.select(key, *features)
     # An explicit task count: growing trees is slow for its few bytes.
@@ -185,8 +186,7 @@ def fit_forest(train: DataFrame, features: Sequence[str], key: str, settings: Fo
 
     return Forest(
         tuple(features), size, depth_limit,
-        padded("feature", np.int32), padded("threshold", float), padded("left", np.int32),
-        padded("right", np.int32), padded("path", float),
+        padded("feature", np.intp), padded("threshold", float), padded("child", np.intp), padded("path", float),
     )
 
 

@@ -50,18 +50,22 @@ def exact_quantiles(
     q: float = 0.5,
     direct_limit: int = DIRECT_LIMIT,
     accuracy: int = 10_000,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, float | None]:
     """Exact interpolated quantile of every column (null for an all-null column).
 
     Columns with few values take one ``percentile``. Larger ones shrink an open bracket
     around the wanted rank, by roughly ``accuracy`` per pass over the data, until the
-    remaining values fit one buffer. All columns share each pass.
+    remaining values fit one buffer. All columns share each pass. Known non-null
+    ``counts`` save the counting pass.
     """
     columns = list(columns)
     if not columns:
         return {}
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    n = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
+    if counts is None:
+        row = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
+    n = counts
 
     small = [c for c in columns if 0 < n[c] <= direct_limit]
     result: dict[str, float | None] = {c: None for c in columns}

@@ -25,8 +25,9 @@ FLOAT_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\
 
 def csv_files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the CSV files directly under a folder, sorted; no content is read."""
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    return sorted(r["path"] for r in listing.select(F.col("_metadata.file_path").alias("path")).collect())
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(folder, "*.csv")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(status.getPath().toString() for status in found or [] if status.isFile())
 
 
 def _reader(spark: SparkSession, multi_line: bool):
@@ -57,7 +58,8 @@ def read_offers_csv(spark: SparkSession, folders: Sequence[str], multi_line: boo
         raw = _reader(spark, multi_line).schema(schema).csv(paths)
         line = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
         keyed = raw.select(*[F.col("`" + c.replace("`", "``") + "`") for c in header],
-                           F.col("_metadata.file_path").alias("_file"), line.alias("_line"))
+                           F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("_file"),
+                           line.alias("_line"))
         ordered = keyed.join(F.broadcast(numbers), "_file", "left").withColumn(
             ROW_ORDER, F.col("_file_no").cast("long") * 2**33 + F.col("_line")
         )

@@ -22,7 +22,7 @@ def test_number_text_matches_pandas(spark):
 def test_retype_needs_every_meaningful_value(spark):
     rows = [("1,5", "Sin información", "1.234.567", "a"), ("Sin información", "Sin fecha", "2", "1"), (None, "", "3", "2")]
     df = spark.createDataFrame(rows, "good string, only_sentinels string, thousands string, mixed string")
-    assert c.numeric_text_columns(df) == ["good"]
+    assert c.profile(df).numeric_text == ["good"]
     assert [r["good"] for r in c.retype_numeric_text(df).collect()] == [1.5, 0.0, 0.0]
 
 
@@ -77,5 +77,5 @@ def test_zero_filter_lets_null_pass(spark):
 def test_impute_exclude(spark):
     df = spark.createDataFrame([(None, None), (4.0, "x")], "amount double, who string")
     rules = CleaningRules(impute_exclude=("amount",))
-    got = c.impute_nulls(df, {"amount": 1, "who": 1}, rules, c.CleaningMetrics()).collect()
+    got = c.impute_nulls(df, rules).collect()
     assert {(r["amount"], r["who"]) for r in got} == {(None, "Sin información"), (4.0, "x")}
