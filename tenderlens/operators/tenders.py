@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.config import HEADER_COLUMNS, LOST, WON, FlagRules
@@ -39,17 +39,17 @@ def timestamp_failures(
     ])
 
 
+def _has_null(column: str) -> Column:
+    return F.coalesce(F.max(F.col(column).isNull().cast("int")), F.lit(0))
+
+
 def bid_metrics(offers: DataFrame, null_counts_as_bidder: bool = False) -> DataFrame:
     """Distinct bidders and items per tender. A line without a supplier is no bidder unless
     ``null_counts_as_bidder``; a line without an item still counts as one item."""
-
-    def distinct(column: str, with_null: bool):
-        n = F.count_distinct(column)
-        return n + F.coalesce(F.max(F.col(column).isNull().cast("int")), F.lit(0)) if with_null else n
-
+    bidders = F.count_distinct("supplier_id")
     return offers.groupBy("tender_id").agg(
-        distinct("supplier_id", null_counts_as_bidder).cast("long").alias("n_bidders"),
-        distinct("item_name", True).cast("long").alias("n_items"),
+        (bidders + _has_null("supplier_id") if null_counts_as_bidder else bidders).cast("long").alias("n_bidders"),
+        (F.count_distinct("item_name") + _has_null("item_name")).cast("long").alias("n_items"),
     )
 
 
@@ -61,8 +61,8 @@ def assemble_tenders(
     """One row per tender: header of its first line, bid metrics, winner and losers.
 
     One conditional aggregation builds everything but the distinct counts. Those run on
-    three narrow columns, so the wide header is not multiplied by their expansion, and
-    both sides are already partitioned by tender when they meet.
+    three narrow columns, so only these are multiplied by their expansion, and both sides
+    are already partitioned by tender when they meet.
     """
     header = [c for c in HEADER_COLUMNS if c in offers.columns and c != "tender_id"]
     order = F.struct(*row_order)
@@ -78,13 +78,18 @@ def assemble_tenders(
         .alias("awarded_amount"),
         F.min(lost_bid).alias("runner_up_amount"),
         F.avg(lost_bid).alias("losing_mean_amount"),
+        _has_null("supplier_id").alias("null_bidder"),
+        _has_null("item_name").alias("null_item"),
+    )
+    counts = offers.groupBy("tender_id").agg(
+        F.count_distinct("supplier_id").alias("bidders"), F.count_distinct("item_name").alias("items")
     )
-    counts = bid_metrics(offers, null_counts_as_bidder)
+    bidders = F.col("bidders") + F.col("null_bidder") if null_counts_as_bidder else F.col("bidders")
     return wide.join(counts, "tender_id", "left").select(
         "tender_id",
         *[F.col("header")[c].alias(c) for c in header],
-        "n_bidders",
-        "n_items",
+        bidders.cast("long").alias("n_bidders"),
+        (F.col("items") + F.col("null_item")).cast("long").alias("n_items"),
         "total_qty",
         F.col("winner.supplier_id").alias("winner_id"),
         F.col("winner.supplier_name").alias("winner_name"),
