@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,12 +206,15 @@ def clean_offers(
     rules: CleaningRules = CleaningRules(),
     row_order: str | None = None,
     with_metrics: bool = True,
+    observation: Observation | None = None,
 ) -> tuple[DataFrame, CleaningMetrics]:
     """Union, then drop sparse columns, impute, drop duplicates, retype and drop zeros.
 
     One profile of the raw rows answers every question about the columns: imputing and
     dropping duplicates change neither which columns are sparse nor which text is
     numeric. Counts that only feed the metrics are skipped with ``with_metrics=False``.
+    An ``observation`` gathers the row counts while the result is written, which saves a
+    second run of the deduplication; pass it to ``add_row_counts`` afterwards.
     """
     df = union_by_name(frames)
     metrics = CleaningMetrics(columns_in=len(df.columns) - (row_order is not None))
@@ -225,12 +228,18 @@ def clean_offers(
         metrics.duplicate_keys = duplicate_key_count(df, rules.key).first()["duplicate_keys"]
     df = drop_duplicate_rows(df, rules.key, row_order)
     typed = retype_numeric_text(df, metrics.retyped_columns)
+    present = [c for c in rules.amount_columns if c in numeric_columns(typed)]
+    zero = reduce(lambda a, b: a | b, [F.coalesce(_quoted(c) == 0, F.lit(False)) for c in present], F.lit(False))
+    counts = (F.count(F.lit(1)).alias("rows"), F.count_if(zero).alias("zero"))
+    if observation is not None:
+        typed = typed.observe(observation, *counts)
+    elif with_metrics:
+        add_row_counts(metrics, typed.agg(*counts).first().asDict())
     kept = exclude_zero_amounts(typed, rules.amount_columns)
-    if with_metrics:
-        present = [c for c in rules.amount_columns if c in numeric_columns(typed)]
-        zero = reduce(lambda a, b: a | b, [F.coalesce(_quoted(c) == 0, F.lit(False)) for c in present], F.lit(False))
-        row = typed.agg(F.count("*").alias("rows"), F.count_if(zero).alias("zero")).first()
-        metrics.zero_rows = row["zero"]
-        metrics.rows_out = row["rows"] - row["zero"]
     metrics.columns_out = len(kept.columns) - (row_order is not None)
     return kept, metrics
+
+
+def add_row_counts(metrics: CleaningMetrics, counts: dict[str, int]) -> None:
+    metrics.zero_rows = counts["zero"]
+    metrics.rows_out = counts["rows"] - counts["zero"]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from tenderlens.config import CleaningRules
-from tenderlens.operators.cleaning import CleaningMetrics, clean_offers
+from tenderlens.operators.cleaning import CleaningMetrics, add_row_counts, clean_offers
+from tenderlens.session import stored
 from tenderlens.sources.columns import to_offer_lines
 from tenderlens.sources.offers_csv import ROW_ORDER, read_offers_csv
 from tenderlens.sources.tables import append_run_log, write_snapshot
@@ -22,13 +23,17 @@ def ingest_offers(
 ) -> CleaningMetrics | None:
     """Read, clean and replace the table, then log the run; None when there is no CSV.
 
-    The table has this package's column names and the row order column.
+    The typed files are stored as Parquet first, so the profile passes do not parse CSV
+    again and read only the columns they need. The table has this package's column names
+    and the row order column.
     """
-    frames = read_offers_csv(spark, folders)
+    frames = [stored(f) for f in read_offers_csv(spark, folders)]
     if not frames:
         return None
-    clean, metrics = clean_offers(frames, rules, row_order=ROW_ORDER)
+    counts = Observation("clean_offers")
+    clean, metrics = clean_offers(frames, rules, row_order=ROW_ORDER, observation=counts)
     write_snapshot(to_offer_lines(clean), table_path)
+    add_row_counts(metrics, counts.get)
     append_run_log(spark, log_path, "ingestion", {
         "state": "ok",
         "rows_in": metrics.rows_in,

@@ -44,6 +44,10 @@ def snapshot_exists(spark: SparkSession, path: str) -> bool:
     return bool(_versions(spark, path))
 
 
+def has_version(spark: SparkSession, path: str, version: int) -> bool:
+    return version in _versions(spark, path)
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     """The newest finished version, or None when there is none."""
     versions = _versions(spark, path)

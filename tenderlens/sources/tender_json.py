@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,14 +97,19 @@ def parse_details(df: DataFrame, json_column: str) -> DataFrame:
     return df.withColumn("detail", F.from_json(F.col(json_column), DETAIL_SCHEMA))
 
 
-def read_tender_details(spark: SparkSession, path: str, code_from_file: bool = True) -> DataFrame:
+def read_tender_details(
+    spark: SparkSession, path: str, code_from_file: bool = True, codes: Sequence[str] | None = None
+) -> DataFrame:
     """Landed detail responses: code, first listed detail (null when none), failed flag.
 
     One JSON object per file, named after its code; a file that does not parse is failed.
+    With ``codes`` only their files are opened: the file name filter prunes the listing.
     """
     raw = spark.read.schema(DETAIL_FILE_SCHEMA).option("multiLine", True).option(
         "columnNameOfCorruptRecord", "_corrupt_record"
     ).json(path, pathGlobFilter="*.json")
+    if codes is not None:
+        raw = raw.filter(F.col("_metadata.file_name").isin([f"{c}.json" for c in codes]))
     detail = F.get("Listado", F.lit(0))
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     code = name if code_from_file else detail["CodigoExterno"]

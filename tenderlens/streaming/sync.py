@@ -2,6 +2,8 @@
 
 Each landed listing is one micro-batch. A batch works on tables written by the previous
 one and is skipped if its own version already exists, so re-delivery changes nothing.
+Upserts go to a table of updates beside the bulk table: an hourly batch never rewrites the
+bulk, and a bulk reload never loses an update. ``current_offers`` shows both as one.
 """
 
 from __future__ import annotations
@@ -55,16 +57,13 @@ class SyncResult:
     counts: DataFrame
 
 
-def sync_batch(
-    listing: DataFrame, known: DataFrame, active: DataFrame, details: DataFrame, cap: int = MAX_DETAILS
-) -> SyncResult:
+def sync_batch(listing: DataFrame, pending: DataFrame, details: DataFrame) -> SyncResult:
     """One sync step as DataFrames: flat rows to upsert, codes to mark known, counts.
 
     ``details`` has code, detail and failed. Failed codes and codes without a detail stay
     unmarked; codes outside the sector are marked but not stored. A processed code absent
     from the listing is marked gone.
     """
-    pending = checkpointed(pending_codes(listing, known, active, cap))
     answered = checkpointed(pending.join(details, "code"))
     found = answered.filter(~F.col("failed") & F.col("detail").isNotNull())
     wanted = found.filter(in_sector(F.col("detail.Comprador.NombreOrganismo")))
@@ -85,27 +84,55 @@ def sync_batch(
 
 @dataclass(frozen=True)
 class SyncPaths:
-    """Folders of one sync: landed details, and the tables it keeps."""
+    """Folders of one sync: landed details, the bulk table (read only), and the updates,
+    states and log it keeps."""
 
     details: str
-    clean: str
+    bulk: str
+    updates: str
     state: str
     log: str
 
 
+def current_offers(spark: SparkSession, paths: SyncPaths, keep_bids: bool = False) -> DataFrame | None:
+    """Bulk offer lines with the updates applied: an updated tender's lines are replaced
+    by its update, or with ``keep_bids`` only its status is."""
+    bulk, updates = tables.read_snapshot(spark, paths.bulk), tables.read_snapshot(spark, paths.updates)
+    if bulk is None or updates is None:
+        return updates if bulk is None else bulk
+    return tables.overlay_offers(bulk, updates) if keep_bids else tables.upsert_by_key(bulk, updates, "tender_id")
+
+
+def _active_now(spark: SparkSession, bulk: DataFrame | None, updates: DataFrame | None) -> DataFrame:
+    """Active codes by their newest status; of the bulk only two columns are read."""
+    active = spark.createDataFrame([], "code string")
+    if updates is not None:
+        active = active_codes(updates)
+    if bulk is not None:
+        listed = active_codes(bulk)
+        if updates is not None:
+            listed = listed.join(updates.select(F.col("tender_id").alias("code")), "code", "left_anti")
+        active = active.unionByName(listed)
+    return active
+
+
 def apply_listing(spark: SparkSession, listing: DataFrame, version: int, paths: SyncPaths, cap: int = MAX_DETAILS) -> bool:
     """Run one listing against the stored tables. The state is written last, so a batch
-    that died half-way is simply repeated; returns False when it was already done."""
-    if version in tables._versions(spark, paths.state):
+    that died half-way is simply repeated; returns False when it was already done.
+
+    The pending codes reach the driver, at most ``cap`` of them, to name the detail files.
+    """
+    if tables.has_version(spark, paths.state, version):
         return False
     listing = checkpointed(listing)
     known = tables.read_state(spark, paths.state)
-    clean = tables.read_snapshot(spark, paths.clean)
-    active = spark.createDataFrame([], "code string") if clean is None else active_codes(clean)
-    result = sync_batch(listing, known, active, read_tender_details(spark, paths.details), cap)
+    bulk, updates = tables.read_snapshot(spark, paths.bulk), tables.read_snapshot(spark, paths.updates)
+    pending = checkpointed(pending_codes(listing, known, _active_now(spark, bulk, updates), cap))
+    codes = [r["code"] for r in pending.collect()]
+    result = sync_batch(listing, pending, read_tender_details(spark, paths.details, codes=codes))
     counts = result.counts.first()
     if counts["n_upserted"]:
-        tables.write_snapshot(tables.upsert_by_key(clean, result.upserts, "tender_id"), paths.clean)
+        tables.write_snapshot(tables.upsert_by_key(updates, result.upserts, "tender_id"), paths.updates)
     tables.append_run_log(spark, paths.log, "sync", {"state": "ok", "detail": "", **counts.asDict()})
     tables.write_snapshot(tables.advance_state(known, result.processed), paths.state, version)
     return True

@@ -21,13 +21,13 @@ def state(spark, paths):
 
 def test_sync_batches_and_redelivery(spark, tmp_path):
     landed, lists = tmp_path / "details", tmp_path / "lists"
-    paths = sync.SyncPaths(str(landed), *(str(tmp_path / n) for n in ("clean", "state", "log")))
+    paths = sync.SyncPaths(str(landed), *(str(tmp_path / n) for n in ("bulk", "updates", "state", "log")))
     detail(landed, "A"), detail(landed, "B", organisation="MINISTERIO"), detail(landed, "C")
     (landed / "D.json").write_text("{broken")
     listing(lists, "1", A=5, B=5, D=5, E=5)
     sync.start_sync(spark, str(lists), paths, str(tmp_path / "cp")).awaitTermination()
     assert state(spark, paths) == {"A": 5, "B": 5}  # D failed, E has no detail: both stay unknown
-    clean = tables.read_snapshot(spark, paths.clean)
+    clean = sync.current_offers(spark, paths)
     assert [(r["tender_id"], r["institution"]) for r in clean.collect()] == [("A", "MUNICIPALIDAD DE X")]
     log = tables.read_log(spark, paths.log, "sync").first()
     assert (log["n_listed"], log["n_queried"], log["n_upserted"], log["n_failed"]) == (4, 4, 1, 1)
@@ -36,7 +36,7 @@ def test_sync_batches_and_redelivery(spark, tmp_path):
     listing(lists, "2", B=5, C=5)
     sync.start_sync(spark, str(lists), paths, str(tmp_path / "cp")).awaitTermination()
     assert state(spark, paths) == {"A": tables.GONE, "B": 5, "C": 5}
-    got = {r["tender_id"]: r["status"] for r in tables.read_snapshot(spark, paths.clean).collect()}
+    got = {r["tender_id"]: r["status"] for r in sync.current_offers(spark, paths).collect()}
     assert got == {"A": "Cerrada", "C": "Publicada"}
 
     seen = spark.createDataFrame([("B", 5), ("C", 5)], "code string, state int")
@@ -46,7 +46,7 @@ def test_sync_batches_and_redelivery(spark, tmp_path):
 
 def test_cap_leaves_the_rest_for_the_next_run(spark, tmp_path):
     landed = tmp_path / "details"
-    paths = sync.SyncPaths(str(landed), *(str(tmp_path / n) for n in ("clean", "state", "log")))
+    paths = sync.SyncPaths(str(landed), *(str(tmp_path / n) for n in ("bulk", "updates", "state", "log")))
     codes = ["A", "B", "C", "D", "E"]
     for c in codes:
         detail(landed, c)
@@ -54,7 +54,7 @@ def test_cap_leaves_the_rest_for_the_next_run(spark, tmp_path):
     for version, done in enumerate((2, 4, 5)):
         assert sync.apply_listing(spark, seen, version, paths, cap=2)
         assert sorted(state(spark, paths)) == codes[:done]
-    assert tables.read_snapshot(spark, paths.clean).count() == 5
+    assert sync.current_offers(spark, paths).count() == 5
 
 
 def test_changed_vanished_pending(spark):
@@ -64,3 +64,24 @@ def test_changed_vanished_pending(spark):
     assert {r["code"] for r in sync.changed_or_new(seen, known).collect()} == {"b", "c"}
     assert [r["code"] for r in sync.vanished_codes(active, seen).collect()] == ["z"]
     assert [r["code"] for r in sync.pending_codes(seen, known, active, cap=2).collect()] == ["b", "c"]
+
+
+def test_updates_lie_over_the_bulk(spark, tmp_path):
+    landed = tmp_path / "details"
+    paths = sync.SyncPaths(str(landed), *(str(tmp_path / n) for n in ("bulk", "updates", "state", "log")))
+    bulk = spark.createDataFrame(
+        [("A", "s1", "Publicada"), ("A", "s2", "Publicada"), ("B", "s1", "Cerrada"), ("C", "s1", "Publicada")],
+        "tender_id string, supplier_id string, status string",
+    )
+    tables.write_snapshot(bulk, paths.bulk)
+    detail(landed, "A", status="Adjudicada"), detail(landed, "C"), detail(landed, "Z")
+    seen = spark.createDataFrame([("C", 5)], "code string, state int")
+    assert sync.apply_listing(spark, seen, 0, paths)
+    assert state(spark, paths) == {"A": tables.GONE, "C": 5}  # A is active in the bulk but no longer listed
+    replaced = {tuple(r) for r in sync.current_offers(spark, paths).collect()}
+    assert replaced == {("A", None, "Adjudicada"), ("B", "s1", "Cerrada"), ("C", None, "Publicada")}
+    kept = {tuple(r) for r in sync.current_offers(spark, paths, keep_bids=True).collect()}
+    assert kept == {("A", "s1", "Adjudicada"), ("A", "s2", "Adjudicada"), ("B", "s1", "Cerrada"), ("C", "s1", "Publicada")}
+    assert sync.apply_listing(spark, seen, 1, paths)
+    log = tables.read_log(spark, paths.log, "sync").orderBy("id").collect()
+    assert [r["n_queried"] for r in log] == [2, 0]
