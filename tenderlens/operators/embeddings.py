@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderlens.sources.tables import EMBEDDING_SCHEMA
+
 Encoder = Callable[[Sequence[str]], np.ndarray]
-CACHE_SCHEMA = "text_hash string, model string, embedding array<float>"
 
 
 def cache_hits(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
@@ -41,7 +42,7 @@ def encode_texts(texts: DataFrame, make_encoder: Callable[[], Encoder], model: s
                     "text_hash": part["text_hash"].to_numpy(), "model": model, "embedding": list(vectors),
                 })
 
-    return texts.select("text_hash", "text").mapInPandas(run, CACHE_SCHEMA)
+    return texts.select("text_hash", "text").mapInPandas(run, EMBEDDING_SCHEMA)
 
 
 def embed_missing(

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tenderlens.config import BASE_FEATURES, DENSE_FEATURES, LEXICAL_FEATURES, ScoringSettings
-from tenderlens.operators.embeddings import CACHE_SCHEMA, Encoder, embed_missing
+from tenderlens.operators.embeddings import Encoder, embed_missing
 from tenderlens.operators.forest import isolation_scores
 from tenderlens.operators.graph import community_features
 from tenderlens.operators.history import attach_history
@@ -23,8 +22,14 @@ from tenderlens.operators.text import (
     lexical_similarity,
     with_text_hashes,
 )
-from tenderlens.session import checkpointed
-from tenderlens.sources.tables import append_run_log, read_snapshot, upsert_embeddings, write_snapshot
+from tenderlens.session import checkpointed, stored
+from tenderlens.sources.tables import (
+    append_embeddings,
+    append_run_log,
+    read_embeddings,
+    read_snapshot,
+    write_snapshot,
+)
 
 
 def tender_features(
@@ -53,19 +58,19 @@ def attach_dense(
     cache_path: str | None = None,
     batch_size: int = 64,
 ) -> DataFrame:
-    """Dense similarity through the encoder; new vectors join the cache at ``cache_path``."""
+    """Dense similarity through the encoder. New vectors are stored once, in the cache at
+    ``cache_path`` when there is one, so a text is encoded in one run only."""
     spark = offers.sparkSession
     hashed = with_text_hashes(offers)
     texts = corpus(hashed).select("text_hash", "text")
-    stored = read_snapshot(spark, cache_path) if cache_path else None
-    cache = spark.createDataFrame([], CACHE_SCHEMA) if stored is None else stored
-    fresh = checkpointed(embed_missing(texts, cache, make_encoder, model, batch_size))
-    full = upsert_embeddings(cache, fresh)
+    cache = read_embeddings(spark, cache_path, model)
+    fresh = embed_missing(texts, cache, make_encoder, model, batch_size)
     if cache_path:
-        write_snapshot(full, cache_path)
-        full = read_snapshot(spark, cache_path)
-    vectors = full.filter(F.col("model") == model).select("text_hash", "embedding")
-    similarity = dense_similarity(distinct_pairs(hashed), vectors)
+        append_embeddings(fresh, cache_path)
+        vectors = read_embeddings(spark, cache_path, model)
+    else:
+        vectors = stored(fresh)
+    similarity = dense_similarity(distinct_pairs(hashed), vectors.select("text_hash", "embedding"))
     return tenders.join(delta_similarity(hashed, similarity, "dense"), "tender_id", "left")
 
 

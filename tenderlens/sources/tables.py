@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 STATE_SCHEMA = "code string, state int"
 GONE = -1
+EMBEDDING_SCHEMA = "text_hash string, model string, embedding array<float>"
 
 LOG_SCHEMAS = {
     "ingestion": "id long, run_at timestamp, state string, rows_in long, rows_out long, cols_dropped int, "
@@ -105,6 +106,19 @@ def upsert_embeddings(cache: DataFrame | None, rows: DataFrame) -> DataFrame:
     return upsert_by_key(cache, rows, "text_hash")
 
 
+def append_embeddings(rows: DataFrame, path: str) -> None:
+    """Add vectors to the stored cache; what is there is not rewritten."""
+    rows.write.mode("append").parquet(path)
+
+
+def read_embeddings(spark: SparkSession, path: str | None, model: str) -> DataFrame:
+    """Stored vectors of one model, one per text (two runs may have added the same one)."""
+    if path is None or not _has_files(spark, path):
+        return spark.createDataFrame([], EMBEDDING_SCHEMA)
+    stored = spark.read.schema(EMBEDDING_SCHEMA).parquet(path)
+    return stored.filter(F.col("model") == model).dropDuplicates(["text_hash"])
+
+
 # --- run logs ------------------------------------------------------------------------
 
 

@@ -8,7 +8,8 @@ from tenderlens.config import TextSettings
 from tenderlens.functions.text import fold, one_two_grams, tokens
 from tenderlens.functions.vectors import dense_dot, sparse_dot
 from tenderlens.operators import embeddings, text
-from tenderlens.sources.tables import upsert_embeddings
+from tenderlens.plans.score_job import attach_dense
+from tenderlens.sources.tables import EMBEDDING_SCHEMA, read_embeddings, upsert_embeddings
 
 ALL_TERMS = TextSettings(min_texts=1)
 
@@ -94,7 +95,7 @@ def test_embeddings_only_encode_misses(spark):
 
     texts = spark.createDataFrame([("h1", "abc"), ("h2", "hello"), ("h3", "")], "text_hash string, text string")
     cache = spark.createDataFrame(
-        [("h1", "m", [0.0, 1.0]), ("h2", "other", [1.0, 0.0])], embeddings.CACHE_SCHEMA
+        [("h1", "m", [0.0, 1.0]), ("h2", "other", [1.0, 0.0])], EMBEDDING_SCHEMA
     )
     fresh = embeddings.embed_missing(texts, cache, make_encoder, "m", batch_size=1)
     got = {r["text_hash"]: r for r in fresh.collect()}
@@ -110,3 +111,31 @@ def test_dense_similarity_misses_are_null(spark):
     vectors = spark.createDataFrame([("a", [0.6, 0.8]), ("b", [0.6, 0.8])], "text_hash string, embedding array<float>")
     got = {r["b_hash"]: r["similarity"] for r in text.dense_similarity(pairs, vectors).collect()}
     assert got["b"] == pytest.approx(1.0) and got["zz"] is None
+
+
+def test_dense_features_encode_each_text_once(spark, tmp_path):
+    path, marks = str(tmp_path / "cache"), tmp_path / "marks"
+    marks.mkdir()
+    folder = str(marks)
+
+    def make_encoder():
+        def encode(texts):
+            for t in texts:
+                with open(f"{folder}/{t or 'empty'}", "a") as f:
+                    f.write("x")
+            return np.array([[1.0, float(len(t))] for t in texts], dtype=np.float32)
+
+        return encode
+
+    rows = [("1", "won", "abc", "xyz"), ("1", "lost", "abc", ""), ("2", "won", "abc", None)]
+    offers = spark.createDataFrame(rows, "tender_id string, outcome string, item_text string, offer_text string")
+    tenders = spark.createDataFrame([("1",), ("2",), ("3",)], "tender_id string")
+    for _ in range(2):
+        got = {r["tender_id"]: r for r in attach_dense(tenders, offers, make_encoder, "m", path).collect()}
+        assert got["1"]["sim_won_dense"] == pytest.approx(1.0)
+        assert got["1"]["delta_sim_dense"] == pytest.approx(1.0 - 1 / math.sqrt(10))
+        assert got["2"]["sim_lost_dense"] is None and got["3"]["sim_won_dense"] is None
+    assert {p.name: p.read_text() for p in marks.iterdir()} == {"abc": "x", "xyz": "x", "empty": "x"}
+    assert read_embeddings(spark, path, "m").count() == 3 and read_embeddings(spark, path, "other").count() == 0
+    alone = attach_dense(tenders, offers, make_encoder, "m").filter("tender_id = '1'").first()
+    assert alone["sim_won_dense"] == pytest.approx(1.0)
