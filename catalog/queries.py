@@ -323,7 +323,7 @@ def tfidf_pair_similarity(spark, sf):
 @query
 def delta_similarity(spark, sf):
     hashed = text.with_text_hashes(b.text_lines(spark, sf))
-    deltas = text.delta_similarity(hashed, text.lexical_similarity(hashed, b.SETTINGS.text), "tfidf")
+    deltas = text.delta_similarity(text.pair_lines(hashed), text.lexical_similarity(hashed, b.SETTINGS.text), "tfidf")
     return rounded(deltas, "sim_won_tfidf", "sim_lost_tfidf", "delta_sim_tfidf")
 
 
@@ -383,7 +383,7 @@ def delta_similarity_dense(spark, sf):
         F.col("vec_id").cast("string").alias("a_hash"), (F.col("vec_id") + 1).cast("string").alias("b_hash"),
     )
     similarity = text.dense_similarity(text.distinct_pairs(lines), stored)
-    deltas = text.delta_similarity(lines, similarity, "dense")
+    deltas = text.delta_similarity(text.pair_lines(lines), similarity, "dense")
     return rounded(deltas, "sim_won_dense", "sim_lost_dense", "delta_sim_dense")
 
 

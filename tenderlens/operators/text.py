@@ -92,8 +92,17 @@ def tfidf_vectors(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def distinct_pairs(hashed: DataFrame) -> DataFrame:
-    return hashed.select("a_hash", "b_hash").distinct()
+def pair_lines(hashed: DataFrame) -> DataFrame:
+    """Winning and losing lines per (tender, text pair). This narrow table replaces the
+    texts in everything that follows, so a pair repeated over millions of lines of a
+    tender is shuffled once."""
+    return hashed.groupBy("tender_id", "a_hash", "b_hash").agg(
+        F.count_if(F.col("outcome") == WON).alias("n_won"), F.count_if(F.col("outcome") == LOST).alias("n_lost")
+    )
+
+
+def distinct_pairs(lines: DataFrame) -> DataFrame:
+    return lines.select("a_hash", "b_hash").distinct()
 
 
 def pair_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -109,29 +118,28 @@ def pair_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
-def lexical_similarity(hashed: DataFrame, settings: TextSettings = TextSettings()) -> DataFrame:
+def lexical_similarity(
+    hashed: DataFrame, settings: TextSettings = TextSettings(), pairs: DataFrame | None = None
+) -> DataFrame:
     """TF-IDF cosine per distinct (a_hash, b_hash) of the hashed offer lines.
 
     The vectors are stored once because both sides of every pair read them.
     """
     texts = corpus(hashed)
     vectors = checkpointed(tfidf_vectors(texts, fit_vocabulary(texts, settings)))
-    return pair_cosines(distinct_pairs(hashed), vectors)
+    return pair_cosines(distinct_pairs(hashed) if pairs is None else pairs, vectors)
 
 
-def delta_similarity(hashed: DataFrame, pair_similarity: DataFrame, suffix: str) -> DataFrame:
+def delta_similarity(lines: DataFrame, pair_similarity: DataFrame, suffix: str) -> DataFrame:
     """Per tender: mean similarity of winning lines, of losing lines, and the difference.
 
-    Lines collapse to counts per (tender, pair) before the pair join, so a text pair
-    repeated over millions of lines is shuffled once per tender, not once per line.
+    ``lines`` are counts per (tender, pair), see ``pair_lines``.
     """
-    won, lost = F.col("outcome") == WON, F.col("outcome") == LOST
-    lines = (
-        hashed.filter(won | lost)
-        .groupBy("tender_id", "a_hash", "b_hash")
-        .agg(F.count_if(won).alias("n_won"), F.count_if(lost).alias("n_lost"))
+    scored = (
+        lines.filter((F.col("n_won") > 0) | (F.col("n_lost") > 0))
+        .join(pair_similarity, ["a_hash", "b_hash"])
+        .filter(F.col("similarity").isNotNull())
     )
-    scored = lines.join(pair_similarity, ["a_hash", "b_hash"]).filter(F.col("similarity").isNotNull())
 
     def mean(n: str):
         total = F.sum(n)

@@ -20,6 +20,7 @@ from tenderlens.operators.text import (
     dense_similarity,
     distinct_pairs,
     lexical_similarity,
+    pair_lines,
     with_text_hashes,
 )
 from tenderlens.session import checkpointed, stored
@@ -44,15 +45,16 @@ def tender_features(
     return attach_history(checkpointed(tenders), settings.history_order)
 
 
-def attach_lexical(tenders: DataFrame, offers: DataFrame, settings: ScoringSettings) -> DataFrame:
-    hashed = with_text_hashes(offers)
-    similarity = lexical_similarity(hashed, settings.text)
-    return tenders.join(delta_similarity(hashed, similarity, "tfidf"), "tender_id", "left")
+def attach_lexical(tenders: DataFrame, hashed: DataFrame, lines: DataFrame, settings: ScoringSettings) -> DataFrame:
+    """TF-IDF similarity; ``lines`` are the stored pair counts of the hashed offers."""
+    similarity = lexical_similarity(hashed, settings.text, distinct_pairs(lines))
+    return tenders.join(delta_similarity(lines, similarity, "tfidf"), "tender_id", "left")
 
 
 def attach_dense(
     tenders: DataFrame,
-    offers: DataFrame,
+    hashed: DataFrame,
+    lines: DataFrame,
     make_encoder: Callable[[], Encoder],
     model: str,
     cache_path: str | None = None,
@@ -60,8 +62,7 @@ def attach_dense(
 ) -> DataFrame:
     """Dense similarity through the encoder. New vectors are stored once, in the cache at
     ``cache_path`` when there is one, so a text is encoded in one run only."""
-    spark = offers.sparkSession
-    hashed = with_text_hashes(offers)
+    spark = hashed.sparkSession
     texts = corpus(hashed).select("text_hash", "text")
     cache = read_embeddings(spark, cache_path, model)
     fresh = embed_missing(texts, cache, make_encoder, model, batch_size)
@@ -70,8 +71,8 @@ def attach_dense(
         vectors = read_embeddings(spark, cache_path, model)
     else:
         vectors = stored(fresh)
-    similarity = dense_similarity(distinct_pairs(hashed), vectors.select("text_hash", "embedding"))
-    return tenders.join(delta_similarity(hashed, similarity, "dense"), "tender_id", "left")
+    similarity = dense_similarity(distinct_pairs(lines), vectors.select("text_hash", "embedding"))
+    return tenders.join(delta_similarity(lines, similarity, "dense"), "tender_id", "left")
 
 
 def score_tenders(
@@ -89,9 +90,11 @@ def score_tenders(
     """
     features = [*BASE_FEATURES, *LEXICAL_FEATURES, *(DENSE_FEATURES if make_encoder else ())]
     tenders = tender_features(offers, row_order, settings)
-    tenders = attach_lexical(tenders, offers, settings)
+    hashed = with_text_hashes(offers)
+    lines = stored(pair_lines(hashed))
+    tenders = attach_lexical(tenders, hashed, lines, settings)
     if make_encoder is not None:
-        tenders = attach_dense(tenders, offers, make_encoder, model, cache_path)
+        tenders = attach_dense(tenders, hashed, lines, make_encoder, model, cache_path)
     first = checkpointed(rule_score(tenders, settings.weights))
     anomalies = isolation_scores(first, features, settings.forest).select("tender_id", "anomaly")
     ruled = rule_score(community_features(first, settings.graph), settings.weights)

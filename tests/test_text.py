@@ -64,7 +64,7 @@ def test_similarity_bounds_and_deltas(spark):
     pairs = text.lexical_similarity(hashed, ALL_TERMS)
     values = [r["similarity"] for r in pairs.collect()]
     assert len(values) == 5 and all(-1e-12 <= v <= 1 + 1e-12 for v in values)
-    got = {r["tender_id"]: r for r in text.delta_similarity(hashed, pairs, "tfidf").collect()}
+    got = {r["tender_id"]: r for r in text.delta_similarity(text.pair_lines(hashed), pairs, "tfidf").collect()}
     assert got["1"]["sim_won_tfidf"] == pytest.approx(1.0)
     assert (got["1"]["sim_lost_tfidf"], got["1"]["delta_sim_tfidf"]) == (0.0, pytest.approx(1.0))
     assert (got["2"]["sim_won_tfidf"], got["2"]["sim_lost_tfidf"], got["2"]["delta_sim_tfidf"]) == (0.0, None, None)
@@ -86,7 +86,7 @@ def test_line_counts_weigh_the_mean(spark):
     same = ("1", "won", "alfa beta", "alfa beta")
     hashed = lines(spark, [same, same, same, ("1", "won", "alfa beta", "gama")])
     pairs = text.lexical_similarity(hashed, ALL_TERMS)
-    assert text.delta_similarity(hashed, pairs, "x").first()["sim_won_x"] == pytest.approx(0.75)
+    assert text.delta_similarity(text.pair_lines(hashed), pairs, "x").first()["sim_won_x"] == pytest.approx(0.75)
 
 
 def test_embeddings_only_encode_misses(spark):
@@ -130,12 +130,14 @@ def test_dense_features_encode_each_text_once(spark, tmp_path):
     rows = [("1", "won", "abc", "xyz"), ("1", "lost", "abc", ""), ("2", "won", "abc", None)]
     offers = spark.createDataFrame(rows, "tender_id string, outcome string, item_text string, offer_text string")
     tenders = spark.createDataFrame([("1",), ("2",), ("3",)], "tender_id string")
+    hashed = text.with_text_hashes(offers)
+    lines = text.pair_lines(hashed)
     for _ in range(2):
-        got = {r["tender_id"]: r for r in attach_dense(tenders, offers, make_encoder, "m", path).collect()}
+        got = {r["tender_id"]: r for r in attach_dense(tenders, hashed, lines, make_encoder, "m", path).collect()}
         assert got["1"]["sim_won_dense"] == pytest.approx(1.0)
         assert got["1"]["delta_sim_dense"] == pytest.approx(1.0 - 1 / math.sqrt(10))
         assert got["2"]["sim_lost_dense"] is None and got["3"]["sim_won_dense"] is None
     assert {p.name: p.read_text() for p in marks.iterdir()} == {"abc": "x", "xyz": "x", "empty": "x"}
     assert read_embeddings(spark, path, "m").count() == 3 and read_embeddings(spark, path, "other").count() == 0
-    alone = attach_dense(tenders, offers, make_encoder, "m").filter("tender_id = '1'").first()
+    alone = attach_dense(tenders, hashed, lines, make_encoder, "m").filter("tender_id = '1'").first()
     assert alone["sim_won_dense"] == pytest.approx(1.0)
