@@ -6,6 +6,7 @@ so a failed or repeated write never leaves a half-replaced table.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from datetime import date, datetime, timedelta
 
@@ -153,7 +154,7 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
         found = read_snapshot(spark, path)
         return spark.createDataFrame([], STATE_SCHEMA) if found is None else found.select("code", "state")
     except Exception as e:  # noqa: BLE001 - a damaged state only means everything is new again
-        spark.sparkContext._jvm.org.apache.log4j.LogManager.getLogger(__name__).warn(f"state unreadable: {e}")
+        logging.getLogger(__name__).warning("code states unreadable, taken as empty: %s", e)
         return spark.createDataFrame([], STATE_SCHEMA)
 
 
