@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from tenderlens.llm.itq import op3_itq
+from tenderlens.llm.language_mix import op10_language_mix
 from tenderlens.llm.line_dedup import OP5_SQL, op5_line_dedup
 from tenderlens.llm.packing import op1_packing
+from tenderlens.llm.rank_bpe import op9_bpe
+from tenderlens.llm.rotated_codes import op2_rotated_codes
+from tenderlens.llm.sharding import op4_sharding
 from tenderlens.llm.token_files import op7_token_files
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_line_dedup, op7_token_files)}
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op2_rotated_codes, op3_itq, op4_sharding, op5_line_dedup, op7_token_files, op9_bpe, op10_language_mix,
+)}
 ORACLES = {"op5_line_dedup": OP5_SQL}
