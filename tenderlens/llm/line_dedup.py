@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenderlens.llm.common import digest, shuffle_parts, table
+from tenderlens.llm.common import digest, shuffle_parts, stored, table
 
 WORD = 62
 SALTS = 64
@@ -69,9 +69,11 @@ def dropped_bitmaps(docs: DataFrame, min_docs: int, min_chars: int = 1, keep_fir
     A line goes where its key is in at least ``min_docs`` documents; with ``keep_first`` its
     first occurrence stays. ``dropped`` is an array of (word, bits).
     """
-    occurrences = line_occurrences(docs, min_chars)
-    frequent = line_stats(occurrences).filter(F.col("n_docs") >= min_docs)
-    # The frequent lines are unique on their side, so a hot line only repeats on the left, which can be split.
+    # Stored once: the range layout reads its input twice, and the join reads it again.
+    occurrences = stored(line_occurrences(docs, min_chars))
+    # Unique on their side, so a hot line only repeats on the left; stored, so that both sides of
+    # the join are shuffles of their own and adaptive execution can split the left one.
+    frequent = stored(line_stats(occurrences).filter(F.col("n_docs") >= min_docs))
     lost = occurrences.join(frequent, ["h1", "h2"])
     if keep_first:
         lost = lost.filter(~((F.col("d1") == F.col("first_d1")) & (F.col("d2") == F.col("first_d2")) & (F.col("pos") == F.col("first_pos"))))

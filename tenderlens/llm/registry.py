@@ -10,8 +10,10 @@ from tenderlens.llm.rank_bpe import op9_bpe
 from tenderlens.llm.rotated_codes import op2_rotated_codes
 from tenderlens.llm.sharding import op4_sharding
 from tenderlens.llm.token_files import op7_token_files
+from tenderlens.llm.weighted_minhash import op8_weighted_minhash
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_rotated_codes, op3_itq, op4_sharding, op5_line_dedup, op7_token_files, op9_bpe, op10_language_mix,
+    op1_packing, op2_rotated_codes, op3_itq, op4_sharding, op5_line_dedup, op7_token_files, op8_weighted_minhash,
+    op9_bpe, op10_language_mix,
 )}
 ORACLES = {"op5_line_dedup": OP5_SQL}
