@@ -8,12 +8,13 @@ from tenderlens.llm.line_dedup import OP5_SQL, op5_line_dedup
 from tenderlens.llm.packing import op1_packing
 from tenderlens.llm.rank_bpe import op9_bpe
 from tenderlens.llm.rotated_codes import op2_rotated_codes
+from tenderlens.llm.secret_scan import op6_secret_scan
 from tenderlens.llm.sharding import op4_sharding
 from tenderlens.llm.token_files import op7_token_files
 from tenderlens.llm.weighted_minhash import op8_weighted_minhash
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_rotated_codes, op3_itq, op4_sharding, op5_line_dedup, op7_token_files, op8_weighted_minhash,
+    op1_packing, op2_rotated_codes, op3_itq, op4_sharding, op5_line_dedup, op6_secret_scan, op7_token_files, op8_weighted_minhash,
     op9_bpe, op10_language_mix,
 )}
 ORACLES = {"op5_line_dedup": OP5_SQL}
