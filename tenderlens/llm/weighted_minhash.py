@@ -35,7 +35,9 @@ COUNTERS, SEGMENT = 1 << 20, 1 << 14
 # of a single document. Small, or a large group of copies would lose its own links, since its
 # shared shingles are frequent and its edits are not.
 IDF_SHARE = 0.25
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
+# Rows that a task answers at a time.
+ANSWER = 1_000
 _WORD = re.compile(r"\w+")
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -78,6 +80,12 @@ def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
 
 
+def _in_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), ANSWER):
+            yield batch.slice(at, ANSWER)
+
+
 def frequencies(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     """Two rows of ``COUNTERS`` document frequencies over every document: 16 MB whatever the input."""
     ship(docs.sparkSession)
@@ -95,7 +103,7 @@ def frequencies(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                 h, _, _ = shingles(text.as_py(), words)
                 held.append(h)
                 size += len(h)
-                if size > COUNTERS:
+                if size > COUNTERS // 4:
                     add()
                     held, size = [], 0
         if held:
@@ -151,7 +159,7 @@ class Weights:
         return np.maximum(self.idf[0][a], self.idf[1][b]) * counts
 
 
-def signature(h: np.ndarray, weights: np.ndarray, samples: int, chunk: int = 8192) -> np.ndarray:
+def signature(h: np.ndarray, weights: np.ndarray, samples: int, chunk: int = 1024) -> np.ndarray:
     """Improved consistent weighted samples: two sets agree in each with probability their weighted Jaccard similarity.
 
     Sample k is the shingle of least ln a = ln c - r (t - b) - r with t = floor(ln w / r + b);
@@ -182,7 +190,7 @@ def signatures(docs: DataFrame, weights, words: int, bands: int, rows: int) -> D
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = _mixed(np.arange(1, bands + 1, dtype=np.uint64) * _MIX2)
-        for batch in batches:
+        for batch in _in_answers(batches):
             found = []
             for text in batch.column(3):
                 h, counts, name = shingles(text.as_py(), words)
@@ -220,7 +228,7 @@ class _Candidates:
 
     def _sets(self, docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _in_answers(batches):
                 found = []
                 for text in batch.column(1):
                     h, counts, _ = shingles(text.as_py(), words)
@@ -246,7 +254,7 @@ class _Candidates:
         )
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in _in_answers(batches):
                 found = []
                 for ha, ca, hb, cb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                     x, y = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
