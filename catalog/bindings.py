@@ -17,7 +17,7 @@ from tenderlens.config import (
 from tenderlens.operators.score import combine_scores
 from tenderlens.plans.score_job import tender_features
 from tenderlens.operators.rules import rule_score
-from tenderlens.session import checkpointed
+from tenderlens.session import stored
 
 # Prices here are small and the years earlier, so two cut-offs move with them.
 SETTINGS = ScoringSettings(flags=FlagRules(round_step=10.0), forest=ForestSettings(cut_year=1999))
@@ -106,12 +106,12 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     repeat it. Built once per session and folder."""
     slot = (spark.sparkContext.applicationId, sf)
     if slot not in _STORED:
-        ruled = checkpointed(rule_score(features(spark, sf), SETTINGS.weights))
+        ruled = stored(rule_score(features(spark, sf), SETTINGS.weights))
         regions = table(spark, sf, "nation").select(
             F.col("n_nationkey").cast("long").alias("buyer_id"), F.col("n_regionkey").alias("community_id")
         )
         placed = ruled.withColumn("anomaly", F.lit(None).cast("double")).join(F.broadcast(regions), "buyer_id", "left")
-        _STORED[slot] = checkpointed(combine_scores(placed, SETTINGS.rules_share, SETTINGS.forest_share))
+        _STORED[slot] = stored(combine_scores(placed, SETTINGS.rules_share, SETTINGS.forest_share))
     return _STORED[slot]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tenderlens.functions.scalars import half_up, parse_timestamp
 from tenderlens.functions.text import text_hash
 from tenderlens.operators import cleaning, embeddings, forest, graph, history, reports, rules, score, selection, tenders, text
 from tenderlens.plans.score_job import score_tenders
-from tenderlens.session import checkpointed
+from tenderlens.session import stored
 from tenderlens.sources import tables, tender_json
 from tenderlens.streaming import sync
 
@@ -100,7 +101,7 @@ def rule_score(spark, sf):
 @query
 def rule_score_community(spark, sf):
     """Second pass of the rule score, with community features from the nation's region."""
-    first = checkpointed(rules.rule_score(b.features(spark, sf), b.SETTINGS.weights))
+    first = stored(rules.rule_score(b.features(spark, sf), b.SETTINGS.weights))
     placed = graph.attach_community_features(first, b.region_communities(spark, sf))
     again = rules.rule_score(placed, b.SETTINGS.weights)
     return again.select("tender_id", "community_id", "flag_hot_community", "rule_score")
@@ -356,7 +357,12 @@ def embed_missing(spark, sf):
 
     def letter_encoder():
         letters = "abcdefghijklmnopqrstuvwxyz"
-        return lambda texts: np.array([[t.lower().count(c) for c in letters] for t in texts], dtype=np.float32)
+
+        def count(texts):
+            lines = pd.Series(texts).str.lower()
+            return np.stack([lines.str.count(c) for c in letters], axis=1).astype(np.float32)
+
+        return count
 
     docs = _documents(spark, sf)
     texts = docs.groupBy("text_hash").agg(F.first("text").alias("text"))
@@ -422,7 +428,7 @@ def communities(spark, sf):
     """Communities of the customer-supplier graph (customers as buyers)."""
     built = tenders.assemble_tenders(b.offer_lines(spark, sf, buyer="customer"), b.ROW_ORDER)
     edges = graph.graph_edges(graph.pair_edges(built, "awarded_amount"))
-    return graph.communities(checkpointed(edges), b.SETTINGS.graph)
+    return graph.communities(stored(edges), b.SETTINGS.graph)
 
 
 @query
@@ -442,27 +448,27 @@ def number_by_size(spark, sf):
 @query
 def split_impute_scale(spark, sf):
     split = forest.temporal_split(b.features(spark, sf), b.SETTINGS.forest.cut_year)
-    split = checkpointed(split.select("tender_id", "split", *FOREST_FEATURES))
+    split = stored(split.select("tender_id", "split", *FOREST_FEATURES))
     scaling = forest.fit_scaling(split.filter(F.col("split") == "train"), FOREST_FEATURES)
     return rounded(forest.scale(split, scaling), *FOREST_FEATURES)
 
 
 @query
 def isolation_scores(spark, sf):
-    built = checkpointed(b.features(spark, sf).select("tender_id", "published_at", *BASE_FEATURES))
+    built = stored(b.features(spark, sf).select("tender_id", "published_at", *BASE_FEATURES))
     return forest.isolation_scores(built, BASE_FEATURES, b.SETTINGS.forest)
 
 
 @query
 def anomaly_rate(spark, sf):
-    return forest.anomaly_rate(checkpointed(isolation_scores(spark, sf)), b.SETTINGS.forest.contamination)
+    return forest.anomaly_rate(stored(isolation_scores(spark, sf)), b.SETTINGS.forest.contamination)
 
 
 @query
 def combined_score(spark, sf):
     """The combination with the losers' mean bid standing in for the anomaly score."""
     ruled = rules.rule_score(b.features(spark, sf), b.SETTINGS.weights)
-    inputs = checkpointed(ruled.select("tender_id", "rule_score", F.col("runner_up_amount").alias("anomaly")))
+    inputs = stored(ruled.select("tender_id", "rule_score", F.col("runner_up_amount").alias("anomaly")))
     combined = score.combine_scores(inputs)
     return rounded(combined.select("tender_id", "rule_part", "anomaly_part", "risk_score"), "rule_part", "anomaly_part")
 

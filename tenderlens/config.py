@@ -84,9 +84,9 @@ class RuleWeights:
 
 @dataclass(frozen=True)
 class TextSettings:
-    """Vocabulary of the lexical similarity."""
+    """Vocabulary of the lexical similarity; ``max_terms`` None keeps every term of enough texts."""
 
-    max_terms: int = 30_000
+    max_terms: int | None = 30_000
     min_texts: int = 3
 
 
@@ -106,13 +106,14 @@ class GraphSettings:
     """Community detection on the buyer-supplier graph.
 
     A level ends after two sweeps in a row that raise modularity by less than
-    ``min_rise``; a smaller value buys a little modularity with more sweeps.
+    ``min_rise``. ``max_sweeps`` and ``max_levels`` are bounds that raise when they are hit;
+    without them the search runs until modularity stops rising.
     """
 
     resolution: float = 1.0
-    max_sweeps: int = 20
-    max_levels: int = 8
-    min_rise: float = 1e-3
+    max_sweeps: int | None = None
+    max_levels: int | None = None
+    min_rise: float = 1e-7
     fit_until: int | None = None
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -10,28 +11,68 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 
 
-def _fold_table() -> tuple[str, str]:
-    """Source and target letters for ``translate``: Latin letters to their base letter;
-    combining marks come last and have no target, so they are dropped."""
-    source, target = [], []
-    for code in range(0xA0, 0x250):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != chr(code):
-            source.append(chr(code))
-            target.append(plain)
-    marks = [chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code))]
-    return "".join(source + marks), "".join(target)
+# Hangul syllables fold to two or three letters by arithmetic; fixed values of their encoding.
+_SYLLABLES, _LEADS, _VOWELS, _TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
+_N_VOWELS, _N_TAILS, _N_SYLLABLES = 21, 28, 11_172
 
 
-_FOLD_FROM, _FOLD_TO = _fold_table()
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one character, their targets, and those that fold to several.
+
+    Covers all of Unicode but Hangul syllables: compatibility decomposition without combining
+    marks. The marks themselves come last and have no target, so ``translate`` drops them.
+    """
+    source, target, several, marks = [], [], {}, []
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if unicodedata.combining(char):
+            marks.append(char)
+        elif unicodedata.decomposition(char):
+            plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+            if len(plain) == 1 and plain != char:
+                source.append(char)
+                target.append(plain)
+            elif len(plain) > 1:
+                several[char] = plain
+    return "".join(source + marks), "".join(target), several
+
+
+_FOLD_FROM, _FOLD_TO, _SEVERAL = _fold_tables()
+_SEVERAL_PATTERN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SEVERAL) + r"\x{ac00}-\x{d7a3}]"
+
+
+def _hangul_tables() -> tuple[str, str, str, str]:
+    """All syllables with their first and second letters; those with a third one first, and the third ones."""
+    codes = sorted(range(_N_SYLLABLES), key=lambda i: (i % _N_TAILS == 0, i))
+    return (
+        "".join(chr(_SYLLABLES + i) for i in codes),
+        "".join(chr(_LEADS + i // (_N_VOWELS * _N_TAILS)) for i in codes),
+        "".join(chr(_VOWELS + i // _N_TAILS % _N_VOWELS) for i in codes),
+        "".join(chr(_TAILS + i % _N_TAILS) for i in codes if i % _N_TAILS),
+    )
+
+
+def _unfolded_singly(text: Column) -> Column:
+    """Characters that fold to several, one by one; only texts that hold such a character come here."""
+    known = F.str_to_map(F.lit("\x01".join(f"{c}\x02{p}" for c, p in _SEVERAL.items())), F.lit("\x01"), F.lit("\x02"))
+    syllables, leads, vowels, tails = _hangul_tables()
+
+    def one(c: Column) -> Column:
+        letters = F.concat(F.translate(c, syllables, leads), F.translate(c, syllables, vowels), F.translate(c, syllables, tails))
+        return F.when(c.between(chr(_SYLLABLES), chr(_SYLLABLES + _N_SYLLABLES - 1)), letters).otherwise(F.coalesce(known[c], c))
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 def fold(text: Column) -> Column:
-    """Lower-case text without accents; pure ASCII skips the character map."""
+    """Lower-case text without accents and compatibility forms; pure ASCII skips the tables."""
     lowered = F.lower(text)
-    return F.when(
-        lowered.rlike(r"[^\x00-\x7F]"), F.translate(lowered, _FOLD_FROM, _FOLD_TO)
-    ).otherwise(lowered)
+    single = F.translate(lowered, _FOLD_FROM, _FOLD_TO)
+    return (
+        F.when(~lowered.rlike(r"[^\x00-\x7F]"), lowered)
+        .when(lowered.rlike(_SEVERAL_PATTERN), _unfolded_singly(single))
+        .otherwise(single)
+    )
 
 
 def tokens(text: Column) -> Column:

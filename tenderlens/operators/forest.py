@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 
 from tenderlens.config import ForestSettings
 from tenderlens.operators.selection import exact_quantiles
+from tenderlens.session import stored
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, child int, path double"
 # The tree functions travel inside the tasks, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EULER_GAMMA = 0.5772156649015329
-# Candidates drawn per sample slot, so that every tree finds enough rows by chance.
-OVERDRAW = 1.5
+# Candidates drawn beyond the sample, in standard deviations: chance leaves no tree short of rows.
+OVERDRAW = 8.0
 
 
 def temporal_split(tenders: DataFrame, cut_year: int) -> DataFrame:
@@ -79,20 +80,19 @@ def mean_path(n: np.ndarray | float) -> np.ndarray:
 def sample_rows(train: DataFrame, rows: int, key: str, settings: ForestSettings) -> DataFrame:
     """Assign training rows to trees by hash, independent of partitioning.
 
-    With plenty of rows each row serves at most one tree and one hash decides which; with
-    few rows every tree draws from all of them. Either way about OVERDRAW * sample_size
-    rows per tree leave their partition.
+    Every tree draws from all rows, each with the same chance, at any number of rows. A row
+    names its trees before it is copied, so little more than sample_size rows per tree leave
+    their partition and no other copy is made.
     """
-    unit = F.pmod(F.xxhash64(key, F.lit(settings.seed)), F.lit(2**52)) / F.lit(float(2**52))
-    share = min(1.0, OVERDRAW * settings.sample_size / max(rows, 1))
-    if share * settings.n_trees <= 1.0:
-        drawn = train.withColumn("tree", F.floor(unit / F.lit(share)).cast("int")).filter(
-            F.col("tree") < settings.n_trees
-        )
-    else:
-        trees = F.explode(F.sequence(F.lit(0), F.lit(settings.n_trees - 1)))
-        own = F.pmod(F.xxhash64(key, F.col("tree"), F.lit(settings.seed)), F.lit(2**52)) / F.lit(float(2**52))
-        drawn = train.withColumn("tree", trees).filter(own < F.lit(share))
+    wanted = settings.sample_size + OVERDRAW * settings.sample_size**0.5
+    share = min(1.0, wanted / max(rows, 1))
+    # In doubles 2**63 * share is exact enough; every row is in for a share of one.
+    limit = F.lit(float(2**63) * (2 * share - 1))
+    trees = F.filter(
+        F.sequence(F.lit(0), F.lit(settings.n_trees - 1)),
+        lambda t: F.xxhash64(F.col(key), t, F.lit(settings.seed)).cast("double") <= limit,
+    )
+    drawn = train.withColumn("tree", F.explode(trees))
     return drawn.withColumn("_pick", F.xxhash64(key, F.col("tree"), F.lit(settings.seed + 1)))
 
 
@@ -172,9 +172,13 @@ def fit_forest(train: DataFrame, features: Sequence[str], key: str, settings: Fo
     # An explicit task count: growing trees is slow for its few bytes.
     tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = sample_rows(narrow, n, key, settings).drop(key).repartition(min(tasks, settings.n_trees), "tree")
+    drawn = stored(drawn)
+    short = drawn.groupBy("tree").count().filter(F.col("count") < size).count()
     nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
 
     trees = sorted(nodes["tree"].unique())
+    if len(trees) < settings.n_trees or short:
+        raise RuntimeError(f"{settings.n_trees - len(trees)} trees without rows, {short} with fewer than {size}")
     width = int(nodes.groupby("tree").size().max())
     slot = nodes["tree"].map({t: i for i, t in enumerate(trees)}).to_numpy()
     at = nodes["node"].to_numpy()

@@ -9,19 +9,24 @@ a sweep is kept only if modularity rises, so the result does not depend on task
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.config import GraphSettings
 from tenderlens.operators.selection import layout_positions
-from tenderlens.session import checkpointed, stored
+from tenderlens.session import stored
 
 MIN_GAIN = 1e-9
 
 
+# Awards without a buyer id share one node; its name can't be that of a buyer.
+NO_BUYER = "I?"
+
+
 def buyer_node(buyer: Column) -> Column:
-    return F.concat(F.lit("I:"), buyer.cast("string"))
+    return F.coalesce(F.concat(F.lit("I:"), buyer.cast("string")), F.lit(NO_BUYER))
 
 
 def supplier_node(supplier: Column) -> Column:
@@ -29,10 +34,11 @@ def supplier_node(supplier: Column) -> Column:
 
 
 def pair_edges(tenders: DataFrame, score_col: str = "rule_score") -> DataFrame:
-    """Awards per (buyer, supplier): count, amount, mean score, first labels (50 chars)."""
+    """Awards per (buyer, supplier): count, amount, mean score, first labels (50 chars).
+    A missing buyer is a buyer like any other."""
     label = F.col("tender_id")
     return (
-        tenders.filter(F.col("winner_id").isNotNull() & F.col("buyer_id").isNotNull())
+        tenders.filter(F.col("winner_id").isNotNull())
         .groupBy("buyer_id", "winner_id")
         .agg(
             F.count("*").alias("n_awards"),
@@ -60,7 +66,7 @@ def graph_vertices(pairs: DataFrame) -> DataFrame:
         F.struct(buyer_node(F.col("buyer_id")).alias("id"), F.lit("buyer").alias("kind"),
                  F.col("buyer_label").alias("label"), F.col("winner_id").cast("string").alias("other")),
         F.struct(supplier_node(F.col("winner_id")).alias("id"), F.lit("supplier").alias("kind"),
-                 F.col("supplier_label").alias("label"), F.col("buyer_id").cast("string").alias("other")),
+                 F.col("supplier_label").alias("label"), F.coalesce(F.col("buyer_id").cast("string"), F.lit("")).alias("other")),
     ))
     return pairs.select(sides).groupBy("id", "kind").agg(F.min_by("label", "other").alias("label"))
 
@@ -181,13 +187,16 @@ def _top_quarter_gain(position: _Position, colour: int) -> float:
 
 
 def _settle(level: _Level, settings: GraphSettings) -> _Position:
-    """Move colours in turn until neither raises modularity enough."""
+    """Move colours in turn until neither raises modularity enough. A bound on sweeps that is
+    reached is an error, not an early result."""
     start = level.vertices.withColumn("comm", F.col("v"))
     position = _evaluate(level, start, settings.resolution)
     idle, colour = 0, 0
-    for _ in range(settings.max_sweeps):
+    for sweep in count():
         if idle == 2 or position.movers == (0, 0):
             break
+        if settings.max_sweeps is not None and sweep >= settings.max_sweeps:
+            raise RuntimeError(f"communities: modularity still rises after {sweep} sweeps of a level")
         before = position.modularity
         if position.movers[colour]:
             tried = _evaluate(level, _moved(position, colour, 0.0), settings.resolution)
@@ -228,7 +237,9 @@ def communities(edges: DataFrame, settings: GraphSettings = GraphSettings()) ->
         return names.select("id", F.lit(0).cast("int").alias("community"))
     member = names.select("id", F.col("v").alias("comm"), F.col("v").alias("rank"))
     reached = None
-    for _ in range(settings.max_levels):
+    for depth in count():
+        if settings.max_levels is not None and depth >= settings.max_levels:
+            raise RuntimeError(f"communities: modularity still rises after {depth} levels")
         position = _settle(level, settings)
         if reached is not None and position.modularity <= reached + MIN_GAIN:
             break
@@ -277,15 +288,17 @@ def attach_community_features(
 
     ``fit_until`` takes the statistics from tenders published before that year only.
     """
-    buyers = assignment.filter(F.col("id").startswith("I:")).select(
-        F.expr("substring(id, 3)").alias("_buyer"), F.col("community").alias("community_id")
-    )
+    # Both small sides are stored: each join then has two shuffles of its own, so adaptive
+    # execution can split a buyer or a community that holds most tenders.
+    buyers = stored(assignment.filter(F.col("id").startswith("I")).select(
+        F.col("id").alias("_buyer"), F.col("community").alias("community_id")
+    ))
     placed = (
-        tenders.join(buyers, F.col("buyer_id").cast("string") == F.col("_buyer"), "left")
+        tenders.join(buyers, buyer_node(F.col("buyer_id")) == F.col("_buyer"), "left")
         .drop("_buyer")
         .withColumn("community_id", F.coalesce("community_id", F.lit(-1)))
     )
-    stats = community_stats(placed, score_col, fit_until)
+    stats = stored(community_stats(placed, score_col, fit_until))
     return placed.join(stats.drop("n_tenders"), "community_id", "left")
 
 

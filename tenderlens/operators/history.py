@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderlens.functions.scalars import ratio_or
 from tenderlens.operators.selection import HOT_KEY_ROWS, hot_keys, running_positions
-from tenderlens.session import checkpointed
+from tenderlens.session import stored
 
 PAIR = ("buyer_id", "winner_id")
 SUPPLIER = ("winner_id",)
@@ -24,7 +24,7 @@ def prior_concentration(
     them, and numbered three times. The pair window reuses the buyer window's partitioning; keys above ``hot_rows`` leave the
     windows for a range layout.
     """
-    awards = checkpointed(
+    awards = stored(
         tenders.filter(F.col("winner_id").isNotNull()).select("tender_id", "buyer_id", "winner_id", order_by)
     )
     order = [F.col(order_by).asc_nulls_first(), F.col("tender_id").asc()]

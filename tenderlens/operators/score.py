@@ -24,7 +24,7 @@ def combine_scores(
 ) -> DataFrame:
     """Add rule_part, anomaly_part (the true weighted terms) and risk_score (0-100).
 
-    Bounds and maximum are scalar subqueries over the input, so give it a checkpointed
+    Bounds and maximum are scalar subqueries over the input, so give it a stored
     or stored table when computing the input is expensive.
     """
     bounds = tenders.agg(F.struct(*[

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenderlens.session import checkpointed
+from tenderlens.session import stored
 
 # Values an exact step may hold in one aggregation buffer.
 DIRECT_LIMIT = 200_000
@@ -155,6 +155,25 @@ def keep_top(df: DataFrame, order: Sequence[Column], k: int, spread_on: Column,
     )
 
 
+def top_by_count(df: DataFrame, count: str, name: str, k: int) -> DataFrame:
+    """The ``k`` rows of greatest ``count``; equal counts are cut in the order of ``name``. Give it a stored table.
+
+    Rows are never sorted together. How many rows have each count says at which count the
+    cut falls (there are far fewer different counts than rows); rows above it pass a filter,
+    and only rows with just that count are ordered, each task for itself first.
+    """
+    sizes = df.groupBy(count).agg(F.count("*").alias("_rows"))
+    down = Window.orderBy(F.desc(count)).rowsBetween(Window.unboundedPreceding, 0)
+    cut = (
+        sizes.withColumn("_sum", F.sum("_rows").over(down)).filter(F.col("_sum") >= k)
+        .agg(F.max_by(F.struct(F.col(count).alias("at"), (F.col("_sum") - F.col("_rows")).alias("above")), count).alias("c")).first()["c"]
+    )
+    if cut is None:
+        return df
+    tied = df.filter(F.col(count) == cut["at"]).orderBy(F.asc(name)).limit(k - cut["above"])
+    return df.filter(F.col(count) > cut["at"]).unionByName(tied)
+
+
 def _renamed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
     """``df`` with its keys renamed, and the null-safe condition matching them by name."""
     renamed = df.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -167,12 +186,12 @@ def layout_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column]
 
     Rows are range-partitioned by (keys, order), so a large key spans several partitions.
     A row's position is the size of its key's earlier partitions plus its offset in its
-    own; the layout is checkpointed because partition bounds come from a sample.
+    own; the layout is stored because partition bounds come from a sample.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = df.columns
     sort_key = [F.col(k).asc_nulls_first() for k in keys] + list(order)
-    laid = checkpointed(
+    laid = stored(
         df.repartitionByRange(parts, *sort_key)
         .sortWithinPartitions(*sort_key)
         .withColumn("_seq", F.monotonically_increasing_id())
@@ -201,7 +220,7 @@ def hot_keys(df: DataFrame, key_sets: Sequence[Sequence[str]], limit: int) -> li
         .agg(F.count("*").alias("_n"), F.grouping_id().alias("_set"))
         .filter(F.col("_n") > limit)
     )
-    found = checkpointed(grouped)
+    found = stored(grouped)
     present = {r["_set"] for r in found.select("_set").distinct().collect()}
     result: list[DataFrame | None] = []
     for keys in key_sets:

@@ -15,8 +15,7 @@ from tenderlens.functions.scalars import (
     parse_timestamp,
     ratio_or,
 )
-
-DATE_COLUMNS = ("published_at", "closed_at", "awarded_at")
+from tenderlens.sources.columns import DATE_COLUMNS
 
 
 def parse_timestamps(
@@ -36,6 +35,7 @@ def timestamp_failures(
     return df.agg(*[
         F.count_if(~is_sentinel(F.col(c)) & parse_timestamp(F.col(c), formats).isNull()).alias(c)
         for c in columns
+        if c in df.columns
     ])
 
 

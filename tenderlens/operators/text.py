@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tenderlens.config import LOST, WON, TextSettings
 from tenderlens.functions.text import one_two_grams, text_hash, tokens
 from tenderlens.functions.vectors import dense_dot, sparse_dot
-from tenderlens.operators.selection import keep_top
-from tenderlens.session import checkpointed
+from tenderlens.operators.selection import layout_positions, top_by_count
+from tenderlens.session import stored
 
 SIDE_A, SIDE_B = "item_text", "offer_text"
 
@@ -56,22 +55,26 @@ def term_counts(texts: DataFrame) -> DataFrame:
     )
 
 
-def fit_vocabulary(texts: DataFrame, settings: TextSettings = TextSettings()) -> DataFrame:
+def fit_vocabulary(
+    texts: DataFrame, settings: TextSettings = TextSettings(), counts: DataFrame | None = None
+) -> DataFrame:
     """Terms in enough texts, the most frequent ones first, with smoothed idf.
 
-    At most ``max_terms`` rows, which bounds the numbering window and every broadcast of
-    this table. Equal frequencies are cut in term order.
+    At most ``max_terms`` rows; equal frequencies are cut in term order. Terms are numbered
+    in the range layout, so without a limit the table may have any size. ``counts`` are the
+    stored term counts of the texts.
     """
     n_texts = texts.agg(F.sum("copies").alias("n")).scalar()
     frequent = (
-        term_counts(texts)
+        (term_counts(texts) if counts is None else counts)
         .groupBy("term")
         .agg(F.sum("copies").alias("n_texts"), F.sum(F.col("tf") * F.col("copies")).alias("occurrences"))
         .filter(F.col("n_texts") >= settings.min_texts)
     )
-    top = keep_top(frequent, [F.desc("occurrences"), F.asc("term")], settings.max_terms, F.col("term"))
-    return top.select(
-        (F.row_number().over(Window.orderBy(F.desc("occurrences"), F.asc("term"))) - 1).alias("term_id"),
+    if settings.max_terms is not None:
+        frequent = top_by_count(stored(frequent), "occurrences", "term", settings.max_terms)
+    return layout_positions(frequent, [], [F.desc("occurrences"), F.asc("term")], "term_id").select(
+        F.col("term_id").cast("int"),
         "term",
         "n_texts",
         "occurrences",
@@ -79,11 +82,12 @@ def fit_vocabulary(texts: DataFrame, settings: TextSettings = TextSettings()) ->
     )
 
 
-def tfidf_vectors(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """One sparse unit vector per text with at least one known term."""
+def tfidf_vectors(texts: DataFrame, vocabulary: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """One sparse unit vector per text with at least one known term. Whether the vocabulary is
+    broadcast depends on its size, which Spark knows of a stored table."""
     weighted = (
-        term_counts(texts)
-        .join(F.broadcast(vocabulary.select("term", "term_id", "idf")), "term")
+        (term_counts(texts) if counts is None else counts)
+        .join(stored(vocabulary.select("term", "term_id", "idf")), "term")
         .select("slot", "text_hash", "term_id", (F.col("tf") * F.col("idf")).alias("w"))
     )
     return weighted.groupBy("slot", "text_hash").agg(
@@ -123,10 +127,11 @@ def lexical_similarity(
 ) -> DataFrame:
     """TF-IDF cosine per distinct (a_hash, b_hash) of the hashed offer lines.
 
-    The vectors are stored once because both sides of every pair read them.
+    Texts are cut into terms once; counts and vectors are stored, as both are read twice.
     """
-    texts = corpus(hashed)
-    vectors = checkpointed(tfidf_vectors(texts, fit_vocabulary(texts, settings)))
+    texts = stored(corpus(hashed))
+    counts = stored(term_counts(texts))
+    vectors = stored(tfidf_vectors(texts, fit_vocabulary(texts, settings, counts), counts))
     return pair_cosines(distinct_pairs(hashed) if pairs is None else pairs, vectors)
 
 

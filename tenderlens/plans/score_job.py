@@ -23,10 +23,11 @@ from tenderlens.operators.text import (
     pair_lines,
     with_text_hashes,
 )
-from tenderlens.session import checkpointed, stored
+from tenderlens.session import barriers, stored
 from tenderlens.sources.tables import (
     append_embeddings,
     append_run_log,
+    drop_old_versions,
     read_embeddings,
     read_snapshot,
     write_snapshot,
@@ -42,7 +43,7 @@ def tender_features(
     """
     offers = parse_timestamps(offers)
     tenders = tier1_flags(assemble_tenders(offers, row_order, settings.null_counts_as_bidder), settings.flags)
-    return attach_history(checkpointed(tenders), settings.history_order)
+    return attach_history(stored(tenders), settings.history_order)
 
 
 def attach_lexical(tenders: DataFrame, hashed: DataFrame, lines: DataFrame, settings: ScoringSettings) -> DataFrame:
@@ -95,10 +96,10 @@ def score_tenders(
     tenders = attach_lexical(tenders, hashed, lines, settings)
     if make_encoder is not None:
         tenders = attach_dense(tenders, hashed, lines, make_encoder, model, cache_path)
-    first = checkpointed(rule_score(tenders, settings.weights))
+    first = stored(rule_score(tenders, settings.weights))
     anomalies = isolation_scores(first, features, settings.forest).select("tender_id", "anomaly")
     ruled = rule_score(community_features(first, settings.graph), settings.weights)
-    scored = checkpointed(ruled.join(anomalies, "tender_id", "left"))
+    scored = stored(ruled.join(anomalies, "tender_id", "left"))
     return combine_scores(scored, settings.rules_share, settings.forest_share)
 
 
@@ -115,7 +116,9 @@ def run_scoring(
     if offers.isEmpty():
         append_run_log(spark, log_path, "scoring", {"state": "no_data", "n_tenders": 0, "detail": ""})
         return {"state": "no_data", "n_tenders": 0}
-    write_snapshot(score_tenders(offers, row_order, settings, **encoder), table_path)
+    with barriers(spark):
+        write_snapshot(score_tenders(offers, row_order, settings, **encoder), table_path)
+    drop_old_versions(spark, table_path)
     dense = encoder.get("make_encoder") is not None
     n_features = len(BASE_FEATURES) + len(LEXICAL_FEATURES) + (len(DENSE_FEATURES) if dense else 0)
     summary = score_summary(read_snapshot(spark, table_path), n_features, dense).first().asDict()

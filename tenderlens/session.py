@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; one is invented only for a local master."""
@@ -22,19 +26,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """Like ``checkpointed``, as a Parquet table in the checkpoint folder.
+    """Materialise ``df`` as a Parquet table in the checkpoint folder and cut its lineage.
 
-    For loops: a checkpoint still hands the optimizer the constraints of the plan behind
-    it, which pile up from turn to turn, while a table read back starts with none and
-    knows its size.
+    What reads it later is pruned and filtered at the scan, starts without the constraints
+    of the plan behind it, and knows its size.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
+    for paths in _open[-1:]:
+        paths.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def barriers(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``stored`` writes inside this block when it ends.
+
+    For jobs that leave only tables of their own; a DataFrame that still reads a barrier
+    must not leave the block.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete_folder(spark, path)

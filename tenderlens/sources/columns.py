@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.config import LOST, OTHER, WON
+from tenderlens.functions.scalars import is_sentinel, parse_number
 
 # Headers of the published CSV files -> names used here.
 COLUMN_NAMES = {
@@ -80,17 +81,45 @@ REQUIRED = {
 }
 
 
+# Columns of the files that hold a point in time.
+DATE_COLUMNS = tuple(ours for theirs, ours in COLUMN_NAMES.items() if theirs.startswith("Fecha"))
+
+
+def _renamed(clean: DataFrame) -> DataFrame:
+    return clean.withColumnsRenamed({c: COLUMN_NAMES[c] for c in clean.columns if c in COLUMN_NAMES})
+
+
+def _typed(df: DataFrame, column: str, kind: str) -> Column:
+    """Numbers may come as text with a decimal comma, whatever the rest of their column holds."""
+    if column not in df.columns:
+        return F.lit(None).cast(kind)
+    if kind == "double" and df.schema[column].dataType.simpleString() == "string":
+        return parse_number(F.col(column))
+    return F.col(column).cast(kind)
+
+
+def unreadable_numbers(clean: DataFrame) -> DataFrame:
+    """One row: per number column that is text, the values that are no number and no placeholder.
+
+    ``to_offer_lines`` makes them null; jobs log these counts.
+    """
+    df = _renamed(clean)
+    texts = [c for c, k in REQUIRED.items() if k == "double" and c in df.columns and df.schema[c].dataType.simpleString() == "string"]
+    bad = {c: F.count_if(~is_sentinel(F.col(c)) & parse_number(F.col(c)).isNull()) for c in texts}
+    return df.agg(F.count("*").alias("n_rows"), *[n.alias(c) for c, n in bad.items()])
+
+
 def to_offer_lines(clean: DataFrame) -> DataFrame:
     """Rename a cleaned file table, normalise outcomes and visibility, add absent columns.
 
+    A number column that stayed text is read value by value, so one bad cell costs itself
+    only; ``unreadable_numbers`` counts such cells.
+
     The estimate counts as visible for the literal label or for any amount in the
     visibility column, which is how the tender feed reports it.
     """
-    names = {c: COLUMN_NAMES[c] for c in clean.columns if c in COLUMN_NAMES}
-    df = clean.withColumnsRenamed(names)
-    df = df.withColumns({
-        c: F.lit(None).cast(t) if c not in df.columns else F.col(c).try_cast(t) for c, t in REQUIRED.items()
-    })
+    df = _renamed(clean)
+    df = df.withColumns({c: _typed(df, c, t) for c, t in REQUIRED.items()})
     visible = F.col("estimate_visible")
     return df.withColumns({
         "outcome": F.when(F.col("outcome") == OUTCOME_WON, WON)

@@ -12,6 +12,9 @@ from tenderlens.operators.cleaning import text_columns, union_by_name
 SEPARATOR = ";"
 ENCODING = "ISO-8859-1"
 ROW_ORDER = "row_id"
+MISFIT = "misfit_row"
+# So many file names (some MB) may be broadcast; with more of them the join shuffles.
+LISTED = 50_000
 
 # Cells read as missing.
 NULL_MARKERS = (
@@ -34,16 +37,24 @@ def _reader(spark: SparkSession, multi_line: bool):
     return (
         spark.read.option("sep", SEPARATOR).option("encoding", ENCODING).option("header", True)
         .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", True)
+        .option("columnNameOfCorruptRecord", MISFIT)
     )
 
 
-def read_offers_csv(spark: SparkSession, folders: Sequence[str], multi_line: bool = True) -> list[DataFrame]:
+def has_line_breaks_in_cells(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """Whether some line holds an odd number of quotes, so that its last cell goes on in the next."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(list(paths)).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_offers_csv(spark: SparkSession, folders: Sequence[str], multi_line: bool | None = None) -> list[DataFrame]:
     """One typed DataFrame per distinct header found in the folders' CSV files.
 
-    Files sharing a header are read together. Every frame gets ``row_id``, which follows
-    file order, then line order. ``multi_line=False`` lets Spark split big files when no
-    quoted cell holds a line break.
+    Files sharing a header are read together, and large ones are split, unless a quoted cell
+    holds a line break (``multi_line`` true, or found by a scan when it is None). Every frame
+    gets ``row_id``, a struct that sorts by file, place of the split and line, and
+    ``misfit_row``: the raw line where a row has more or fewer cells than the header (its
+    cells are read as far as they go), null elsewhere. A file that can't be read is an error.
     """
     files = [f for folder in folders for f in csv_files(spark, folder)]
     by_header: dict[tuple[str, ...], list[str]] = {}
@@ -54,28 +65,31 @@ def read_offers_csv(spark: SparkSession, folders: Sequence[str], multi_line: boo
     numbers = spark.createDataFrame(list(enumerate(files)) or [], "_file_no int, _file string")
     frames = []
     for header, paths in by_header.items():
-        schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in header)
-        raw = _reader(spark, multi_line).schema(schema).csv(paths)
-        line = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
-        keyed = raw.select(*[F.col("`" + c.replace("`", "``") + "`") for c in header],
-                           F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("_file"),
-                           line.alias("_line"))
-        ordered = keyed.join(F.broadcast(numbers), "_file", "left").withColumn(
-            ROW_ORDER, F.col("_file_no").cast("long") * 2**33 + F.col("_line")
+        schema = ", ".join("`" + c.replace("`", "``") + "` string" for c in (*header, MISFIT))
+        broken = has_line_breaks_in_cells(spark, paths) if multi_line is None else multi_line
+        raw = _reader(spark, broken).schema(schema).csv(paths)
+        # A task may read several splits, each in one go: inside a split its line count only rises.
+        keyed = raw.select(
+            *[F.col("`" + c.replace("`", "``") + "`") for c in (*header, MISFIT)],
+            F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("_line"),
         )
-        frames.append(infer_numbers(with_nulls(ordered.drop("_file", "_file_no", "_line"))))
+        order = F.struct(F.col("_file_no").alias("file"), F.col("_start").alias("start"), F.col("_line").alias("line"))
+        ordered = keyed.join(F.broadcast(numbers) if len(files) <= LISTED else numbers, "_file", "left").withColumn(ROW_ORDER, order)
+        frames.append(infer_numbers(with_nulls(ordered.drop("_file", "_file_no", "_start", "_line"))))
     return frames
 
 
 def with_nulls(df: DataFrame) -> DataFrame:
     return df.withColumns({
-        c: F.when(~F.col(f"`{c}`").isin(list(NULL_MARKERS)), F.col(f"`{c}`")) for c in text_columns(df)
+        c: F.when(~F.col(f"`{c}`").isin(list(NULL_MARKERS)), F.col(f"`{c}`")) for c in text_columns(df) if c != MISFIT
     })
 
 
 def infer_numbers(df: DataFrame) -> DataFrame:
     """Text columns that hold only numbers become bigint or double: one pass for all."""
-    texts = text_columns(df)
+    texts = [c for c in text_columns(df) if c != MISFIT]
     if not texts:
         return df
     row = df.agg(*[
@@ -97,5 +111,5 @@ def infer_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns(casts)
 
 
-def read_all_offers(spark: SparkSession, folders: Sequence[str], multi_line: bool = True) -> DataFrame:
+def read_all_offers(spark: SparkSession, folders: Sequence[str], multi_line: bool | None = None) -> DataFrame:
     return union_by_name(read_offers_csv(spark, folders, multi_line))

@@ -6,14 +6,16 @@ so a failed or repeated write never leaves a half-replaced table.
 
 from __future__ import annotations
 
-import logging
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderlens.functions.scalars import parse_number
+from tenderlens.session import delete_folder
+
 STATE_SCHEMA = "code string, state int"
 GONE = -1
 EMBEDDING_SCHEMA = "text_hash string, model string, embedding array<float>"
@@ -68,6 +70,12 @@ def write_snapshot(df: DataFrame, path: str, version: int | None = None, partiti
     return version
 
 
+def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete all but the newest ``keep`` finished versions; one older stays for readers that began before."""
+    for version in _versions(spark, path)[: -max(keep, 1)]:
+        delete_folder(spark, f"{path}/v={version}")
+
+
 def table_exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
@@ -77,9 +85,21 @@ def table_columns(spark: SparkSession, name: str) -> list[str]:
 
 
 def project_common_columns(batch: DataFrame, target: DataFrame) -> DataFrame:
-    """The batch columns that the target has, in the target's types."""
+    """The batch columns that the target has, in the target's types. Text becomes a number with
+    a decimal comma or point; a value that doesn't fit its type ends the job, it is not lost."""
     types = {f.name: f.dataType for f in target.schema}
-    return batch.select(*[F.col(c).try_cast(types[c]).alias(c) for c in batch.columns if c in types])
+    given = {f.name: f.dataType for f in batch.schema}
+    return batch.select(*[_fitted(c, given[c], types[c]) for c in batch.columns if c in types])
+
+
+def _fitted(name: str, given: T.DataType, wanted: T.DataType) -> Column:
+    value = F.col(name)
+    if given == wanted:
+        return value
+    number = isinstance(given, T.StringType) and isinstance(wanted, (T.DoubleType, T.FloatType))
+    fitted = parse_number(value).cast(wanted) if number else value.try_cast(wanted)
+    message = F.concat(F.lit(f"column {name}: no {wanted.simpleString()}: "), value.cast("string"))
+    return F.when(value.isNotNull() & fitted.isNull(), F.raise_error(message)).otherwise(fitted).cast(wanted).alias(name)
 
 
 def upsert_by_key(target: DataFrame | None, batch: DataFrame, key: str) -> DataFrame:
@@ -93,10 +113,14 @@ def upsert_by_key(target: DataFrame | None, batch: DataFrame, key: str) -> DataF
     return kept.unionByName(project_common_columns(batch, target), allowMissingColumns=True)
 
 
-def overlay_offers(bulk: DataFrame, updates: DataFrame, key: str = "tender_id", status: str = "status") -> DataFrame:
+def overlay_offers(
+    bulk: DataFrame, updates: DataFrame, key: str = "tender_id", status: str = "status", order: Sequence[str] = ()
+) -> DataFrame:
     """Bulk offer lines plus update rows of tenders the bulk lacks, so an update never
-    erases bids; the status of an updated tender is the update's."""
-    newest = updates.select(key, F.col(status).alias("_status")).dropDuplicates([key])
+    erases bids; the status of an updated tender is the update's. Of several update rows
+    the last by ``order`` counts, or by all their columns."""
+    last = F.struct(*[F.col(c) for c in order or updates.columns])
+    newest = updates.groupBy(key).agg(F.max_by(F.col(status), last).alias("_status"))
     refreshed = bulk.join(newest, key, "left").withColumn(status, F.coalesce("_status", status)).drop("_status")
     extra = updates.join(bulk.select(key).distinct(), key, "left_anti")
     return refreshed.select(*bulk.columns).unionByName(project_common_columns(extra, bulk), allowMissingColumns=True)
@@ -108,16 +132,20 @@ def upsert_embeddings(cache: DataFrame | None, rows: DataFrame) -> DataFrame:
 
 
 def append_embeddings(rows: DataFrame, path: str) -> None:
-    """Add vectors to the stored cache; what is there is not rewritten."""
-    rows.write.mode("append").parquet(path)
+    """Add vectors to the stored cache, a folder for each model. What is there stays and is
+    not added again, so readers need not look for repeats."""
+    new = rows.dropDuplicates(["text_hash", "model"])
+    if _has_files(rows.sparkSession, path):
+        known = rows.sparkSession.read.schema(EMBEDDING_SCHEMA).parquet(path).select("text_hash", "model")
+        new = new.join(known, ["text_hash", "model"], "left_anti")
+    new.select("text_hash", "model", "embedding").write.mode("append").partitionBy("model").parquet(path)
 
 
 def read_embeddings(spark: SparkSession, path: str | None, model: str) -> DataFrame:
-    """Stored vectors of one model, one per text (two runs may have added the same one)."""
+    """Stored vectors of one model, one per text; only its folder is read."""
     if path is None or not _has_files(spark, path):
         return spark.createDataFrame([], EMBEDDING_SCHEMA)
-    stored = spark.read.schema(EMBEDDING_SCHEMA).parquet(path)
-    return stored.filter(F.col("model") == model).dropDuplicates(["text_hash"])
+    return spark.read.schema(EMBEDDING_SCHEMA).parquet(path).filter(F.col("model") == model)
 
 
 # --- run logs ------------------------------------------------------------------------
@@ -149,13 +177,9 @@ def append_run_log(spark: SparkSession, path: str, kind: str, record: Mapping) -
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Known code states; a missing or unreadable table counts as empty."""
-    try:
-        found = read_snapshot(spark, path)
-        return spark.createDataFrame([], STATE_SCHEMA) if found is None else found.select("code", "state")
-    except Exception as e:  # noqa: BLE001 - a damaged state only means everything is new again
-        logging.getLogger(__name__).warning("code states unreadable, taken as empty: %s", e)
-        return spark.createDataFrame([], STATE_SCHEMA)
+    """Known code states; a missing table counts as empty, a damaged one is an error."""
+    found = read_snapshot(spark, path)
+    return spark.createDataFrame([], STATE_SCHEMA) if found is None else found.select("code", "state")
 
 
 def advance_state(known: DataFrame, processed: DataFrame) -> DataFrame:
@@ -180,7 +204,10 @@ def write_days(df: DataFrame, path: str, day: str = "day") -> None:
 
 
 def last_synced_day(spark: SparkSession, path: str, day: str = "day") -> date | None:
-    """Newest day stored (a partition listing, no data is read)."""
+    """Newest day stored, from the names of the partition folders; no data is read."""
     if not _has_files(spark, path):
         return None
-    return spark.read.parquet(path).agg(F.max(day).alias("d")).first()["d"]
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    days = [n.removeprefix(f"{day}=") for n in names if n.startswith(f"{day}=")]
+    return max((date.fromisoformat(d) for d in days if d != "__HIVE_DEFAULT_PARTITION__"), default=None)

@@ -98,22 +98,25 @@ def parse_details(df: DataFrame, json_column: str) -> DataFrame:
 
 
 def read_tender_details(
-    spark: SparkSession, path: str, code_from_file: bool = True, codes: Sequence[str] | None = None
+    spark: SparkSession, path: str, code_from_file: bool = True, codes: DataFrame | None = None
 ) -> DataFrame:
     """Landed detail responses: code, first listed detail (null when none), failed flag.
 
     One JSON object per file, named after its code; a file that does not parse is failed.
-    With ``codes`` only their files are opened: the file name filter prunes the listing.
+    With ``codes`` (a column ``code``) only their files are kept, by a join on the file's name.
     """
     raw = spark.read.schema(DETAIL_FILE_SCHEMA).option("multiLine", True).option(
         "columnNameOfCorruptRecord", "_corrupt_record"
     ).json(path, pathGlobFilter="*.json")
-    if codes is not None:
-        raw = raw.filter(F.col("_metadata.file_name").isin([f"{c}.json" for c in codes]))
     detail = F.get("Listado", F.lit(0))
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     code = name if code_from_file else detail["CodigoExterno"]
-    return raw.select(code.alias("code"), detail.alias("detail"), F.col("_corrupt_record").isNotNull().alias("failed"))
+    found = raw.select(
+        code.alias("code"), detail.alias("detail"), F.col("_corrupt_record").isNotNull().alias("failed"), name.alias("_named")
+    )
+    if codes is not None:
+        found = found.join(codes.select(F.col("code").alias("_named")), "_named", "left_semi")
+    return found.drop("_named")
 
 
 def listing_codes(listing: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Incremental tender sync: changed codes, their details, upsert, state, log.
 
 Each landed listing is one micro-batch. A batch works on tables written by the previous
-one and is skipped if its own version already exists, so re-delivery changes nothing.
+one and is skipped if the log already has its listing, so re-delivery changes nothing,
+whatever number the stream gives the batch.
 Upserts go to a table of updates beside the bulk table: an hourly batch never rewrites the
 bulk, and a bulk reload never loses an update. ``current_offers`` shows both as one.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tenderlens.session import checkpointed
+from tenderlens.session import barriers, stored
 from tenderlens.sources import tables
 from tenderlens.sources.columns import to_offer_lines
 from tenderlens.sources.tender_json import (
@@ -25,8 +26,6 @@ from tenderlens.sources.tender_json import (
     read_tender_details,
 )
 
-MAX_DETAILS = 5000
-
 
 def changed_or_new(listing: DataFrame, known: DataFrame) -> DataFrame:
     """Listed codes whose state is unknown or differs."""
@@ -44,10 +43,18 @@ def active_codes(clean: DataFrame, status: str = "Publicada") -> DataFrame:
     return clean.filter(F.col("status") == status).select(F.col("tender_id").cast("string").alias("code")).distinct()
 
 
-def pending_codes(listing: DataFrame, known: DataFrame, active: DataFrame, cap: int = MAX_DETAILS) -> DataFrame:
-    """Codes to query this run, at most ``cap`` in code order; the rest wait for the next."""
+def pending_codes(
+    listing: DataFrame, known: DataFrame, active: DataFrame, cap: int | None = None, attempts: DataFrame | None = None
+) -> DataFrame:
+    """Codes to query this run. With a ``cap`` those come first that were never tried, then those
+    whose last try (``attempts``: code, last) is longest ago, so no code waits for ever."""
     pending = changed_or_new(listing, known).unionByName(vanished_codes(active, listing)).distinct()
-    return pending.orderBy("code").limit(cap)
+    if cap is None:
+        return pending
+    if attempts is None:
+        return pending.orderBy("code").limit(cap)
+    tried = pending.join(attempts, "code", "left")
+    return tried.orderBy(F.col("last").asc_nulls_first(), "code").limit(cap).select("code")
 
 
 @dataclass
@@ -64,7 +71,7 @@ def sync_batch(listing: DataFrame, pending: DataFrame, details: DataFrame) -> Sy
     unmarked; codes outside the sector are marked but not stored. A processed code absent
     from the listing is marked gone.
     """
-    answered = checkpointed(pending.join(details, "code"))
+    answered = stored(pending.join(details, "code"))
     found = answered.filter(~F.col("failed") & F.col("detail").isNotNull())
     wanted = found.filter(in_sector(F.col("detail.Comprador.NombreOrganismo")))
     upserts = to_offer_lines(flatten_details(wanted, renamed=False))
@@ -116,39 +123,58 @@ def _active_now(spark: SparkSession, bulk: DataFrame | None, updates: DataFrame
     return active
 
 
-def apply_listing(spark: SparkSession, listing: DataFrame, version: int, paths: SyncPaths, cap: int = MAX_DETAILS) -> bool:
-    """Run one listing against the stored tables. The state is written last, so a batch
-    that died half-way is simply repeated; returns False when it was already done.
+def _attempts(spark: SparkSession, paths: SyncPaths) -> DataFrame:
+    found = tables.read_snapshot(spark, f"{paths.state}-attempts")
+    return spark.createDataFrame([], "code string, last long") if found is None else found
+
 
-    The pending codes reach the driver, at most ``cap`` of them, to name the detail files.
+def apply_listing(
+    spark: SparkSession, listing: DataFrame, listing_id: str, paths: SyncPaths, cap: int | None = None
+) -> bool:
+    """Run one listing against the stored tables; returns False when it was already done.
+
+    The log row, which names the listing, is written last: a batch that died half-way is
+    repeated, finds its own upserts and states, and logs once. Codes queried without an
+    answer are kept with the number of the run, for the order under a ``cap``.
     """
-    if tables.has_version(spark, paths.state, version):
+    log = tables.read_log(spark, paths.log, "sync")
+    if not log.filter(F.col("detail") == listing_id).isEmpty():
         return False
-    listing = checkpointed(listing)
-    known = tables.read_state(spark, paths.state)
-    bulk, updates = tables.read_snapshot(spark, paths.bulk), tables.read_snapshot(spark, paths.updates)
-    pending = checkpointed(pending_codes(listing, known, _active_now(spark, bulk, updates), cap))
-    codes = [r["code"] for r in pending.collect()]
-    result = sync_batch(listing, pending, read_tender_details(spark, paths.details, codes=codes))
-    counts = result.counts.first()
-    if counts["n_upserted"]:
-        tables.write_snapshot(tables.upsert_by_key(updates, result.upserts, "tender_id"), paths.updates)
-    tables.append_run_log(spark, paths.log, "sync", {"state": "ok", "detail": "", **counts.asDict()})
-    tables.write_snapshot(tables.advance_state(known, result.processed), paths.state, version)
+    with barriers(spark):
+        listing = stored(listing)
+        known, attempts = tables.read_state(spark, paths.state), _attempts(spark, paths)
+        bulk, updates = tables.read_snapshot(spark, paths.bulk), tables.read_snapshot(spark, paths.updates)
+        pending = stored(pending_codes(listing, known, _active_now(spark, bulk, updates), cap, attempts))
+        result = sync_batch(listing, pending, read_tender_details(spark, paths.details, codes=pending))
+        counts = result.counts.first()
+        if counts["n_upserted"]:
+            tables.write_snapshot(tables.upsert_by_key(updates, result.upserts, "tender_id"), paths.updates)
+        run = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        tried = pending.join(result.processed, "code", "left_anti").select("code", F.lit(run).cast("long").alias("last"))
+        kept = attempts.join(pending, "code", "left_anti").unionByName(tried)
+        tables.write_snapshot(kept, f"{paths.state}-attempts")
+        tables.write_snapshot(tables.advance_state(known, result.processed), paths.state)
+    for path in (paths.updates, paths.state, f"{paths.state}-attempts"):
+        tables.drop_old_versions(spark, path)
+    tables.append_run_log(spark, paths.log, "sync", {"state": "ok", "detail": listing_id, **counts.asDict()})
     return True
 
 
 def start_sync(
-    spark: SparkSession, listings: str, paths: SyncPaths, checkpoint: str, cap: int = MAX_DETAILS
+    spark: SparkSession, listings: str, paths: SyncPaths, checkpoint: str, cap: int | None = None
 ) -> StreamingQuery:
     """Process the landed listings not seen yet, one file per micro-batch, then stop."""
     stream = (
         spark.readStream.schema(LISTING_FILE_SCHEMA).option("multiLine", True)
         .option("maxFilesPerTrigger", 1).json(listings)
+        .select("*", F.concat_ws("@", "_metadata.file_path", "_metadata.file_modification_time").alias("_listing"))
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        apply_listing(batch.sparkSession, listing_codes(batch), batch_id, paths, cap)
+        # One file in a batch, so one name.
+        name = batch.agg(F.max("_listing")).first()[0]
+        if name is not None:
+            apply_listing(batch.sparkSession, listing_codes(batch), name, paths, cap)
 
     return (
         stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

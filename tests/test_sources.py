@@ -157,13 +157,82 @@ def test_log_ids_count_up(spark, tmp_path):
     assert tables.read_log(spark, path, "sync").count() == 3
 
 
-def test_unreadable_state_is_empty(spark, tmp_path):
+def test_missing_state_is_empty_and_a_damaged_one_an_error(spark, tmp_path):
     assert tables.read_state(spark, str(tmp_path / "none")).count() == 0
     broken = tmp_path / "state" / "v=0"
     broken.mkdir(parents=True)
     (broken / "_SUCCESS").write_text("")
     (broken / "part-0.parquet").write_text("not parquet")
-    assert tables.read_state(spark, str(tmp_path / "state")).count() == 0
+    with pytest.raises(Exception):
+        tables.read_state(spark, str(tmp_path / "state")).count()
+
+
+def test_upsert_refuses_to_lose_a_value(spark):
+    target = spark.createDataFrame([("a", 1.0, 1)], "k string, x double, n int")
+    good = spark.createDataFrame([("b", "12,5", "7")], "k string, x string, n string")
+    assert {tuple(r) for r in tables.upsert_by_key(target, good, "k").collect()} == {("a", 1.0, 1), ("b", 12.5, 7)}
+    bad = spark.createDataFrame([("b", "n/d", "7")], "k string, x string, n string")
+    with pytest.raises(Exception, match="column x"):
+        tables.upsert_by_key(target, bad, "k").collect()
+
+
+def test_one_bad_amount_costs_itself_only(spark, tmp_path):
+    rows = [f"L-{i};S-1;Ganadora;{i},5;1;1;x" for i in range(1, 100)]
+    write_csv(tmp_path / "a", "1.csv", HEADER, *rows, "L-100;S-1;Ganadora;n/d;1;1;x", "L-101;S-1;Ganadora;7;1;1;x;surplus", "L-102;S-2")
+    table, log = str(tmp_path / "clean"), str(tmp_path / "log")
+    ingest_offers(spark, [str(tmp_path / "a")], table, log)
+    clean = tables.read_snapshot(spark, table)
+    assert clean.count() == 102 and clean.filter("offer_total IS NULL").count() == 2
+    assert clean.filter("tender_id = 'L-7'").first()["offer_total"] == 7.5
+    entry = tables.read_log(spark, log, "ingestion").first()
+    assert entry["state"] == "with_losses"
+    assert json.loads(entry["detail"]) == {"misfit_rows": 2, "unreadable_numbers": {"offer_total": 1}}
+
+
+def test_rows_of_a_split_file_keep_their_order(spark, tmp_path):
+    rows = [f"L-{i};S-1;Ganadora;{i};1;1;x" for i in range(20_000)]
+    write_csv(tmp_path / "a", "1.csv", HEADER, *rows)
+    write_csv(tmp_path / "a", "2.csv", HEADER, *[f"M-{i};S-1;Ganadora;{i};1;1;x" for i in range(5_000)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        df = offers_csv.read_all_offers(spark, [str(tmp_path / "a")])
+        assert df.rdd.getNumPartitions() > 5
+        got = [r["NroLicitacion"] for r in df.orderBy("row_id").select("NroLicitacion").collect()]
+        assert df.select("row_id").distinct().count() == 25_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"L-{i}" for i in range(20_000)] + [f"M-{i}" for i in range(5_000)]
+
+
+def test_embedding_cache_holds_each_text_once(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    rows = lambda *keys: spark.createDataFrame([(k, "m", [1.0]) for k in keys] + [("a", "other", [2.0])], tables.EMBEDDING_SCHEMA)
+    tables.append_embeddings(rows("a", "b", "b"), path)
+    tables.append_embeddings(rows("b", "c"), path)
+    assert sorted(r["text_hash"] for r in tables.read_embeddings(spark, path, "m").collect()) == ["a", "b", "c"]
+    assert tables.read_embeddings(spark, path, "other").count() == 1
+
+
+def test_old_versions_go(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(4):
+        tables.write_snapshot(spark.range(n).toDF("n"), path)
+    tables.drop_old_versions(spark, path)
+    assert not tables.has_version(spark, path, 1) and tables.has_version(spark, path, 2)
+    assert tables.read_snapshot(spark, path).count() == 3
+
+
+def test_barriers_are_deleted(spark):
+    from pathlib import Path
+
+    from tenderlens.session import barriers, stored
+
+    with barriers(spark):
+        df = stored(spark.range(3))
+        folder = Path(df.inputFiles()[0].removeprefix("file://")).parent
+        assert folder.exists() and df.count() == 3
+    assert not folder.exists()
 
 
 def test_daily_partitions_replace_only_their_day(spark, tmp_path):

@@ -26,6 +26,14 @@ def test_tokens_fold_accents_and_keep_unicode_words(spark):
     assert df.select(fold(F.lit("ÀÇ"))).first()[0] == "ac"
 
 
+@pytest.mark.parametrize("text", ["ữ ṡ ὰ", "ﬁn ﬃ ĳ", "한글 가 힣", "ｆｕｌｌ ① ℋ ½", "İstanbul Σας", "𝒜 𝔟 ﷺ", "plain", "e\u0301\u0327 o\u0308"])
+def test_folding_is_that_of_unicode(spark, text):
+    import unicodedata
+
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    assert spark.range(1).select(fold(F.lit(text)), fold(F.concat(F.lit(text), F.lit(""))).alias("b")).first()[0] == plain
+
+
 def test_grams(spark):
     df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "w array<string>")
     assert [r[0] for r in df.select(one_two_grams(F.col("w"))).collect()] == [["a", "b", "c", "a b", "b c"], ["a"], []]
