@@ -190,7 +190,7 @@ def scan_secrets(docs: DataFrame, corpus: Corpus, forest: RandomForestClassifica
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "d1", "d2", "start", "length", "value_sha256", "x"]
                 )
 
-    d1, d2 = digest(F.col("text"))
+    d1, d2 = digest(F.col("doc_id").cast("long"), F.col("text"))
     found = docs.select(F.col("doc_id").cast("long"), d1.alias("d1"), d2.alias("d2"), "text").mapInArrow(
         find, "doc_id long, d1 long, d2 long, start long, length long, value_sha256 string, x array<double>"
     )
@@ -213,7 +213,7 @@ def mask_secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found.groupBy(F.col("d1").alias("_secret_d1"), F.col("d2").alias("_secret_d2"))
         .agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("_secret_spans"))
     )
-    d1, d2 = digest(F.col("text"))
+    d1, d2 = digest(F.col("doc_id").cast("long"), F.col("text"))
     joined = docs.withColumns({"_secret_k1": d1, "_secret_k2": d2}).join(
         spans, (F.col("_secret_k1") == F.col("_secret_d1")) & (F.col("_secret_k2") == F.col("_secret_d2")), "left"
     )

@@ -75,6 +75,12 @@ def shingles(text: str | None, words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return *np.unique(_mixed(h), return_counts=True), xxhash.xxh3_128_digest(w.tobytes())
 
 
+def row_key() -> list[F.Column]:
+    """Tells rows of different doc_id or text apart; copies of one text under other doc_ids differ,
+    so no join on it gathers them."""
+    return digest(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64(COUNTERS - 1)
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
@@ -208,7 +214,7 @@ def signatures(docs: DataFrame, weights, words: int, bands: int, rows: int) -> D
                 names=["doc_id", "t1", "t2", "id", "signature", "keys"],
             )
 
-    t1, t2 = digest(F.col("text"))
+    t1, t2 = row_key()
     ddl = "doc_id long, t1 long, t2 long, id binary, signature array<int>, keys array<long>"
     return stored(docs.select(F.col("doc_id").cast("long"), t1.alias("t1"), t2.alias("t2"), "text").mapInArrow(sign, ddl))
 
@@ -236,7 +242,8 @@ class _Candidates:
                 hashes, counts = zip(*found) if found else ([], [])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["id", "hashes", "counts"])
 
-        t1, t2 = digest(F.col("text"))
+        t1, t2 = row_key()
+        # One row stands for all copies of its words.
         texts = docs.select(t1.alias("t1"), t2.alias("t2"), "text").join(wanted, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
         return stored(texts.select("id", "text").mapInArrow(collect, "id binary, hashes binary, counts binary"))
 
@@ -320,7 +327,7 @@ class _Candidates:
 def near_duplicate_classes(
     docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, t1, t2 (a digest of the text), class_id (least doc_id of its class).
+    """One row for each row of ``docs``: doc_id, t1, t2 (``row_key``), class_id (least doc_id of its class).
 
     Texts of equal words are one text from the start. Null texts and texts without a word are
     classes of their own, with their own doc_id. A row without doc_id gets the least doc_id of
@@ -346,12 +353,12 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     classes = stored(near_duplicate_classes(docs.select("doc_id", "text"), **settings))
     # Rows of a class without any doc_id: the one of least digest stays.
     best = classes.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t1", "t2")).alias("w"))
-    single = classes.filter("root IS NULL").select("doc_id", "t1", "t2").distinct()
-    kept = stored(best.select("w.doc_id", "w.t1", "w.t2").union(single).toDF("_keep_doc", "_keep_t1", "_keep_t2"))
-    t1, t2 = digest(F.col("text"))
+    single = classes.filter("root IS NULL").select("t1", "t2").distinct()
+    kept = stored(best.select("w.t1", "w.t2").union(single).toDF("_keep_t1", "_keep_t2"))
+    t1, t2 = row_key()
     marked = docs.withColumns({"_keep_k1": t1, "_keep_k2": t2})
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_doc")) & (F.col("_keep_k1") == F.col("_keep_t1")) & (F.col("_keep_k2") == F.col("_keep_t2"))
-    return marked.join(kept, match, "left_semi").dropDuplicates(["doc_id", "_keep_k1", "_keep_k2"]).select(*columns)
+    match = (F.col("_keep_k1") == F.col("_keep_t1")) & (F.col("_keep_k2") == F.col("_keep_t2"))
+    return marked.join(kept, match, "left_semi").dropDuplicates(["_keep_k1", "_keep_k2"]).select(*columns)
 
 
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
