@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.session import ensure_checkpoint_dir, stored
+from tenderlens.session import delete_folder, ensure_checkpoint_dir, stored
 
 __all__ = ["components", "digest", "scratch", "ship", "shuffle_parts", "stored", "table"]
 
@@ -74,13 +74,20 @@ def components(edges: DataFrame) -> DataFrame:
     aggregation and an equi-join on a vertex, the number of edges never grows, and passes
     grow with the logarithm of the diameter. State is a table in the checkpoint folder.
     """
-    state = stored(
-        edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    spark = edges.sparkSession
+
+    def written(df: DataFrame) -> str:
+        path = scratch(spark, "components")
+        df.write.parquet(path)
+        return path
+
+    at = written(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
-        large = _larger_neighbours(state).distinct()
-        state = stored(_smaller_neighbours(large))
+        large = _larger_neighbours(spark.read.parquet(at)).distinct()
+        last, at = at, written(_smaller_neighbours(large))
+        delete_folder(spark, last)
+        state = spark.read.parquet(at)
         now = tuple(state.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == before:
             return state.select(F.col("u").alias("id"), F.col("v").alias("root"))

@@ -38,6 +38,8 @@ IDF_SHARE = 0.25
 WORD_CACHE = 100_000
 # Rows that a task answers at a time.
 ANSWER = 1_000
+# Members of a band that are compared with each other in one task.
+BLOCK = 512
 _WORD = re.compile(r"\w+")
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -191,6 +193,14 @@ def signature(h: np.ndarray, weights: np.ndarray, samples: int, chunk: int = 102
     return chosen
 
 
+def weighted_similarity(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets of hashes in order."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = y[at] == x
+    common = np.minimum(wx[both], wy[at[both]]).sum(dtype=np.float64)
+    return float(common / (wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64) - common))
+
+
 def signatures(docs: DataFrame, weights, words: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, t1, t2, id, signature, keys) of every document; id, the digest of the words, is null without words."""
 
@@ -230,7 +240,6 @@ class _Candidates:
         self.members = stored(entries.join(buckets, "key").select("key", "id", "leader", "n"))
         wanted = self.members.select("id").distinct().join(self.texts.select("id", "t1", "t2"), "id")
         self.sets = self._sets(docs, wanted, words)
-        self.measured: DataFrame | None = None
 
     def _sets(self, docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +257,7 @@ class _Candidates:
         return stored(texts.select("id", "text").mapInArrow(collect, "id binary, hashes binary, counts binary"))
 
     def measure(self, pairs: DataFrame) -> DataFrame:
-        """Weighted similarity of distinct pairs (a, b) whose signatures agree often enough; adds to what is measured."""
+        """Weighted similarity of distinct pairs (a, b) whose signatures agree often enough."""
         weights, texts, sets = self.weights, self.texts, self.sets
         agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) / F.size("sa")
         likely = (
@@ -266,62 +275,122 @@ class _Candidates:
                 for ha, ca, hb, cb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                     x, y = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
                     wx, wy = (weights.value(h, np.frombuffer(zlib.decompress(c), "<u4")) for h, c in ((x, ca), (y, cb)))
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = y[at] == x
-                    common = np.minimum(wx[both], wy[at[both]]).sum(dtype=np.float64)
-                    found.append(common / (wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64) - common))
+                    found.append(weighted_similarity(x, wx, y, wy))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
         columns = filled.select("a", "b", "ha", "ca", "hb", "cb")
-        new = stored(columns.mapInArrow(compare, "a binary, b binary, similarity double"))
-        self.measured = new if self.measured is None else self.measured.union(new)
-        return new
+        return stored(columns.mapInArrow(compare, "a binary, b binary, similarity double"))
 
-    def roots(self) -> DataFrame:
-        return components(self.measured.filter(F.col("similarity") >= self.similarity))
+    def roots(self, pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """Components after measuring more pairs."""
+        return self._joined(self.measure(pairs).filter(F.col("similarity") >= self.similarity).select("a", "b"), before)
+
+    def _joined(self, links: DataFrame, before: DataFrame | None) -> DataFrame:
+        """The components so far stand for all links so far; without a new link they stay."""
+        if before is not None and links.isEmpty():
+            return before
+        return components(links if before is None else links.union(before.select("id", "root")))
 
     def _open(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs whose ends are still in different components."""
         of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
+    def _links_in_split_bands(self, roots: DataFrame, block: int = BLOCK) -> DataFrame:
+        """Links (a, b) between components that meet in a band, found where the members are.
+
+        Members are dealt into blocks; each pair of blocks is a group of bounded size whose
+        texts are compared in one task, in the first band that they share. Only links leave it.
+        """
+        weights, similarity = self.weights, self.similarity
+        placed = self.members.filter("n > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        split = stored(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key"))
+        dealt = (
+            placed.join(split, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+            .withColumn("side", F.when(F.col("lo") == F.col("hi"), 2).otherwise((F.col("own") == F.col("hi")).cast("int")))
+            .select("key", "lo", "hi", "side", "id", "root")
+        )
+        groups = ["key", "lo", "hi"]
+        filled = (
+            dealt.join(self.texts.select("id", "signature", "keys"), "id").join(self.sets, "id")
+            .select(*groups, "side", "id", "root", "signature", "keys", "hashes", "counts")
+            .repartition(shuffle_parts(roots.sparkSession), *groups).sortWithinPartitions(*groups)
+        )
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[dict] = []
+            for row in (r for batch in _in_answers(batches) for r in batch.to_pylist()):
+                if held and any(row[g] != held[0][g] for g in groups):
+                    yield from _answer(_links_of_group(held, weights.value, similarity))
+                    held = []
+                held.append(row)
+            yield from _answer(_links_of_group(held, weights.value, similarity))
+
+        return filled.mapInArrow(compare, "a binary, b binary")
+
     def link(self) -> DataFrame:
         """(id, root) of the components of all links within bands.
 
         First each text and the leader it shares most bands with; then its other leaders, if
-        they are in another component; then, in bands that hold several components, further
-        members with all behind them, eight times as many each time, until none is left. A pair
-        of one component would change nothing, so no component is lost by leaving it out.
+        they are in another component; then, in bands that still hold several components, all
+        members of different ones. A pair of one component would change nothing, so no
+        component is lost by leaving it out.
         """
         stars = stored(
             self.members.filter("id != leader").groupBy("id", "leader").agg(F.count("*").alias("shared"))
             .withColumn("first", F.row_number().over(Window.partitionBy("id").orderBy(F.col("shared").desc(), "leader")) == 1)
             .select(F.col("id").alias("a"), F.col("leader").alias("b"), "first")
         )
-        self.measure(stars.filter("first").select("a", "b"))
-        roots = self.roots()
+        roots = self.roots(stars.filter("first").select("a", "b"))
         others = stars.filter("NOT first").select("a", "b")
         if not others.isEmpty():
-            self.measure(self._open(others, roots))
-            roots = self.roots()
-        done = 1
-        while True:
-            placed = self.members.filter(F.col("n") > done + 1).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-            split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-            order = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-            ranked = stored(placed.join(split, "key").withColumn("rank", order).select("key", "id", "root", "rank"))
-            if ranked.filter(F.col("rank") > done + 1).isEmpty():
-                return roots
-            ahead = ranked.filter((F.col("rank") > done) & (F.col("rank") <= 8 * done)).select(
-                "key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("rank").alias("at")
-            )
-            pairs = (
-                ranked.join(ahead, "key").filter("rank > at AND root != rb").select(F.col("id").alias("a"), "b").distinct()
-                .join(stars.select("a", "b"), ["a", "b"], "left_anti")
-            )
-            self.measure(pairs)
-            roots = self.roots()
-            done *= 8
+            roots = self.roots(self._open(others, roots), roots)
+        return self._joined(stored(self._links_in_split_bands(roots)), roots)
+
+
+def _answer(links: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*links)], names=["a", "b"])
+
+
+def _links_of_group(rows: list[dict], weights: Weights, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that tie components of a group together; a pair that is tied already is not compared."""
+    if len({r["root"] for r in rows}) < 2:
+        return []
+    keys, signatures = (np.array([r[c] for r in rows]) for c in ("keys", "signature"))
+    band = int(np.flatnonzero((keys == rows[0]["key"]).all(axis=0))[0])
+    side = np.array([r["side"] for r in rows])
+    parent = {r["root"]: r["root"] for r in rows}
+
+    def top(x: bytes) -> bytes:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def weighted(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in sets:
+            h = np.frombuffer(rows[i]["hashes"], np.uint64)
+            sets[i] = h, weights(h, np.frombuffer(zlib.decompress(rows[i]["counts"]), "<u4"))
+        return sets[i]
+
+    links = []
+    for i in range(len(rows) - 1):
+        rest = slice(i + 1, None)
+        likely = (signatures[rest] == signatures[i]).mean(axis=1) >= LEAST_ESTIMATE
+        first = (keys[rest] == keys[i]).argmax(axis=1) == band
+        across = (side[rest] == 2) | (side[rest] != side[i])
+        for j in (np.flatnonzero(likely & first & across) + i + 1).tolist():
+            x, y = top(rows[i]["root"]), top(rows[j]["root"])
+            if x != y and weighted_similarity(*weighted(i), *weighted(j)) >= similarity:
+                parent[max(x, y)] = min(x, y)
+                links.append((rows[i]["id"], rows[j]["id"]))
+    return links
 
 
 def near_duplicate_classes(
