@@ -21,6 +21,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tenderlens.llm.common import digest, ship, stored, table
 
@@ -69,7 +70,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Corpus:
-    """The most frequent words, at most ``DICTIONARY_WORDS``, and the letter transitions in them."""
+    """The most frequent words, at most ``DICTIONARY_WORDS`` (words of one count stay or go together),
+    and the letter transitions in them."""
 
     words: frozenset[str]
     transitions: np.ndarray
@@ -77,15 +79,20 @@ class Corpus:
 
     @classmethod
     def of(cls, docs: DataFrame) -> Corpus:
-        top = word_counts(docs).orderBy(F.col("n").desc(), "word").limit(DICTIONARY_WORDS).collect()
+        counts = stored(word_counts(docs))
+        # The least count that no more than DICTIONARY_WORDS words reach; only those words leave their tasks.
+        sizes = counts.groupBy("n").agg(F.count("*").alias("words"))
+        reached = F.sum("words").over(Window.orderBy(F.col("n").desc()))
+        cut = sizes.withColumn("reached", reached).filter(F.col("reached") <= DICTIONARY_WORDS).agg(F.min("n")).first()[0]
+        top = [] if cut is None else sorted(counts.filter(F.col("n") >= cut).collect(), key=lambda r: (-r["n"], r["word"]))
         size = len(_SYMBOLS)
-        counts = np.full((size, size), 0.5)
+        steps = np.full((size, size), 0.5)
         at = {c: i for i, c in enumerate(_SYMBOLS)}
         for row in top:
             for a, b in zip(row["word"], row["word"][1:]):
                 if a in at and b in at:
-                    counts[at[a], at[b]] += math.log1p(row["n"])
-        return cls(frozenset(r["word"] for r in top), np.log(counts / counts.sum(axis=1, keepdims=True)), [r["word"] for r in top[:2000]])
+                    steps[at[a], at[b]] += math.log1p(row["n"])
+        return cls(frozenset(r["word"] for r in top), np.log(steps / steps.sum(axis=1, keepdims=True)), [r["word"] for r in top[:2000]])
 
 
 def _kind(c: str) -> int:
