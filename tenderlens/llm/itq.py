@@ -22,7 +22,7 @@ from tenderlens.llm.vectors import as_bytes, stacked, usable
 
 COSINE = 0.95
 MISSED = 0.02
-# Rows that the rotations are learnt from, those of least hash; every row is coded.
+# About so many rows, chosen by hash, teach the rotations; every row is coded.
 SAMPLE = 20_000
 ITERATIONS = 40
 BLOCK = 1024
@@ -198,7 +198,10 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, missed: float = MIS
     # One dimension, or a few.
     for dim, n in sorted((r["dim"], r["count"]) for r in distinct.groupBy("dim").count().collect()):
         same = distinct.filter(F.col("dim") == dim)
-        seen = same.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
+        chance = F.pmod(F.xxhash64("id"), F.lit(2**40)) / float(2**40)
+        seen = same.filter(chance < sample / n).select("vector").collect()
+        if not seen:
+            seen = same.select("vector").limit(1).collect()
         tables = learn(stacked([bytes(r["vector"]) for r in seen], dim), *table_shape(n, cosine, missed))
         found = linked_pairs(same, dim, tables, cosine)
         tied = found if tied is None else tied.union(found)
