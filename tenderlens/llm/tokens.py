@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 CACHE_ENTRIES = 400_000
-_RUNS = re.compile(r"\s \s|\s $")
+_RUNS = re.compile(r"\s\s")
 _PARTS = re.compile(r"\s*\S+|\s+")
 
 _encoders: dict[bytes, "ChunkEncoder"] = {}
@@ -29,12 +29,12 @@ def tokenizer_file(name: str) -> bytes:
 def parts_of(text: str) -> list[str]:
     """Parts whose ids, one after the other, are the ids of the text.
 
-    Cut in front of every space; where a space stands inside a run of white space, which a
+    Cut in front of every space and newline; where white space stands in runs, which a
     pre-tokenizer may take as one token, in front of the runs instead.
     """
     if "\0" in text or _RUNS.search(text):
         return _PARTS.findall(text)
-    return text.replace(" ", "\0 ").split("\0")
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
 class ChunkEncoder:
@@ -99,7 +99,7 @@ def library_encoder(spec: bytes) -> ChunkEncoder:
     return _encoders[spec]
 
 
-def in_slices(texts: list[str | None], characters: int = 400_000):
+def in_slices(texts: list[str | None], characters: int = 1_000_000):
     """(first index, texts) in runs of about so many characters; null becomes empty."""
     first, run, size = 0, [], 0
     for i, t in enumerate(texts):
