@@ -75,11 +75,10 @@ def pack_documents(
     pieces = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, _PIECE_DDL))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
-    # At most log2(longest) + 1 lengths for each task of the encoding.
-    longer = counts.groupBy("length").agg(F.sum("n").alias("n")).alias("a")
-    totals = (
-        longer.join(longer.alias("b"), F.col("b.length") > F.col("a.length"), "left")
-        .groupBy(F.col("a.length").alias("length")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("longer"))
+    # At most log2(longest) + 1 rows.
+    longer = Window.partitionBy(F.lit(0)).orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("length").agg(F.sum("n").alias("n")).select(
+        "length", F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("longer")
     )
     bases = counts.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).join(totals, "length").select(
         "length", "task", (F.col("earlier") + F.col("longer")).alias("base")
