@@ -25,6 +25,9 @@ MISSED = 0.02
 # About so many rows, chosen by hash, teach the rotations; every row is coded.
 SAMPLE = 20_000
 ITERATIONS = 40
+# Made pairs of each kind that size the tables, and the number of tables from which keys get shorter.
+PAIRS = 4_000
+TABLES = 256
 BLOCK = 1024
 SEED = 11
 
@@ -38,36 +41,99 @@ class Tables:
     width: int
     count: int
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
+    def bits(self, x: np.ndarray) -> np.ndarray:
         unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True)) - self.mean
-        bits = np.concatenate([unit @ p > 0 for p in self.projections], axis=1)[:, : self.width * self.count]
+        cut = [unit @ p > 0 for p in self.projections] or [np.zeros((len(x), 0), bool)]
+        return np.concatenate(cut, axis=1)[:, : self.width * self.count]
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
         weights = 1 << np.arange(self.width, dtype=np.int64)
-        return bits.reshape(len(x), self.count, self.width) @ weights
+        return self.bits(x).reshape(len(x), self.count, self.width) @ weights
 
 
 def table_shape(n: int, cosine: float = COSINE, missed: float = MISSED) -> tuple[int, int]:
-    """(bits of a key, tables): keys for eight times as many buckets as vectors, and so many
-    tables that a pair at the threshold shares none with probability ``missed`` at most."""
+    """(bits of a key, tables) for vectors whose mean is zero: keys for eight times as many buckets
+    as vectors, and so many tables that a pair at the threshold shares none with probability
+    ``missed`` at most. ``fitted`` starts from here."""
     width = max(8, min(60, math.ceil(math.log2(max(n, 1))) + 3))
     same = (1 - math.acos(cosine) / math.pi) ** width
     return width, math.ceil(math.log(missed) / math.log1p(-same))
 
 
+class Learner:
+    """Principal axes of a sample, and one quantisation rotation after another, as many as are asked for."""
+
+    def __init__(self, sample: np.ndarray, seed: int = SEED):
+        self.rng = np.random.default_rng(seed)
+        unit = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
+        self.mean, self.dim = unit.mean(axis=0), sample.shape[1]
+        centred = unit - self.mean
+        self.axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
+        self.projected, self.projections = centred @ self.axes, []
+
+    def tables(self, width: int, count: int) -> Tables:
+        while len(self.projections) * self.dim < width * count:
+            turn = np.linalg.qr(self.rng.standard_normal((self.dim, self.dim)))[0]
+            for _ in range(ITERATIONS):
+                left, _, right = np.linalg.svd(np.sign(self.projected @ turn).T @ self.projected)
+                turn = (left @ right).T
+            self.projections.append(self.axes @ turn)
+        return Tables(self.mean, self.projections[: -(-width * count // self.dim)], width, count)
+
+
 def learn(sample: np.ndarray, width: int, count: int, seed: int = SEED) -> Tables:
-    """Principal axes of the sample, and one quantisation rotation after another until there are bits enough."""
+    return Learner(sample, seed).tables(width, count)
+
+
+def made_pairs(sample: np.ndarray, cosine: float, n: int = PAIRS, seed: int = SEED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors of the sample, each with a partner at the cosine: away from it in any direction,
+    and in the direction of a difference of two vectors of the sample."""
     rng = np.random.default_rng(seed)
-    unit = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
-    mean, dim = unit.mean(axis=0), sample.shape[1]
-    centred = unit - mean
-    axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1]
-    projected, projections = centred @ axes, []
-    while len(projections) * dim < width * count:
-        turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        for _ in range(ITERATIONS):
-            left, _, right = np.linalg.svd(np.sign(projected @ turn).T @ projected)
-            turn = (left @ right).T
-        projections.append(axes @ turn)
-    return Tables(mean, projections, width, count)
+    u = sample[rng.integers(len(sample), size=n)]
+    u = u / np.sqrt((u * u).sum(axis=1, keepdims=True))
+    if u.shape[1] < 2:
+        return [(u, u)]
+
+    def across(w: np.ndarray) -> np.ndarray:
+        return w - (w * u).sum(axis=1, keepdims=True) * u
+
+    anywhere = across(rng.standard_normal(u.shape))
+    units = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
+    apart = across(units[rng.integers(len(sample), size=n)] - units[rng.integers(len(sample), size=n)])
+    apart = np.where((apart * apart).sum(axis=1, keepdims=True) > 1e-12, apart, anywhere)
+    return [(u, cosine * u + math.sqrt(1 - cosine**2) * w / np.sqrt((w * w).sum(axis=1, keepdims=True))) for w in (anywhere, apart)]
+
+
+def fitted(sample: np.ndarray, n: int, cosine: float = COSINE, missed: float = MISSED, seed: int = SEED) -> Tables:
+    """Tables learnt from the sample of ``n`` vectors that miss no more than ``missed`` of made pairs at
+    the threshold. Cuts go through the mean, where pairs lie wider apart the longer it is, so the shape
+    comes from pairs that are coded. Where more than ``TABLES`` tables would be needed keys get shorter:
+    buckets grow, the promise holds; a key without bits is one bucket of all."""
+    learner, kinds = Learner(sample, seed), made_pairs(sample, cosine, seed=seed)
+    width, least = table_shape(n, cosine, missed)
+    start = learner.tables(width, least)
+    agree = [(start.bits(a) == start.bits(b)).mean(axis=1) for a, b in kinds]
+
+    def enough(width: int, count: int) -> bool:
+        return all(((1 - np.minimum(p, 1 - 1e-12) ** width) ** count).mean() <= missed for p in agree)
+
+    full = width
+    while width and not enough(width, TABLES):
+        width -= 1
+    count = least if width == full else 1
+    while not enough(width, count):
+        count += 1
+    # Bits of one vector are not independent; what counts is the share of pairs without a key in common.
+    while width:
+        tables = learner.tables(width, count)
+        rates = [(tables.keys(a) != tables.keys(b)).all(axis=1).mean() for a, b in kinds]
+        if all(r + 2 * math.sqrt(r * (1 - r) / PAIRS) <= missed for r in rates):
+            return tables
+        if count < TABLES:
+            count = min(TABLES, count + max(1, count // 8))
+        else:
+            width -= 1
+    return learner.tables(0, 1)
 
 
 def _links_in_groups(group: np.ndarray, side: np.ndarray, table_no: np.ndarray, keys: np.ndarray, x: np.ndarray, weight: np.ndarray, cosine: float):
@@ -202,7 +268,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, missed: float = MIS
         seen = same.filter(chance < sample / n).select("vector").collect()
         if not seen:
             seen = same.select("vector").limit(1).collect()
-        tables = learn(stacked([bytes(r["vector"]) for r in seen], dim), *table_shape(n, cosine, missed))
+        tables = fitted(stacked([bytes(r["vector"]) for r in seen], dim), n, cosine, missed)
         found = linked_pairs(same, dim, tables, cosine)
         tied = found if tied is None else tied.union(found)
     result = marked.join(classes, ["d1", "d2"], "left")

@@ -156,6 +156,46 @@ def test_table_shape_meets_its_promise():
         assert (1 - same) ** count <= itq.MISSED and 2**width >= n
 
 
+def off_centre(norm, n=1500, dim=64, cosine=0.951, seed=8):
+    """n pairs at the cosine; the mean of all unit vectors has about the norm."""
+    rng = np.random.default_rng(seed)
+
+    def spread():
+        z = rng.standard_normal((n, dim))
+        return z / np.linalg.norm(z, axis=1, keepdims=True)
+
+    u = np.sqrt(1 - norm**2) * spread()
+    u[:, 0] += norm
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = spread()
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    return np.concatenate([u, cosine * u + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w, axis=1, keepdims=True)])
+
+
+@pytest.mark.parametrize("norm", [0.0, 0.7, 0.85])
+def test_tables_meet_their_promise_around_any_mean(spark, norm):
+    y = off_centre(norm)
+    near = y @ y.T >= 0.95
+    np.fill_diagonal(near, False)
+    rows = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(y)], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r for r in itq.near_duplicates(rows).collect()}
+    found, true = sum(r["n_links"] for r in got.values()), int(near.sum())
+    assert true >= len(y) and 0.97 * true <= found <= true
+    if norm < 0.8:
+        want = union_find(range(len(y)), zip(*map(lambda a: a.tolist(), np.nonzero(near))))
+        assert sum(got[i]["component_id"] == want[i] for i in want) >= 0.97 * len(want)
+
+
+def test_fitted_tables_shorten_keys_rather_than_miss_pairs():
+    y = off_centre(0.95, 1000)
+    tables = itq.fitted(y, 100_000)
+    assert tables.count <= itq.TABLES and tables.width < itq.table_shape(100_000)[0]
+    for a, b in itq.made_pairs(y, 0.95, seed=77):
+        assert (tables.keys(a) != tables.keys(b)).all(axis=1).mean() <= 0.03
+    same = itq.fitted(np.ones((1, 3)), 1)
+    assert (same.keys(np.ones((1, 3))) == same.keys(np.full((1, 3), 2.0))).any()
+
+
 # --- documents ---------------------------------------------------------------------------
 
 
