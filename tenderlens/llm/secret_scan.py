@@ -1,7 +1,8 @@
 """Secrets in texts: candidate strings found by pattern, judged by a random forest.
 
 Features are the length of a candidate, its character transitions, how much of it words of
-the corpus cover, whether it is part of a path or an address, and the words next to it. Counts
+the corpus cover, whether it is part of a path or an address, the words next to it and whether
+one names it. Counts
 of words cover every document; the forest is trained on labelled findings.
 """
 
@@ -32,11 +33,19 @@ TREES, DEPTH, SEED = 40, 8, 5
 THRESHOLD = 0.5
 CONTEXT = 48
 MASK = "[SECRET]"
-# A long run of key characters with a digit in it, or what a text calls a password, token or key.
-CANDIDATE = re.compile(
-    r"(?P<named>(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s*[:=]\s*[\"']?)(?P<value>[^\s\"'<>,;]{8,})"
-    r"|(?P<run>(?=[A-Za-z+/_=.~-]*[0-9])[A-Za-z0-9+/_=.~-]{16,})"
+# What a text calls a password, token or key, and the password of an address; what stands before the
+# name is found from the match backwards. An address as value is left to its parts.
+NAMED = re.compile(
+    r"(?i:passw(?:or)?d|passphrase|passcode|(?<![a-z])pass|pwd|secret|token|credentials?|(?:api|access|private|secret|signing|encryption|master|account|auth)[ _-]?key|auth(?:orization)?|bearer)"
+    r"(?:\\?[\"'])?(?:\s*(?:=>|:=|[:=])\s*|\s+(?:is|was)\s+)(?:\\?[\"'])?(?i:(?:bearer|basic|token)\s+)?(?![A-Za-z][A-Za-z0-9+.-]*://)(?P<value>[^\s\"'<>,;]{4,})"
+    r"|://[^\s/:@?#\"'<>]*:(?P<url>[^\s/\"'<>]+)@(?=[^\s@])"
 )
+# A long run of key characters; one with a digit in it is a candidate.
+RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+_DIGIT = re.compile("[0-9]")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_NAMED_END = re.compile(r"(?i:pass(?:w(?:or)?d|phrase|code)?|pwd|secret|token|credentials?|key|auth(?:orization)?|bearer)\\?[\"']?(?:\s*(?:=>|:=|[:=])\s*|\s+(?:is|was)\s+)\\?[\"']?(?i:(?:bearer|basic|token)\s+)?$")
+_URL_END = re.compile(r"://[^\s/:@]*:$")
 _RUNS = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"[^\W\d_]{3,24}")
 # Words that speak for and against a secret.
@@ -117,54 +126,117 @@ def features(before: str, value: str, after: str, corpus: Corpus) -> list[float]
         float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(before.endswith(("\"", "'")) and rest.startswith(("\"", "'"))),
         float(any(w in near for w in SECRET_WORDS)), float(any(re.search(rf"\b{w}", near) for w in PLAIN_WORDS)),
         float(any(w in lower for w in PLACEHOLDERS)),
+        float(bool(_NAMED_END.search(before))), float(rest.startswith("@") and bool(_URL_END.search(before))),
     ]
     return [float(x) for x in found]
 
 
+def _around(text: str, start: int, value: str) -> tuple[int, str, str, str]:
+    return start, text[max(0, start - CONTEXT) : start], value, text[start + len(value) : start + len(value) + 16]
+
+
+def _runs_of(text: str, at: int, end: int) -> Iterator[tuple[int, str, str, str]]:
+    for m in RUN.finditer(text, at, end):
+        if _DIGIT.search(m[0]):
+            yield _around(text, m.start(), m[0].rstrip(".~-"))
+
+
 def candidates_of(text: str | None) -> Iterator[tuple[int, str, str, str]]:
-    """(start, before, candidate, after) in the whole text; start counts code points."""
+    """(start, before, candidate, after) in the whole text; start counts code points. Named values
+    come first and runs lie between them, so no two candidates overlap and no name is part of one."""
     text = text or ""
-    for m in CANDIDATE.finditer(text):
-        group = "value" if m["value"] is not None else "run"
-        value = m[group].rstrip(".~-")
-        if len(value) >= 8:
-            start = m.start(group)
-            yield start, text[max(0, start - CONTEXT) : start], value, text[start + len(value) : start + len(value) + 16]
+    at = 0
+    while m := NAMED.search(text, at):
+        kind = m.lastgroup
+        start, value, name = m.start(kind), m[kind], m.start()
+        while name > at and text[name - 1] in _NAME:
+            name -= 1
+        yield from _runs_of(text, at, name)
+        if kind == "url":
+            # A user can be a token.
+            yield from _runs_of(text, m.start() + 3, start - 1)
+        elif name and text[name - 1] in "?&":
+            value = re.split("[&#]", value, maxsplit=1)[0]
+        at = start + len(value)
+        if kind == "value":
+            value = value.rstrip(".~-\\")
+        if value:
+            yield _around(text, start, value)
+    yield from _runs_of(text, at, len(text))
 
 
 def made_findings(common: list[str], n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, str, int]]:
-    """Labelled findings (before, candidate, after, label) in forms that credentials, and the strings
-    mistaken for them, are known to have, between frequent words of the corpus."""
+    """Labelled findings (before, candidate, after, label): what ``candidates_of`` finds in whole texts
+    in forms that credentials, and the strings mistaken for them, are known to have, between frequent
+    words of the corpus."""
     rng = random.Random(seed)
     words = common or ["word"]
     pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
     some = lambda k: " ".join(rng.choice(words) for _ in range(k))
     digits, hexes = "0123456789", "0123456789abcdef"
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + digits
+    plain = ("required", "invalid", "missing", "optional", "none", "null", "true", "false", "string", "expired", "wrong", "disabled", "hidden")
+
+    def chosen() -> str:
+        """A password as people choose them: words or letters with digits or signs among them."""
+        word = rng.choice([rng.choice(words), pick(alnum[26:52], rng.randint(4, 9))])
+        return rng.choice([
+            lambda: word + pick(digits, rng.randint(1, 4)) + rng.choice(["", "!", "#"]), lambda: word.title() + pick(digits, rng.randint(1, 4)),
+            lambda: word + pick(digits, 1) + rng.choice(words), lambda: word.translate(str.maketrans("oeai", "0341")).title() + pick(alnum, 3) + pick(digits, 1),
+            lambda: pick(alnum, rng.randint(6, 12)) + pick(digits, 1), lambda: pick(alnum + "!#%*", rng.randint(10, 20)),
+        ])()
+
+    def secret() -> tuple[str, str, str]:
+        value = rng.choice([
+            lambda: pick(hexes, rng.choice([32, 40, 64])), lambda: pick(alnum + "+/", rng.choice([40, 44, 64])),
+            lambda: pick(alnum, rng.randint(20, 40)), lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "AKIA", "glpat-", "ya29."]) + pick(alnum, rng.randint(16, 36)),
+            lambda: ".".join(["eyJ" + pick(alnum, 17), "eyJ" + pick(alnum, 40), pick(alnum + "-_", 43)]), chosen, chosen,
+        ])()
+        form = rng.random()
+        if form < 0.1:
+            return f"{some(3)} {rng.choice(['postgres', 'mysql', 'https', 'redis', 'amqp'])}://{rng.choice(words)}:", rng.choice([value, chosen()]).replace("/", "_"), f"@{rng.choice(words)}.internal/{rng.choice(words)}"
+        if form < 0.2:
+            # Bare: only what shows by itself that it is one.
+            return f"{some(5)} ", rng.choice([
+                lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "AKIA", "glpat-", "ya29."]) + pick(alnum, rng.randint(16, 36)),
+                lambda: pick(alnum + "+/", rng.choice([40, 44, 64])), lambda: ".".join(["eyJ" + pick(alnum, 17), "eyJ" + pick(alnum, 40), pick(alnum + "-_", 43)]),
+            ])(), f" {some(2)}"
+        if form < 0.3:
+            return f"{some(3)} https://{rng.choice(words)}.org/{rng.choice(words)}?{rng.choice(['access_token', 'token', 'api_key', 'auth'])}=", value, rng.choice([f"&{rng.choice(words)}=1 {some(1)}", f" {some(2)}"])
+        name = rng.choice(["token", "secret", "password", "passphrase", "pwd", "api_key", "api-key", "access_key", "auth", "Authorization: Bearer", "private_key"])
+        if rng.random() < 0.4 and " " not in name:
+            name = rng.choice(["client_", "AWS_SECRET_", "DB_", "db.", "my-", rng.choice(words) + "_"]) + name
+            name = name.upper() if rng.random() < 0.5 else name
+        joint, quote = rng.choice([" = ", "=", ": ", " is "]), rng.choice(["\"", "'", ""])
+        if " " in name or (len(value) >= 20 and rng.random() < 0.2):
+            joint = " "
+        return f"{some(5)} {name}{joint}{quote}", value, f"{quote} {some(2)}"
+
+    def mistaken() -> tuple[str, str, str]:
+        value, before, after = rng.choice([
+            lambda: (pick(hexes, 40), f"{some(4)} commit ", f" {some(2)}"), lambda: (pick(hexes, rng.choice([32, 64])), f"{some(3)} {rng.choice(['md5', 'sha256', 'checksum'])}: ", f" {some(2)}"),
+            lambda: (f"mail{rng.randint(0, 99)}.example.com", f"{some(4)} {rng.choice(words)}.{rng.randint(0, 99)}@", f" {some(2)}"),
+            lambda: ("/".join(rng.choice(words) for _ in range(4)) + f"{rng.randint(0, 999)}.txt", f"{some(4)} /", f" {some(2)}"),
+            lambda: (pick(digits, rng.randint(16, 20)), f"{some(5)} ", f" {some(2)}"), lambda: ("-".join(rng.choice(words) for _ in range(4)) + pick(digits, 2), f"{some(5)} ", f" {some(2)}"),
+            lambda: ("".join(rng.choice(words).title() for _ in range(3)) + pick(digits, 2), f"{some(5)} ", f"() {some(2)}"),
+            lambda: ("-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), f"{some(4)} uuid ", f" {some(2)}"), lambda: (f"www.{rng.choice(words)}{rng.randint(1, 99)}.example.org/{rng.choice(words)}", f"{some(4)} https://", f" {some(2)}"),
+            lambda: (rng.choice(["your_token_here_123", "xxxxxxxxxxxxxxxx1", "EXAMPLEKEY1234567890", "changeme_password1"]), f"{some(3)} token = \"", f"\" {some(2)}"),
+            lambda: (rng.choice(words) + "_" + rng.choice(words), f"{some(4)} token: ", f" {some(2)}"), lambda: (".".join(str(rng.randint(0, 255)) for _ in range(4)) + f":{rng.randint(1000, 9999)}", f"{some(5)} ", f" {some(2)}"),
+            lambda: (rng.choice(words) * 2 + pick(digits, 1) + rng.choice(words) * 2, f"{some(5)} ", f" {some(2)}"),
+            lambda: (rng.choice([*plain, rng.choice(words)]), f"{some(4)} {rng.choice(['password', 'token', 'secret', 'auth'])}{rng.choice([' is ', ': ', ' was ', ' = '])}", f" {some(2)}"),
+            lambda: (rng.choice(["${", "{{", "%("]) + rng.choice(words) + "}", f"{some(4)} {rng.choice(['password', 'token', 'secret'])}{rng.choice([': ', '=', ' = '])}", f" {some(2)}"),
+        ])()
+        return before, value, after
+
     found = []
-    for i in range(n):
-        if i % 2:
-            value = rng.choice([
-                lambda: pick(hexes, rng.choice([32, 40, 64])), lambda: pick(alnum + "+/", rng.choice([40, 44, 64])),
-                lambda: pick(alnum, rng.randint(20, 40)), lambda: rng.choice(["ghp_", "sk_live_", "xoxb-", "AKIA", "glpat-"]) + pick(alnum, rng.randint(16, 36)),
-                lambda: ".".join(["eyJ" + pick(alnum, 17), "eyJ" + pick(alnum, 40), pick(alnum + "-_", 43)]), lambda: pick(alnum + "!#%*", rng.randint(10, 20)),
-            ])()
-            name = rng.choice(["token", "secret", "password", "api_key", "api-key", "access_key", "auth", "Authorization: Bearer", "private_key"])
-            joint, quote = rng.choice([" = ", "=", ": ", " "] if len(value) >= 20 else [" = ", "=", ": "]), rng.choice(["\"", "'", ""])
-            before, after = f"{some(5)} {name}{joint}{quote}", f"{quote} {some(2)}"
-        else:
-            value, before, after = rng.choice([
-                lambda: (pick(hexes, 40), f"{some(4)} commit ", f" {some(2)}"), lambda: (pick(hexes, rng.choice([32, 64])), f"{some(3)} {rng.choice(['md5', 'sha256', 'checksum'])}: ", f" {some(2)}"),
-                lambda: (f"mail{rng.randint(0, 99)}.example.com", f"{some(4)} {rng.choice(words)}.{rng.randint(0, 99)}@", f" {some(2)}"),
-                lambda: ("/".join(rng.choice(words) for _ in range(4)) + f"{rng.randint(0, 999)}.txt", f"{some(4)} /", f" {some(2)}"),
-                lambda: (pick(digits, rng.randint(16, 20)), f"{some(5)} ", f" {some(2)}"), lambda: ("-".join(rng.choice(words) for _ in range(4)) + pick(digits, 2), f"{some(5)} ", f" {some(2)}"),
-                lambda: ("".join(rng.choice(words).title() for _ in range(3)) + pick(digits, 2), f"{some(5)} ", f"() {some(2)}"),
-                lambda: ("-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)), f"{some(4)} uuid ", f" {some(2)}"), lambda: (f"www.{rng.choice(words)}{rng.randint(1, 99)}.example.org/{rng.choice(words)}", f"{some(4)} https://", f" {some(2)}"),
-                lambda: (rng.choice(["your_token_here_123", "xxxxxxxxxxxxxxxx1", "EXAMPLEKEY1234567890", "changeme_password1"]), f"{some(3)} token = \"", f"\" {some(2)}"),
-                lambda: (rng.choice(words) + "_" + rng.choice(words), f"{some(4)} token: ", f" {some(2)}"), lambda: (".".join(str(rng.randint(0, 255)) for _ in range(4)) + f":{rng.randint(1000, 9999)}", f"{some(5)} ", f" {some(2)}"),
-                lambda: (rng.choice(words) * 2 + pick(digits, 1) + rng.choice(words) * 2, f"{some(5)} ", f" {some(2)}"),
-            ])()
-        found.append((before, value, after, i % 2))
+    while len(found) < n:
+        label = len(found) % 2
+        before, value, after = secret() if label else mistaken()
+        for start, b, v, a in candidates_of(before + value + after):
+            exact = start == len(before) and v == value.rstrip(".~-\\")
+            if exact if label else start < len(before) + len(value):
+                found.append((b, v, a, label))
+                break
     return found
 
 

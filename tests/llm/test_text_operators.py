@@ -313,3 +313,32 @@ def test_masking(spark):
     assert (2, 'é token = "[SECRET]" and\nmore', 29) in rows and (3, 'token = "[SECRET]" x token = "[SECRET]"', 39) in rows
     assert (5, "nothing here", 12) in rows and len(rows) == 8 and got.count() == 10
     assert secret_scan.mask_secrets(docs.filter("false")).count() == 0
+
+
+NAMED = [
+    ("password: ", "hunt3r1", ""), ("postgres://app:", "Tr0ub4dor", "@db.internal/x"), ("passphrase: ", "correct1horse", " and more"),
+    ("password is ", "Tr0ub4dor99", ""), ("client_secret=", "9f8e7d6c5b4a39281706f5e4d3c2b1a0", ""), ("DB_PASSWORD=", "correct1horse", ""),
+    ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAQRLEKE", ""), ("private_key=", "abcDEF0123987654xyz", ""),
+    ("https://h.org/a?access_token=", "ya29.a0AfH6SMBx8273645", "&page=1"), ("see /a/b1/c/d2/PASSWORD=", "Tr0ub4dor99", ""),
+    ("Authorization: Bearer ", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", ""), ('{\\"password\\": \\"', "Abcd1239", '\\"}'),
+]
+
+
+def test_named_values_are_candidates_without_their_names():
+    for before, value, after in NAMED:
+        found = [(start, v) for start, _, v, _ in secret_scan.candidates_of(f"one two {before}{value}{after}")]
+        assert (len("one two " + before), value) in found, before
+    long = "token" * 100_000
+    assert list(secret_scan.candidates_of(long)) == [] and [v for _, _, v, _ in secret_scan.candidates_of(long + "1")] == [long + "1"]
+
+
+def test_made_findings_are_candidates_of_whole_texts(spark):
+    corpus = secret_scan.Corpus.of(spark.read.parquet(f"{SF}/documents.parquet"))
+    for before, value, after, _ in secret_scan.made_findings(corpus.common, 300, seed=4):
+        assert value in [v for _, _, v, _ in secret_scan.candidates_of(before + value + after)] or len(before) == secret_scan.CONTEXT
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [f"one two three {b}{v}{a}" for b, v, a in NAMED] + ["the password is required here", "token: required", "mail a.5@mail99.example.com now"]
+    found = secret_scan.scan_secrets(frame(spark, texts), *secret_scan.learned(docs)).filter("score >= 0.5").collect()
+    hit = {(r["doc_id"], r["start"], r["length"]) for r in found}
+    assert sum((i, len("one two three " + b), len(v)) in hit for i, (b, v, _) in enumerate(NAMED)) >= len(NAMED) - 1
+    assert not {r["doc_id"] for r in found} & set(range(len(NAMED), len(texts)))
