@@ -14,8 +14,13 @@ from tenderlens.llm.common import stored
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a language of the corpus; those without a letter, or whose trigrams an even chance explains better, go."""
-    found = language_mix.identify(docs, language_mix.learn_from(docs))
+    """Texts with a language of the corpus; those without a letter, or whose trigrams an even chance explains better, go.
+    Where no row names a language none can be told, and every text with a letter stays."""
+    model = language_mix.learn_from(docs)
+    if not model.languages:
+        # The letters of language_mix: word characters but decimal digits and underscores.
+        return docs.filter(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
+    found = language_mix.identify(docs, model)
     return found.filter((F.col("lang_pred") != language_mix.UNKNOWN) & (F.col("likelihood") > 0)).select(*docs.columns)
 
 

@@ -342,3 +342,13 @@ def test_made_findings_are_candidates_of_whole_texts(spark):
     hit = {(r["doc_id"], r["start"], r["length"]) for r in found}
     assert sum((i, len("one two three " + b), len(v)) in hit for i, (b, v, _) in enumerate(NAMED)) >= len(NAMED) - 1
     assert not {r["doc_id"] for r in found} & set(range(len(NAMED), len(texts)))
+
+
+def test_pipeline_keeps_texts_where_no_language_is_named(spark):
+    import corpus_pipeline
+
+    texts = ["some words here", "日本語", "12 34 !", "", None, "x"]
+    docs = frame(spark, texts).withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.keep_known_languages(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert {r["text"] for r in got.collect()} == {"some words here", "日本語", "x"}
