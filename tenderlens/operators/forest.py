@@ -96,10 +96,16 @@ def sample_rows(train: DataFrame, rows: int, key: str, settings: ForestSettings)
     return drawn.withColumn("_pick", F.xxhash64(key, F.col("tree"), F.lit(settings.seed + 1)))
 
 
+def _between(low: float, high: float, share: float) -> float:
+    """A threshold in [low, high), so that rows lie on both sides even where the two are neighbouring doubles."""
+    return min(max(low * (1.0 - share) + high * share, low), float(np.nextafter(high, low)))
+
+
 def _grow(points: np.ndarray, tree: int, depth_limit: int, rng: np.random.Generator) -> list[tuple]:
     """Node rows of one isolation tree. An inner node names its left child; the right one
     follows it. A leaf is its own child behind an infinite threshold, so descending past
-    it changes nothing."""
+    it changes nothing. Infinite values count as the largest double."""
+    points = np.clip(points, -sys.float_info.max, sys.float_info.max)
     nodes: list[tuple | None] = [None]
     todo = [(np.arange(len(points)), 0, 0)]
     while todo:
@@ -110,7 +116,7 @@ def _grow(points: np.ndarray, tree: int, depth_limit: int, rng: np.random.Genera
             nodes[node] = (tree, node, 0, np.inf, node, depth + float(mean_path(len(rows))))
             continue
         feature = int(rng.choice(varying))
-        threshold = float(rng.uniform(low[feature], high[feature]))
+        threshold = _between(low[feature], high[feature], rng.random())
         child = len(nodes)
         nodes[node] = (tree, node, feature, threshold, child, 0.0)
         nodes += [None, None]

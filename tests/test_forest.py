@@ -67,3 +67,19 @@ def test_anomaly_rate_near_contamination(spark):
     scores = forest.isolation_scores(points(spark), ["a", "b"], SETTINGS)
     rate = {r["split"]: r["anomaly_pct"] for r in forest.anomaly_rate(scores, 0.05).collect()}
     assert rate["train"] == pytest.approx(5.0, abs=0.5)
+
+
+@pytest.mark.parametrize("low, high", [(1.0, np.nextafter(1.0, 2.0)), (-1e308, 1e308), (-np.inf, np.inf), (0.0, 5e-324)])
+def test_trees_split_neighbouring_and_extreme_values(low, high):
+    rows = np.array([[low], [high]] * 8)
+    for seed in range(50):
+        nodes = forest._grow(rows, 0, 4, np.random.default_rng(seed))
+        assert all(n is not None for n in nodes) and len(nodes) == 3
+
+
+def test_scores_with_deltas_one_ulp_apart(spark):
+    """Similarity deltas that should be equal differ in their last bit."""
+    steps = [0.1 + 0.2, 0.3]
+    rows = [(i, datetime(2022 + i % 3, 1, 1), steps[i % 2]) for i in range(300)]
+    got = forest.isolation_scores(spark.createDataFrame(rows, "tender_id int, published_at timestamp_ntz, a double"), ["a"], SETTINGS)
+    assert got.count() == 300
