@@ -12,9 +12,10 @@ from tenderlens.llm.secret_scan import op6_secret_scan
 from tenderlens.llm.sharding import op4_sharding
 from tenderlens.llm.token_files import op7_token_files
 from tenderlens.llm.weighted_minhash import op8_weighted_minhash
+from tenderlens.llm.whitening import op11_whitening
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_rotated_codes, op3_itq, op4_sharding, op5_line_dedup, op6_secret_scan, op7_token_files, op8_weighted_minhash,
-    op9_bpe, op10_language_mix,
+    op9_bpe, op10_language_mix, op11_whitening,
 )}
 ORACLES = {"op5_line_dedup": OP5_SQL}
