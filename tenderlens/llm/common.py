@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.session import delete_folder, ensure_checkpoint_dir, stored
+from tenderlens.session import barriers, delete_folder, ensure_checkpoint_dir, stored
 
-__all__ = ["components", "digest", "scratch", "ship", "shuffle_parts", "stored", "table"]
+__all__ = ["barriers", "components", "digest", "only_result", "scratch", "ship", "shuffle_parts", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
 
 
+def only_result(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` returns, as a table; the tables that it stores on the way are deleted."""
+    path = scratch(spark, "result")
+    with barriers(spark):
+        build().write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

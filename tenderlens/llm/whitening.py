@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm.common import ship, stored, table
+from tenderlens.llm.common import barriers, ship, stored, table
 
 STEPS = 256  # whole steps in a unit of the embedding
 LARGEST = 1 << 40  # entries of more steps than this count as not finite
@@ -264,7 +264,11 @@ def fit_whitening(vectors: DataFrame, components: int = COMPONENTS) -> Whitening
     that a third of all rows share travels once for each task. Tables are read by all tasks;
     the driver holds a few matrices of the embedding's width.
     """
-    distinct = stored(vectors.select("x").distinct())
+    with barriers(vectors.sparkSession):
+        return _fit(stored(vectors.select("x").distinct()), components)
+
+
+def _fit(distinct: DataFrame, components: int) -> Whitening:
     n, sums = vector_sums(distinct)
     width = len(sums)
     if n == 0 or width == 0:
