@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,22 @@ from tenderlens.llm.common import only_result, ship, stored, table
 
 DEPTH = 6  # context bytes; with the byte itself they fit a positive long
 MIDDLE, SHALLOW = 4, 2  # depths at which the tree is cut, so that no group holds more than 2^24 strings
-BLOCK = 64 << 20  # bytes of texts that look up their strings together
-PIECE = 4 << 20  # bytes of one text that are handled at a time
-SLICE = 8 << 20  # bytes turned into strings at a time
-SALT = 64  # blocks that are added up together, and that a copy of a bucket serves
 MOST_BUCKETS = 4096
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _END = b"\n"
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """What bounds the memory of a task, whatever the size of the corpus; scores don't depend on it."""
+
+    block: int = 64 << 20  # bytes of texts that look up their strings together
+    piece: int = 4 << 20  # bytes of one text that are handled at a time
+    slice: int = 8 << 20  # bytes turned into strings at a time
+    salt: int = 64  # blocks that are added up together, and that a copy of a bucket serves
+
+
 # --- numbers and words as bytes --------------------------------------------------------------
 
 
@@ -88,13 +95,14 @@ class Strings:
         return _bucket_of(keys >> 8 * (DEPTH + 1 - MIDDLE), n)
 
     class Tally:
-        def __init__(self):
+        def __init__(self, slice_size: int):
             self.waiting, self.size, self.parts, self.held = {True: [], False: []}, 0, [], 0
+            self.slice = slice_size
 
         def add(self, body: bytes, learn: bool) -> None:
             self.waiting[learn].append(body)
             self.size += len(body)
-            if self.size >= SLICE:
+            if self.size >= self.slice:
                 self._count()
 
         def _count(self) -> None:
@@ -106,7 +114,7 @@ class Strings:
                     self.parts.append((keys[first], counts if learn else np.zeros_like(counts)))
                     self.held += len(first)
             self.waiting, self.size = {True: [], False: []}, 0
-            if self.held > SLICE:
+            if self.held > self.slice:
                 self.parts = [Strings.merge(self.parts)]
                 self.held = 0
 
@@ -145,7 +153,7 @@ class Words:
         return np.fromiter((zlib.crc32(k) % n for k in keys.tolist()), np.int64, len(keys))
 
     class Tally:
-        def __init__(self):
+        def __init__(self, slice_size: int):
             self.learnt, self.seen = Counter(), set()
 
         def add(self, body: bytes, learn: bool) -> None:
@@ -175,7 +183,7 @@ def _bucket_of(context: np.ndarray, n: int) -> np.ndarray:
 # --- texts -----------------------------------------------------------------------------------
 
 
-def pieces_of(text: str | None) -> Iterator[tuple[int, bytes]]:
+def pieces_of(text: str | None, size: int = Sizes.piece) -> Iterator[tuple[int, bytes]]:
     """(tokens, bytes) of a text, piece by piece; the bytes are DEPTH bytes of context and then new ones.
 
     A-Z become lower case, words are set off by one blank, and a line feed, which no word can
@@ -184,7 +192,7 @@ def pieces_of(text: str | None) -> Iterator[tuple[int, bytes]]:
     raw = (text or "").encode("utf-8", "surrogatepass")
     context, begun, at = b"\0" * DEPTH, False, 0
     while True:
-        cut = _BLANK.search(raw, at + PIECE) if at + PIECE < len(raw) else None
+        cut = _BLANK.search(raw, at + size) if at + size < len(raw) else None
         end = cut.start() if cut else len(raw)
         words = raw[at:end].translate(_LOWER).split()
         body = (b" " if begun and words else b"") + b" ".join(words) + (b"" if cut else _END)
@@ -219,8 +227,8 @@ def keys_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 _PIECES_DDL = "task int, unit int, row long, doc_id long, held_out boolean, n_tokens long, body binary"
 
 
-def text_pieces(docs: DataFrame, held_out: Column) -> DataFrame:
-    """The texts in pieces, with the task that read them and a unit of at most about BLOCK bytes in it."""
+def text_pieces(docs: DataFrame, held_out: Column, sizes: Sizes = Sizes()) -> DataFrame:
+    """The texts in pieces, with the task that read them and, in it, a unit of about a block's bytes."""
     ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +243,12 @@ def text_pieces(docs: DataFrame, held_out: Column) -> DataFrame:
 
         for rows in batches:
             for doc_id, held, text in zip(*(rows.column(i).to_pylist() for i in range(3))):
-                for tokens, body in pieces_of(text):
+                for tokens, body in pieces_of(text, sizes.piece):
                     columns.append((task, unit, row, doc_id, held, tokens, body))
                     size, waiting = size + len(body), waiting + len(body)
-                    if size >= BLOCK:
+                    if size >= sizes.block:
                         unit, size = unit + 1, 0
-                    if waiting >= SLICE:
+                    if waiting >= sizes.slice:
                         yield batch()
                         columns, waiting = [], 0
                 row += 1
@@ -262,11 +270,11 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
-def counts_by_block(pieces: DataFrame, kind, buckets: int) -> DataFrame:
+def counts_by_block(pieces: DataFrame, kind, buckets: int, sizes: Sizes = Sizes()) -> DataFrame:
     """For each block and bucket: the different keys that the block holds, with how often its training texts do."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, at = kind.Tally(), None
+        tally, at = kind.Tally(sizes.slice), None
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = tally.result()
@@ -281,7 +289,7 @@ def counts_by_block(pieces: DataFrame, kind, buckets: int) -> DataFrame:
                 if block != at:
                     if at is not None:
                         yield from flush()
-                    tally, at = kind.Tally(), block
+                    tally, at = kind.Tally(sizes.slice), block
                 tally.add(body, not held)
         if at is not None:
             yield from flush()
@@ -294,15 +302,15 @@ def _spans(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), np.append(first[1:], len(values)).tolist()))
 
 
-def totals_by_bucket(counts: DataFrame, kind) -> DataFrame:
-    """One row per bucket: its keys with their sums. SALT blocks are added up at a time, then their sums."""
+def totals_by_bucket(counts: DataFrame, kind, sizes: Sizes = Sizes()) -> DataFrame:
+    """One row per bucket: its keys with their sums. Some blocks are added up at a time, then their sums."""
 
     def add(rows: pa.Table) -> pa.Table:
         blobs = zip(rows.column("keys").to_pylist(), rows.column("numbers").to_pylist())
         keys, numbers = kind.merge([(kind.unpack(k), unpack_numbers(n, np.int64)) for k, n in blobs])
         return pa.Table.from_batches([_table(_COUNTS, [(rows.column("bucket")[0].as_py(), 0, kind.pack(keys), pack_numbers(numbers))])])
 
-    salted = counts.withColumn("salt", F.floor(F.col("block") / SALT))
+    salted = counts.withColumn("salt", F.floor(F.col("block") / sizes.salt))
     return salted.groupBy("bucket", "salt").applyInArrow(add, _COUNTS_DDL).groupBy("bucket").applyInArrow(add, _COUNTS_DDL)
 
 
@@ -310,8 +318,8 @@ _ANSWER = pa.schema([("block", pa.int64()), ("word", pa.bool_()), ("keys", pa.bi
 _ANSWER_DDL = "block long, word boolean, keys binary, numbers binary"
 
 
-def answers(counts: DataFrame, model: DataFrame, kind, dtype) -> DataFrame:
-    """For each block and bucket: the block's keys with the model's numbers. A bucket is copied once for SALT blocks."""
+def answers(counts: DataFrame, model: DataFrame, kind, dtype, sizes: Sizes = Sizes()) -> DataFrame:
+    """For each block and bucket: the block's keys with the model's numbers. A bucket is copied once for every ``salt`` blocks."""
 
     def look(asked: pa.Table, known: pa.Table) -> pa.Table:
         keys = kind.unpack(known.column("keys")[0].as_py())
@@ -321,7 +329,7 @@ def answers(counts: DataFrame, model: DataFrame, kind, dtype) -> DataFrame:
             rows.append((block, kind is Words, blob, pack_numbers(numbers[kind.find(keys, kind.unpack(blob))])))
         return pa.Table.from_batches([_table(_ANSWER, rows)])
 
-    salted = counts.select("bucket", F.floor(F.col("block") / SALT).alias("salt"), "block", "keys")
+    salted = counts.select("bucket", F.floor(F.col("block") / sizes.salt).alias("salt"), "block", "keys")
     asking = salted.select(F.col("bucket").alias("of"), F.col("salt").alias("part")).distinct()
     copies = asking.join(model.select(F.col("bucket").alias("of"), "keys", "numbers"), "of")
     return salted.groupBy("bucket", "salt").cogroup(copies.groupBy("of", "part")).applyInArrow(look, _ANSWER_DDL)
@@ -490,7 +498,7 @@ def _continued(levels, last: np.ndarray, short: bytes, mixed: bytes) -> tuple[np
 _SCORED_DDL = "task int, row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, words double, score double"
 
 
-def score_pieces(pieces: DataFrame, found: DataFrame) -> DataFrame:
+def score_pieces(pieces: DataFrame, found: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """Each piece with its known words, the sum of log10(count + 0.5) over its words, and its log10 probability.
 
     A group is a block of texts and the numbers of the strings and words in it.
@@ -522,7 +530,7 @@ def score_pieces(pieces: DataFrame, found: DataFrame) -> DataFrame:
             sums.append(float(sum(half[w] for w in words)))
             waiting.append(body)
             size += len(body)
-            if size >= SLICE:
+            if size >= sizes.slice:
                 flush(waiting)
                 waiting, size = [], 0
         if waiting:
@@ -535,7 +543,7 @@ def score_pieces(pieces: DataFrame, found: DataFrame) -> DataFrame:
     return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, _SCORED_DDL)
 
 
-def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, sizes: Sizes = Sizes()) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     ``docs`` needs doc_id and text; other columns are read only by ``held_out``, which says
@@ -548,18 +556,18 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     spark = docs.sparkSession
 
     def build() -> DataFrame:
-        cut = stored(text_pieces(docs, held_out))
+        cut = stored(text_pieces(docs, held_out, sizes))
         size, tasks = cut.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)), F.coalesce(F.max("task"), F.lit(0)) + 1).first()
         # Small tasks share a block; a block may hold several units only where they are small.
-        share = max(1, BLOCK * tasks // max(size, 1))
+        share = max(1, sizes.block * tasks // max(size, 1))
         pieces = cut.withColumn("block", F.floor(F.col("task") / min(share, tasks)) + F.col("unit").cast("long") * tasks)
-        buckets = min(MOST_BUCKETS, max(8, size // (SLICE * 4)))
-        strings, words = stored(counts_by_block(pieces, Strings, buckets)), stored(counts_by_block(pieces, Words, buckets))
-        totals, word_totals = stored(totals_by_bucket(strings, Strings)), stored(totals_by_bucket(words, Words))
+        buckets = min(MOST_BUCKETS, max(8, size // (sizes.slice * 4)))
+        strings, words = stored(counts_by_block(pieces, Strings, buckets, sizes)), stored(counts_by_block(pieces, Words, buckets, sizes))
+        totals, word_totals = stored(totals_by_bucket(strings, Strings, sizes)), stored(totals_by_bucket(words, Words, sizes))
         tokens, vocabulary = _sums(word_totals)
         model = stored(fit_tree(totals, buckets))
-        found = answers(strings, model, Strings, np.float32).unionByName(answers(words, word_totals, Words, np.int64))
-        scored = score_pieces(pieces, found).groupBy("task", "row").agg(
+        found = answers(strings, model, Strings, np.float32, sizes).unionByName(answers(words, word_totals, Words, np.int64, sizes))
+        scored = score_pieces(pieces, found, sizes).groupBy("task", "row").agg(
             F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"),
             *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "n_bytes", "words", "score")],
         )
