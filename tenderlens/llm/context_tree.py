@@ -41,7 +41,7 @@ class Sizes:
 
     block: int = 64 << 20  # bytes of texts that look up their strings together
     piece: int = 4 << 20  # bytes of one text that are handled at a time
-    slice: int = 8 << 20  # bytes turned into strings at a time
+    slice: int = 4 << 20  # bytes turned into strings at a time
     salt: int = 64  # blocks that are added up together, and that a copy of a bucket serves
 
 
@@ -505,32 +505,34 @@ def score_pieces(pieces: DataFrame, found: DataFrame, sizes: Sizes = Sizes()) ->
     """
 
     def score(texts: pa.Table, numbers: pa.Table) -> pa.Table:
-        strings, counts = [], {}
-        for word, k, n in zip(*(numbers.column(c).to_pylist() for c in ("word", "keys", "numbers"))):
+        packed = list(zip(*(numbers.column(c).to_pylist() for c in ("word", "keys", "numbers"))))
+        half: dict[bytes, float] = {}
+        for word, k, n in packed:
             if word:
-                counts.update(zip(Words.unpack(k).tolist(), unpack_numbers(n, np.int64).tolist()))
-            else:
-                strings.append((Strings.unpack(k), unpack_numbers(n, np.float32)))
+                half.update(zip(Words.unpack(k).tolist(), np.log10(unpack_numbers(n, np.int64) + 0.5).tolist()))
+        n_known, sums, n_bytes = [], [], []
+        for body in texts.column("body"):
+            body = body.as_py()
+            logs = [half[w] for w in words_of(body)]
+            n_bytes.append(len(body) - DEPTH)
+            n_known.append(sum(x > 0 for x in logs))  # a count of 0 gives the log of one half
+            sums.append(float(sum(logs)))
+        half = {}
+        strings = [(Strings.unpack(k), unpack_numbers(n, np.float32)) for word, k, n in packed if not word]
         known, logs = (np.concatenate(c) for c in zip(*strings))
+        strings = packed = None
         order = np.argsort(known)
-        known, logs = known[order], logs[order].astype(float)
-        half = {w: np.log10(c + 0.5) for w, c in counts.items()}
-        scores, n_known, sums, n_bytes = [], [], [], []
+        known, logs = known[order], logs[order]
+        scores, waiting, size = [], [], 0
 
         def flush(bodies: list[bytes]) -> None:
             keys, starts = keys_of(bodies)
-            scores.extend(np.add.reduceat(logs[np.searchsorted(known, keys)], starts).tolist())
+            scores.extend(np.add.reduceat(logs[np.searchsorted(known, keys)].astype(float), starts).tolist())
 
-        waiting, size = [], 0
         for body in texts.column("body"):
-            body = body.as_py()
-            words = words_of(body)
-            n_bytes.append(len(body) - DEPTH)
-            n_known.append(sum(counts[w] > 0 for w in words))
-            sums.append(float(sum(half[w] for w in words)))
-            waiting.append(body)
-            size += len(body)
-            if size >= sizes.slice:
+            waiting.append(body.as_py())
+            size += len(waiting[-1])
+            if size >= sizes.slice // 2:
                 flush(waiting)
                 waiting, size = [], 0
         if waiting:
