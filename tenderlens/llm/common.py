@@ -13,7 +13,22 @@ from pyspark.sql import functions as F
 
 from tenderlens.session import barriers, delete_folder, ensure_checkpoint_dir, stored
 
-__all__ = ["barriers", "components", "digest", "only_result", "scratch", "ship", "shuffle_parts", "stored", "table"]
+__all__ = ["barriers", "claim_caches", "components", "digest", "keep_cache", "only_result", "scratch", "ship", "shuffle_parts", "stored", "table"]
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def keep_cache(name: str, clear: Callable[[], None]) -> None:
+    """Name what a module keeps in a Python worker from one task to the next."""
+    _caches[name] = clear
+
+
+def claim_caches(name: str | None) -> None:
+    """At the start of a task: drop what other operators left in this worker, which Spark uses again and again."""
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlens.llm.common import ship, table
+from tenderlens.llm.common import claim_caches, ship, table
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 500
@@ -24,7 +25,7 @@ UNKNOWN = "und"
 SMOOTHING = 0.05
 ROUNDS = 25
 SLICE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _OTHER = re.compile(r"[\W\d_]+")
 _COUNTS_DDL = "lang string, bucket int, n long"
 _RESULT_DDL = "lang_pred string, score double, languages array<string>, proportions array<double>, likelihood double"
@@ -55,6 +56,7 @@ def learn_counts(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_caches("language_mix")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -147,6 +149,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     names = [c for c in docs.columns if c not in results]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_caches("language_mix")
         learned = shared.value
         for batch in batches:
             rows = [learned.infer(t.as_py()) for t in batch.column(batch.schema.get_field_index("text"))]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlens.llm import tokens
-from tenderlens.llm.common import ship, table
+from tenderlens.llm.common import keep_cache, ship, table
 
 TOKENIZER = "byte_bpe_50k.json"
 SHORT = 64
@@ -30,6 +30,7 @@ _NONE = np.iinfo(np.int32).max
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _built: dict[bytes, "RankBpe"] = {}
+keep_cache("token ids", lambda: (_built.clear(), tokens._encoders.clear()))
 
 
 def byte_alphabet() -> list[str]:
@@ -162,6 +163,7 @@ def _encoded(docs: DataFrame, spec: bytes, ddl: str, outputs) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.claim_caches("token ids")
         bpe = rank_bpe(shared.value)
         names = [c.split()[0] for c in ddl.split(", ")]
         for batch in batches:

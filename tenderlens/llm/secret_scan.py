@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenderlens.llm.common import digest, ship, stored, table
+from tenderlens.llm.common import claim_caches, digest, ship, stored, table
 
 DICTIONARY_WORDS = 50_000
 COUNTER_ENTRIES = 300_000
@@ -60,6 +60,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_caches("secret_scan")
         seen: Counter[str] = Counter()
 
         def sums() -> pa.RecordBatch:
@@ -258,6 +259,7 @@ def scan_secrets(docs: DataFrame, corpus: Corpus, forest: RandomForestClassifica
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_caches("secret_scan")
         for batch in batches:
             rows = []
             for doc_id, d1, d2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), (t.as_py() for t in batch.column(3))):

@@ -1,8 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct chunk encoded once.
+"""Token ids of whole texts by the tokenizers library, with each distinct part encoded once.
 
-A byte-level or word-level pre-tokenizer never lets a token run on past the character
-before a white space, so a text may be cut in front of a white space and the parts encoded
-alone. Parts repeat heavily; a bounded cache in the Python worker keeps their ids.
+No token of these tokenizers runs from a character into white space after it, nor from a
+letter into a full stop or comma, so a text may be cut there and the parts encoded alone.
+Parts repeat heavily: a window of text is cut, its parts sorted and its ids put together
+with NumPy, so that Python only sees the different parts of a window. A cache that is
+bounded by bytes keeps their ids.
 """
 
 from __future__ import annotations
@@ -11,11 +13,24 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 400_000
-_RUNS = re.compile(r"\s\s")
-_PARTS = re.compile(r"\s*\S+|\s+")
+from tenderlens.llm.common import claim_caches, keep_cache
+
+CACHE_BYTES = 40 << 20  # of each of two generations
+ENTRY_BYTES = 220  # what a cached part takes beside its characters and ids
+WINDOW = 12 << 20  # bytes of text handled at a time
+KEY_BYTES = 16  # longer parts are looked up one by one
+
+# White space for the tokenizers, as UTF-8. The separators 1C to 1F count as such for Python only;
+# nothing is cut after them either, whatever a tokenizer takes them for.
+_BLANK = np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20])
+_NO_CUT_AFTER = np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x1C, 0x1D, 0x1E, 0x1F])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_STOP = np.isin(np.arange(256), list(b".,;:!?"))
+_WIDE_BLANKS = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SAFE_CUT = re.compile(rb"[!-~](?=[ \n])")
 
 _encoders: dict[bytes, "ChunkEncoder"] = {}
+keep_cache("token ids", _encoders.clear)
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -26,15 +41,64 @@ def tokenizer_file(name: str) -> bytes:
         return f.read()
 
 
-def parts_of(text: str) -> list[str]:
-    """Parts whose ids, one after the other, are the ids of the text.
+def cuts_of(raw: np.ndarray, text: str | None = None) -> np.ndarray:
+    """Places (beyond 0) where UTF-8 bytes may be cut: at a blank after what is none, at a stop after a plain letter."""
+    cut = _BLANK[raw[1:]] & ~_NO_CUT_AFTER[raw[:-1]]
+    cut |= _STOP[raw[1:]] & _LETTER[raw[:-1]]
+    if len(raw) and raw.max() > 127 and _WIDE_BLANKS.search(text if text is not None else raw.tobytes().decode("utf-8", "surrogatepass")):
+        # The last byte of a wide blank may be that of a letter too; such places are just left out.
+        before = np.flatnonzero(cut)
+        ends = [c.encode()[-1] for c in "\u0085\u00a0\u1680\u2028\u2029\u202f\u205f\u3000"] + list(range(0x80, 0x8B))
+        cut[before[np.isin(raw[before], ends)]] = False
+    return np.flatnonzero(cut) + 1
 
-    Cut in front of every space and newline; where white space stands in runs, which a
-    pre-tokenizer may take as one token, in front of the runs instead.
-    """
-    if "\0" in text or _RUNS.search(text):
-        return _PARTS.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+def parts_of(text: str) -> list[str]:
+    """Parts whose ids, one after the other, are the ids of the text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    cuts = [0, *cuts_of(np.frombuffer(raw, np.uint8), text).tolist(), len(raw)]
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(cuts[:-1], cuts[1:])] if raw else []
+
+
+def _windows(texts: list[str]):
+    """(text number, bytes) of texts, those longer than a window cut where that is allowed."""
+    for number, text in enumerate(texts):
+        raw = text.encode("utf-8", "surrogatepass")
+        at = 0
+        while len(raw) - at > WINDOW:
+            cut = _SAFE_CUT.search(raw, at + WINDOW - 1)
+            if not cut:
+                break
+            yield number, raw[at : cut.end()]
+            at = cut.end()
+        yield number, raw[at:]
+
+
+def _groups(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one part of each kind, kind of each part) for parts of at most KEY_BYTES bytes, compared byte for byte."""
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    low, high = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+    padded = np.append(raw, np.zeros(KEY_BYTES, np.uint8))
+    for j in range(8):
+        low |= np.where(j < lengths, padded[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
+    long = np.flatnonzero(lengths > 8)
+    for j in range(8, KEY_BYTES):
+        high[long] |= np.where(j < lengths[long], padded[starts[long] + j], 0).astype(np.uint64) << np.uint64(8 * (j - 8))
+    # No part is a prefix of another one with zero bytes behind it, as their lengths are in the key too.
+    mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (lengths.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
+    mixed ^= mixed >> np.uint64(29)
+    order = np.argsort(mixed)
+    for again in (False, True):
+        m, a, b, c = (x[order] for x in (mixed, low, high, lengths))
+        differs = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        if again or not (differs & (m[1:] == m[:-1])).any():
+            break
+        order = np.lexsort((lengths, high, low))  # two kinds share a hash
+    first = np.flatnonzero(np.append(True, differs))
+    kind = np.empty(len(starts), np.int64)
+    kind[order] = np.cumsum(np.append(0, differs))
+    return order[first], kind
 
 
 class ChunkEncoder:
@@ -42,29 +106,80 @@ class ChunkEncoder:
 
     def __init__(self, encode_parts):
         self.encode_parts = encode_parts
-        self.fresh: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [parts_of(t) for t in texts]
-        wanted = set().union(*cut) if cut else set()
-        missing = wanted.difference(self.fresh)
-        known = self.old.keys() & missing
-        for part in known:
-            self.fresh[part] = self.old[part]
-        missing -= known
+        self.fresh: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def look(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of different parts."""
+        missing = set(parts).difference(self.fresh)
+        known = {part: self.old[part] for part in missing.intersection(self.old)}
+        missing = list(missing.difference(known))
         if missing:
-            order = list(missing)
-            self.fresh.update(zip(order, self.encode_parts(order)))
-        get = self.fresh.__getitem__
-        found = [b"".join(map(get, parts)) for parts in cut]
-        if len(self.fresh) > CACHE_ENTRIES:
-            self.old, self.fresh = self.fresh, {}
+            known.update(zip(missing, self.encode_parts([part.decode("utf-8", "surrogatepass") for part in missing])))
+        self.fresh.update(known)
+        self.size += sum(map(len, known)) + sum(map(len, known.values())) + ENTRY_BYTES * len(known)
+        found = list(map(self.fresh.__getitem__, parts))
+        if self.size > CACHE_BYTES:
+            self.old, self.fresh, self.size = self.fresh, {}, 0
         return found
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        found: list[list[bytes]] = [[] for _ in texts]
+        waiting, size = [], 0
+        for number, raw in _windows(texts):
+            if waiting and size + len(raw) > WINDOW:
+                self._encode(waiting, found)
+                waiting, size = [], 0
+            if raw:
+                waiting.append((number, raw))
+                size += len(raw)
+        if waiting:
+            self._encode(waiting, found)
+        return [f[0] if len(f) == 1 else b"".join(f) for f in found]
+
+    def _encode(self, window: list[tuple[int, bytes]], found: list[list[bytes]]) -> None:
+        joined = b"".join(raw for _, raw in window)
+        raw = np.frombuffer(joined, np.uint8)
+        edges = np.cumsum([len(r) for _, r in window])
+        cuts = cuts_of(raw)
+        starts = np.sort(np.concatenate([[0], cuts, edges[:-1]]))
+        starts = starts[np.append(True, starts[1:] != starts[:-1])]
+        lengths = np.diff(np.append(starts, len(raw)))
+        short = lengths <= KEY_BYTES
+        one, kind = _groups(raw, starts[short], lengths[short])
+        shorts = np.flatnonzero(short)
+        of = np.empty(len(starts), np.int64)
+        of[shorts] = kind
+        sample = shorts[one].tolist()
+        longs = np.flatnonzero(~short).tolist()
+        seen: dict[bytes, int] = {}
+        for i in longs:
+            part = joined[starts[i] : starts[i] + lengths[i]]
+            at = seen.get(part)
+            if at is None:
+                at = seen[part] = len(sample)
+                sample.append(i)
+            of[i] = at
+        begin, end = starts[sample].tolist(), (starts[sample] + lengths[sample]).tolist()
+        ids = self.look([joined[a:b] for a, b in zip(begin, end)])
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        offset = np.cumsum(size) - size
+        counts = size[of]
+        ends = np.cumsum(counts)
+        place = np.arange(ends[-1]) + np.repeat(offset[of] - (ends - counts), counts)
+        out = pool[place].tobytes()
+        # A window's text ends where its last part does.
+        last = np.searchsorted(starts, edges) - 1
+        upto = (ends[last] * 4).tolist()
+        for (number, _), a, b in zip(window, [0, *upto[:-1]], upto):
+            found[number].append(out[a:b])
+
 
 def library_encoder(spec: bytes) -> ChunkEncoder:
-    """The encoder of a tokenizer file, one in each Python worker."""
+    """The encoder of a tokenizer file, one in each Python worker. Caches of other operators are dropped."""
+    claim_caches("token ids")
     if spec not in _encoders:
         from tokenizers import Tokenizer
 
@@ -99,7 +214,7 @@ def library_encoder(spec: bytes) -> ChunkEncoder:
     return _encoders[spec]
 
 
-def in_slices(texts: list[str | None], characters: int = 1_000_000):
+def in_slices(texts: list[str | None], characters: int = 12_000_000):
     """(first index, texts) in runs of about so many characters; null becomes empty."""
     first, run, size = 0, [], 0
     for i, t in enumerate(texts):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenderlens.llm.common import components, digest, ship, shuffle_parts, stored, table
+from tenderlens.llm.common import claim_caches, keep_cache, components, digest, ship, shuffle_parts, stored, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -53,6 +53,7 @@ class _WordHash(dict):
 
 
 _hashes = _WordHash()
+keep_cache("weighted_minhash", _hashes.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -100,6 +101,7 @@ def frequencies(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     segments = COUNTERS // SEGMENT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_caches("weighted_minhash")
         sums, held, size = np.zeros((2, COUNTERS), np.int64), [], 0
 
         def add() -> None:
@@ -122,6 +124,7 @@ def frequencies(docs: DataFrame, words: int = WORDS) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["segment", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_caches("weighted_minhash")
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -205,6 +208,7 @@ def signatures(docs: DataFrame, weights, words: int, bands: int, rows: int) -> D
     """(doc_id, t1, t2, id, signature, keys) of every document; id, the digest of the words, is null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_caches("weighted_minhash")
         band = _mixed(np.arange(1, bands + 1, dtype=np.uint64) * _MIX2)
         for batch in _in_answers(batches):
             found = []
@@ -243,6 +247,7 @@ class _Candidates:
 
     def _sets(self, docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim_caches("weighted_minhash")
             for batch in _in_answers(batches):
                 found = []
                 for text in batch.column(1):
@@ -270,6 +275,7 @@ class _Candidates:
         )
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim_caches("weighted_minhash")
             for batch in _in_answers(batches):
                 found = []
                 for ha, ca, hb, cb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
@@ -321,6 +327,7 @@ class _Candidates:
         )
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim_caches("weighted_minhash")
             held: list[dict] = []
             for row in (r for batch in _in_answers(batches) for r in batch.to_pylist()):
                 if held and any(row[g] != held[0][g] for g in groups):

@@ -6,6 +6,8 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+from functools import cache
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -55,19 +57,38 @@ def test_parts_give_the_ids_of_the_text(library, name):
         assert np.frombuffer(encoder.ids([text])[0], "<u4").tolist() == ids_of(library, name, text), repr(text)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab \n\t'sé1.²́　<|endoftext|>"), max_size=60))
+@cache
+def loaded(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abZ. ,!\n\t's\u00e91\u00b2\u0301\u3000\u00a0\u0085\u2028\u2003\x1c\x1d\x1e\x1f\x0b\0\u0130\u03a3<|endoftext|>"), max_size=60))
 def test_ids_of_any_text(text):
-    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    spec = tokens.tokenizer_file("byte_bpe_50k.json")
+    """Both tokenizers, with control characters that Python alone takes for blanks."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        spec, library = tokens.tokenizer_file(name), loaded(name)
+        got = tokens.library_encoder(spec).ids([text, "", text + " x"])
+        want = [library.encode(t, add_special_tokens=False).ids for t in (text, "", text + " x")]
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+    library = loaded("byte_bpe_50k.json")
+    own = rank_bpe.rank_bpe(tokens.tokenizer_file("byte_bpe_50k.json"))
     want = library.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(tokens.library_encoder(spec).ids([text])[0], "<u4").tolist() == want
-    own = rank_bpe.rank_bpe(spec)
     ids = own.encode([text])[0]
     assert np.frombuffer(ids, "<u4").tolist() == want
     assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_windows_and_long_texts_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "WINDOW", 50)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2_000)
+    texts = ["The cat, sat. " * 30, "x" * 500, "", "a b\n\n c" * 40, "\u3000 " * 50, "word, " * 3] * 2
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        spec, library = tokens.tokenizer_file(name), loaded(name)
+        got = tokens.library_encoder(spec).ids(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_rank_bpe_on_odd_texts(library):
     own = rank_bpe.rank_bpe(tokens.tokenizer_file("byte_bpe_50k.json"))
     for text in ODD:
@@ -352,3 +373,10 @@ def test_pipeline_keeps_texts_where_no_language_is_named(spark):
     got = corpus_pipeline.keep_known_languages(spark, docs, SF)
     assert got.columns == docs.columns
     assert {r["text"] for r in got.collect()} == {"some words here", "日本語", "x"}
+
+
+def test_numerals_are_no_letters(spark):
+    docs = frame(spark, ["der die das und", "²½ Ⅷ ٣", "ª"])
+    model = language_mix.learn_from(docs)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_mix.identify(docs, model).collect()}
+    assert got[1] == "und" and got[0] == "en" and got[2] == "en"
