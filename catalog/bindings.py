@@ -18,6 +18,7 @@ from tenderlens.operators.score import combine_scores
 from tenderlens.plans.score_job import tender_features
 from tenderlens.operators.rules import rule_score
 from tenderlens.session import stored
+from tenderlens.sources.tender_json import DATE_FIELDS, TOP_FIELDS
 
 # Prices here are small and the years earlier, so two cut-offs move with them.
 SETTINGS = ScoringSettings(flags=FlagRules(round_step=10.0), forest=ForestSettings(cut_year=1999))
@@ -159,36 +160,47 @@ def code_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Payload fields that hold their own name and a number, null for one order in thirteen; and the dates, a day apart.
+PLAIN_FIELDS = [f for f in TOP_FIELDS.values() if f not in ("CodigoExterno", "Estado", "MontoEstimado")]
+DATES = list(DATE_FIELDS.values())
+
+
 def detail_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    """Each order as the JSON text of a tender detail, with its first and last line."""
-    lines = table(spark, sf, "lineitem")
+    """Each order as the JSON text of a tender detail, with every field of the flat row and all its lines in order."""
     item = F.struct(
         F.concat(F.lit("part "), "l_partkey").alias("NombreProducto"),
         F.col("l_returnflag").alias("Descripcion"),
         F.col("l_linestatus").alias("UnidadMedida"),
         F.col("l_quantity").alias("Cantidad"),
     )
-    order = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
-    ends = lines.groupBy("l_orderkey").agg(F.min_by(item, order).alias("first"), F.max_by(item, order).alias("last"))
-    customers = table(spark, sf, "customer")
+    # The lines of one order, some seven.
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", item.alias("item")))).alias("lines")
+    )
     joined = (
         table(spark, sf, "orders")
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(ends, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     )
+    key = F.col("o_orderkey")
+    plain = [F.when(key % 13 != i % 13, F.concat(F.lit(f"{f} "), key % 1000)).alias(f) for i, f in enumerate(PLAIN_FIELDS)]
+    days = [
+        F.when(key % 11 != i, F.date_format(F.col("o_orderdate") + F.expr(f"INTERVAL {i} DAYS"), "yyyy-MM-dd'T'HH:mm:ss")).alias(f)
+        for i, f in enumerate(DATES)
+    ]
     payload = F.struct(
-        F.concat(F.lit("O-"), "o_orderkey").alias("CodigoExterno"),
+        F.concat(F.lit("O-"), key).alias("CodigoExterno"),
         F.col("o_orderstatus").alias("Estado"),
         F.col("o_totalprice").alias("MontoEstimado"),
+        *plain,
         F.when(F.col("o_orderpriority") == "1-URGENT", 1).when(F.col("o_orderpriority") != "5-LOW", 0).alias("VisibilidadMonto"),
         F.when(F.col("c_mktsegment") != "MACHINERY", F.struct(
             F.concat(F.lit("Municipalidad de "), "c_mktsegment").alias("NombreOrganismo"),
             F.col("c_name").alias("NombreUnidad"),
             F.col("c_custkey").cast("string").alias("RutUnidad"),
+            F.col("c_nationkey").cast("string").alias("CodigoOrganismo"),
         )).alias("Comprador"),
-        F.struct(
-            F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("FechaPublicacion"),
-        ).alias("Fechas"),
-        F.struct(F.array_compact(F.array("first", "last")).alias("Listado")).alias("Items"),
+        F.struct(*days).alias("Fechas"),
+        F.struct(F.coalesce(F.col("lines.item"), F.array()).alias("Listado")).alias("Items"),
     )
     return joined.select(F.to_json(payload).alias("payload"))

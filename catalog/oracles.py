@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+from tenderlens.config import BASE_FEATURES
+from tenderlens.sources.columns import COLUMN_NAMES
+from tenderlens.sources.tender_json import DATE_FIELDS, TOP_FIELDS
+
 CTES: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
 
@@ -452,7 +456,7 @@ FROM (SELECT c_custkey, count(*) OVER w AS size, min(c_custkey) OVER w AS least
 
 # --- forest and final score ------------------------------------------------------------------------
 
-_SCALED = ("n_bidders", "n_items", "days_open", "days_to_award", "awarded_amount", "estimate", "award_ratio")
+_SCALED = BASE_FEATURES
 CTES["s_split"] = """
 SELECT *, CASE WHEN year(published_at) < 1999 THEN 'train' WHEN year(published_at) >= 1999 THEN 'test' END AS split FROM s_features
 """
@@ -490,7 +494,7 @@ CTES["s_codes"] = """
 SELECT user_id || '|' || event_type AS code, (floor(value)::bigint % 5)::int AS state, ts, event_id FROM events
 """
 CTES["s_known"] = """
-SELECT code, arg_max(state, (ts, event_id)) AS state FROM s_codes WHERE ts < TIMESTAMP '2024-01-15' GROUP BY code
+SELECT code, arg_max(state, (ts, event_id)) AS state FROM s_codes WHERE ts < TIMESTAMP '2024-01-29' GROUP BY code
 """
 CTES["s_listed"] = """
 SELECT code, arg_max(state, (ts, event_id)) AS state FROM s_codes WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY code
@@ -508,7 +512,7 @@ CTES["s_vanished"] = "SELECT code FROM s_known WHERE code NOT IN (SELECT code FR
 ORACLES["changed_codes"] = "SELECT * FROM s_changed"
 ORACLES["vanished_codes"] = "SELECT * FROM s_vanished"
 ORACLES["pending_codes"] = """
-SELECT code FROM (SELECT code FROM s_changed UNION SELECT code FROM s_vanished) p ORDER BY code LIMIT 300
+SELECT code FROM (SELECT code FROM s_changed UNION SELECT code FROM s_vanished) p
 """
 ORACLES["state_advance"] = """
 SELECT coalesce(l.code, k.code) AS code, CASE WHEN l.code IS NOT NULL THEN l.state ELSE k.state END AS state
@@ -524,18 +528,27 @@ ORACLES["overlay_offers"] = """
 SELECT o_orderkey AS tender_id, l_linenumber AS line_no, o_orderstatus AS status, l_quantity AS item_qty
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey
 """
-CTES["s_details"] = """
+_NAMED = "CASE WHEN c_mktsegment <> 'MACHINERY' THEN {} END AS {}"
+_PLAIN = [(f, COLUMN_NAMES[c]) for c, f in TOP_FIELDS.items() if f not in ("CodigoExterno", "Estado", "MontoEstimado")]
+CTES["s_details"] = f"""
 SELECT 'O-' || o_orderkey AS tender_id, o_orderstatus AS status, o_totalprice AS estimate,
+  {", ".join(f"CASE WHEN o_orderkey % 13 <> {i % 13} THEN '{f} ' || o_orderkey % 1000 END AS {name}" for i, (f, name) in enumerate(_PLAIN))},
   CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END AS estimate_visible,
-  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS published_at,
-  CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'Municipalidad de ' || c_mktsegment END AS institution,
-  CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_custkey::varchar END AS buyer_id, 'Municipalidades' AS sector,
+  {", ".join(f"CASE WHEN o_orderkey % 11 <> {i} THEN strftime(o_orderdate + INTERVAL {i} DAY, '%Y-%m-%dT%H:%M:%S') END AS {COLUMN_NAMES[c]}" for i, c in enumerate(DATE_FIELDS))},
+  {_NAMED.format("'Municipalidad de ' || c_mktsegment", "institution")}, {_NAMED.format("c_name", "buyer_name")},
+  {_NAMED.format("c_custkey::varchar", "buyer_id")}, {_NAMED.format("c_nationkey::varchar", "entity_code")}, 'Municipalidades' AS sector,
   'part ' || i.l_partkey AS item_name, i.l_returnflag AS item_text, i.l_linestatus AS unit, i.l_quantity AS item_qty
 FROM orders JOIN customer ON o_custkey = c_custkey
 LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (
     PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) = 1) i ON i.l_orderkey = o_orderkey
 """
 ORACLES["flatten_details"] = "SELECT * FROM s_details"
+ORACLES["detail_items"] = """
+SELECT 'O-' || o_orderkey AS tender_id, l_linenumber IS NOT NULL AS has_item, 'part ' || l_partkey AS item_name, l_returnflag AS item_text,
+  l_linestatus AS unit, l_quantity AS item_qty,
+  row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS item_no
+FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey
+"""
 ORACLES["sector_filter"] = "SELECT tender_id, institution FROM s_details WHERE upper(institution) LIKE '%DE AUTOMOBILE%'"
 ORACLES["event_json"] = """
 SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::int)::bigint AS total FROM events GROUP BY event_type

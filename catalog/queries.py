@@ -22,10 +22,8 @@ from tenderlens.streaming import sync
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Events are split into what was known before this moment and what is listed after it.
-KNOWN_UNTIL = "2024-01-15 00:00:00"
+# Events are split into what was known before this moment and what is listed from it on.
 LISTED_FROM = "2024-01-29 00:00:00"
-FOREST_FEATURES = ("n_bidders", "n_items", "days_open", "days_to_award", "awarded_amount", "estimate", "award_ratio")
 
 
 def query(f: Query) -> Query:
@@ -448,9 +446,9 @@ def number_by_size(spark, sf):
 @query
 def split_impute_scale(spark, sf):
     split = forest.temporal_split(b.features(spark, sf), b.SETTINGS.forest.cut_year)
-    split = stored(split.select("tender_id", "split", *FOREST_FEATURES))
-    scaling = forest.fit_scaling(split.filter(F.col("split") == "train"), FOREST_FEATURES)
-    return rounded(forest.scale(split, scaling), *FOREST_FEATURES)
+    split = stored(split.select("tender_id", "split", *BASE_FEATURES))
+    scaling = forest.fit_scaling(split.filter(F.col("split") == "train"), BASE_FEATURES)
+    return rounded(forest.scale(split, scaling), *BASE_FEATURES)
 
 
 @query
@@ -496,7 +494,7 @@ def score_tenders_full(spark, sf):
 
 
 def _known(spark, sf):
-    seen = b.code_events(spark, sf).filter(F.col("ts") < F.lit(KNOWN_UNTIL).cast("timestamp"))
+    seen = b.code_events(spark, sf).filter(F.col("ts") < F.lit(LISTED_FROM).cast("timestamp"))
     return tender_json.latest_per_key(seen, "code", ["ts", "event_id"]).select("code", "state")
 
 
@@ -530,7 +528,7 @@ def vanished_codes(spark, sf):
 
 @query
 def pending_codes(spark, sf):
-    return sync.pending_codes(_listing(spark, sf), _known(spark, sf), _known(spark, sf), cap=300)
+    return sync.pending_codes(_listing(spark, sf), _known(spark, sf), _known(spark, sf))
 
 
 @query
@@ -562,10 +560,14 @@ def overlay_offers(spark, sf):
 @query
 def flatten_details(spark, sf):
     parsed = tender_json.parse_details(b.detail_payloads(spark, sf), "payload")
-    return tender_json.flatten_details(parsed).select(
-        "tender_id", "status", "estimate", "estimate_visible", "published_at", "institution", "buyer_id", "sector",
-        "item_name", "item_text", "unit", "item_qty",
-    )
+    return tender_json.flatten_details(parsed)
+
+
+@query
+def detail_items(spark, sf):
+    """All lines of the nested details, numbered; a detail without lines stays."""
+    parsed = tender_json.parse_details(b.detail_payloads(spark, sf), "payload")
+    return tender_json.detail_items(parsed)
 
 
 @query

@@ -158,3 +158,14 @@ def flatten_details(details: DataFrame, column: str = "detail", renamed: bool =
     columns |= {c: d["Comprador"][f] for c, f in BUYER_FIELDS.items()}
     columns |= {c: item[f] for c, f in ITEM_FIELDS.items()}
     return details.select(*[e.alias(COLUMN_NAMES[c] if renamed else c) for c, e in columns.items()])
+
+
+def detail_items(details: DataFrame, column: str = "detail") -> DataFrame:
+    """One row per listed item with its number from 1; a detail without items is one row without one."""
+    rows = details.select(
+        F.col(column)["CodigoExterno"].alias("tender_id"), F.posexplode_outer(F.col(column)["Items"]["Listado"]).alias("_pos", "_item")
+    )
+    return rows.select(
+        "tender_id", F.col("_item").isNotNull().alias("has_item"), (F.coalesce("_pos", F.lit(0)) + 1).cast("long").alias("item_no"),
+        *[F.col("_item")[f].alias(COLUMN_NAMES[c]) for c, f in ITEM_FIELDS.items()],
+    )
