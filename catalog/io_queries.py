@@ -70,6 +70,26 @@ def csv_round_trip(spark, sf):
     )
 
 
+@query("""
+SELECT 'T-' || l_orderkey AS tender_id, l_linenumber::bigint AS line_no, l_suppkey AS supplier_id, l_extendedprice::double AS amount,
+  CASE l_linenumber % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'two' || chr(10) || 'lines; "quoted"' WHEN 2 THEN '"' || chr(10) || chr(10) || ';' ELSE '5" pipe' END AS item_text
+FROM lineitem
+""")
+def csv_line_breaks(spark, sf):
+    """All lines as files whose cells hold line breaks, quotes and separators; splits are read side by side."""
+    kind = F.col("l_linenumber") % 4
+    text = F.when(kind == 0, "plain").when(kind == 1, 'two\nlines; "quoted"').when(kind == 2, '"\n\n;').otherwise('5" pipe')
+    lines = b.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("T-"), "l_orderkey").alias("NroLicitacion"), F.col("l_linenumber").alias("linea"), F.col("l_suppkey").alias("prov"),
+        text.alias("DescripcionItem"), F.col("l_extendedprice").alias("monto"),
+    )
+    read = offers_csv.read_all_offers(spark, [_as_csv(lines, "csv")]).filter("misfit_row IS NULL")
+    return read.select(
+        F.col("NroLicitacion").alias("tender_id"), F.col("linea").alias("line_no"), F.col("prov").alias("supplier_id"),
+        F.col("monto").cast("double").alias("amount"), F.col("DescripcionItem").alias("item_text"),
+    )
+
+
 @query("""
 SELECT count(*) AS n_rows, count(*) FILTER (WHERE bad) AS unreadable, count(*) FILTER (WHERE NOT bad) AS amounts,
   round(sum(l_extendedprice) FILTER (WHERE NOT bad), 1) AS total

@@ -253,3 +253,43 @@ def test_catalog_probes(spark):
     spark.range(1).createOrReplaceTempView("probe_me")
     assert tables.table_exists(spark, "probe_me") and tables.table_columns(spark, "probe_me") == ["id"]
     assert not tables.table_exists(spark, "absent_table") and tables.table_columns(spark, "absent_table") == []
+
+
+@pytest.fixture()
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def quoted(cell):
+    return '"' + cell.replace('"', '""') + '"' if any(c in cell for c in '";\n') else cell
+
+
+def test_cells_with_line_breaks_over_many_splits(spark, tmp_path, small_splits):
+    """Splits that begin inside and outside cells, and records over several splits, read as one pass over the file would."""
+    import random
+
+    rng = random.Random(11)
+    cells = ["x", 'a "b" c', 'n\n\nm;"', "Ñ" * 30, "", 'long\n' * 40, '5" pipe', '"', "\n", ";", "plain text"]
+    rows = [(f"L-{i}", rng.choice(cells), rng.choice(cells), "end") for i in range(150)]
+    lines = "".join(";".join(quoted(c) for c in r) + "\n" for r in rows)
+    (tmp_path / "f.csv").write_bytes(("id;one;two;last\n" + lines).encode("latin-1"))
+    (tmp_path / "g.csv").write_bytes(("id;one;two;last\r\n" + 'G-1;"a\r\nb";u" x;end\r\n').encode("latin-1"))
+    (frame,) = offers_csv.read_offers_csv(spark, [str(tmp_path)])
+    got = [tuple(r[:4]) for r in frame.filter("misfit_row IS NULL").orderBy("row_id").collect()]
+    assert got == [(a, b or None, c or None, d) for a, b, c, d in rows] + [("G-1", "a\r\nb", 'u" x', "end")]
+    assert frame.select("row_id.start").distinct().count() > 20
+
+
+def test_an_unclosed_cell_and_a_misfit_record(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('id;one\nA;"x\ny";too many\nB;"z\n"\n')
+    (frame,) = offers_csv.read_offers_csv(spark, [str(tmp_path)])
+    rows = {r["id"]: r for r in frame.collect()}
+    assert rows["A"]["misfit_row"] == 'A;"x\ny";too many' and rows["B"]["one"] == "z\n" and rows["B"]["misfit_row"] is None
+    (tmp_path / "f.csv").write_text('id;one\nA;"x\ny\n')
+    with pytest.raises(ValueError, match="never closed"):
+        offers_csv.read_offers_csv(spark, [str(tmp_path)])
