@@ -18,7 +18,7 @@ from tenderlens.config import BASE_FEATURES
 from tenderlens.operators import embeddings, forest, graph, tenders
 from tenderlens.functions.text import text_hash
 from tenderlens.session import ensure_checkpoint_dir, stored
-from tenderlens.sources import offers_csv, tables, tender_json
+from tenderlens.sources import offers_csv, segments, tables, tender_json
 from tenderlens.sources.columns import to_offer_lines, unreadable_numbers
 from tenderlens.streaming import sync
 
@@ -219,27 +219,81 @@ def sync_counts(spark, sf):
     return result.counts.crossJoin(F.broadcast(seen))
 
 
-@query("""
-SELECT 1::bigint AS id, 'ok' AS state, 'listing-1' AS detail, count(*) AS n_queried, 0::bigint AS n_failed FROM
-  (SELECT DISTINCT n_nationkey FROM nation)
-UNION ALL SELECT 2, 'ok', 'listing-2', count(*), 0 FROM nation WHERE n_regionkey = 0
+# Three listings of the orders: urgent ones come in state 5 with the first, change to 6 with the second where the order
+# is finished, and those in state P are no longer listed by the third. Every tenth has no answer before the last; of these
+# one that is no longer listed then was never known.
+_SYNC = """
+WITH o AS (SELECT o_orderkey, o_orderstatus AS st, o_orderkey % 10 = 0 AS late FROM orders WHERE o_orderpriority = '1-URGENT'), """
+
+
+@query(_SYNC + """
+s AS (SELECT 1 AS id, o_orderkey, late FROM o UNION ALL SELECT 2, o_orderkey, late FROM o WHERE st = 'F' OR late
+  UNION ALL SELECT 3, o_orderkey, false FROM o WHERE late <> (st = 'P'))
+SELECT id::bigint AS id, 'ok' AS state, 'listing-' || id AS detail, CASE WHEN id = 3 THEN (SELECT count(*) FROM o WHERE st <> 'P') ELSE (SELECT count(*) FROM o) END AS n_listed,
+  count(*) AS n_queried, count(*) FILTER (WHERE NOT late) AS n_upserted, 0::bigint AS n_failed FROM s GROUP BY id
 """)
 def sync_log(spark, sf):
-    """Two listings against stored tables, the first one delivered twice: the log has each once."""
-    nations = b.table(spark, sf, "nation")
+    """Three listings against stored tables, the first delivered twice, with answers landed in files between them."""
+    return tables.read_log(spark, _synced(spark, sf).log, "sync").drop("run_at")
+
+
+@query(_SYNC.rstrip(", ") + """
+SELECT 'O-' || o_orderkey AS code, CASE WHEN st = 'P' THEN -1 WHEN st = 'F' THEN 6 ELSE 5 END AS state,
+  CASE WHEN st = 'P' OR late THEN 'answer 3' WHEN st = 'F' THEN 'answer 2' ELSE 'answer 1' END AS name FROM o WHERE NOT (late AND st = 'P')
+""")
+def sync_result(spark, sf):
+    """States and updates after the three listings; both are read from segments of several batches."""
+    paths = _synced(spark, sf)
+    updates = sync.current_offers(spark, paths).select(F.col("tender_id").alias("code"), F.col("tender_name").alias("name"))
+    return tables.read_state(spark, paths.state).join(updates, "code", "full")
+
+
+_SYNCED: dict[tuple[str, str], sync.SyncPaths] = {}
+
+
+def _synced(spark: SparkSession, sf: str) -> sync.SyncPaths:
+    """The tables of the three listings, made once per session and folder."""
+    slot = (spark.sparkContext.applicationId, sf)
+    if slot in _SYNCED:
+        return _SYNCED[slot]
+    orders = b.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
+        F.concat(F.lit("O-"), "o_orderkey").alias("code"), F.col("o_orderstatus").alias("st"), (F.col("o_orderkey") % 10 == 0).alias("late")
+    )
     details = folder(spark, "details")
-    payload = F.struct(F.concat(F.lit("N-"), "n_nationkey").alias("CodigoExterno"), F.struct(F.lit("MUNICIPALIDAD DE X").alias("NombreOrganismo")).alias("Comprador"))
-    nations.select("n_nationkey", F.array(payload).alias("Listado")).write.partitionBy("n_nationkey").json(details)
+
+    def land(answered, name: str) -> None:
+        """One JSON line for each code, some files for all; the code is in the payload."""
+        payload = F.struct(
+            F.col("code").alias("CodigoExterno"), F.lit(name).alias("Nombre"), F.lit("Publicada").alias("Estado"), F.struct(F.lit("MUNICIPALIDAD DE X").alias("NombreOrganismo")).alias("Comprador")
+        )
+        answered.select(F.array(payload).alias("Listado")).write.mode("overwrite").json(details)
+
     paths = sync.SyncPaths(details, *(folder(spark, n) for n in ("bulk", "updates", "state", "log")))
-    code = F.concat(F.lit("N-"), "n_nationkey").alias("code")
-    first = nations.select(code, F.lit(5).alias("state"))
-    second = nations.select(code, F.when(F.col("n_regionkey") == 0, 6).otherwise(5).alias("state"))
-    known = spark.createDataFrame([], tables.STATE_SCHEMA)
-    for name, listing in (("listing-1", first), ("listing-1", first), ("listing-2", second)):
-        if sync.apply_listing(spark, listing, name, paths) and name == "listing-1":
-            # Files here are not named after their codes, so the states are set as an answered run leaves them.
-            tables.write_snapshot(tables.advance_state(known, first), paths.state)
-    return tables.read_log(spark, paths.log, "sync").select("id", "state", "detail", "n_queried", "n_failed")
+    five, six = F.lit(5).alias("state"), F.when(F.col("st") == "F", 6).otherwise(5).alias("state")
+    steps = (
+        ("listing-1", orders.select("code", five), orders.filter("NOT late")), ("listing-1", orders.select("code", five), orders.filter("NOT late")),
+        ("listing-2", orders.select("code", six), orders.filter("NOT late")), ("listing-3", orders.filter("st <> 'P'").select("code", six), orders),
+    )
+    for name, listing, answered in steps:
+        land(answered, f"answer {name[-1]}")
+        sync.apply_listing(spark, listing, name, paths, code_from_file=False)
+    _SYNCED[slot] = paths
+    return paths
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN 'new' WHEN o_orderkey % 3 = 0 THEN 'third' ELSE 'old' END AS mark,
+  CASE WHEN o_orderdate < TIMESTAMP '2000-01-01' AND o_orderkey % 3 <> 0 THEN o_totalprice END AS amount, true AS merged FROM orders
+""")
+def segment_upserts(spark, sf):
+    """All orders, then two overlapping batches of some, as segments; buckets are merged between and after."""
+    path = folder(spark, "segments")
+    orders = b.table(spark, sf, "orders")
+    segments.append_segment(orders.select("o_orderkey", F.lit("old").alias("mark"), F.col("o_totalprice").alias("amount")), path, "o_orderkey", 16)
+    segments.append_segment(orders.filter("o_orderkey % 3 = 0").select("o_orderkey", F.lit("third").alias("mark")), path, "o_orderkey")
+    merged = segments.compact(spark, path, "o_orderkey", 1)
+    segments.append_segment(orders.filter("o_orderdate >= TIMESTAMP '2000-01-01'").select("o_orderkey", F.lit("new").alias("mark")), path, "o_orderkey")
+    return segments.read_segments(spark, path, "o_orderkey").withColumn("merged", F.lit(len(merged) > 0))
 
 
 # --- dates, vectors, communities, forest -----------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tenderlens.functions.scalars import parse_number
 from tenderlens.session import delete_folder
+from tenderlens.sources.segments import read_segments
 
 STATE_SCHEMA = "code string, state int"
 GONE = -1
@@ -177,8 +178,10 @@ def append_run_log(spark: SparkSession, path: str, kind: str, record: Mapping) -
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """Known code states; a missing table counts as empty, a damaged one is an error."""
-    found = read_snapshot(spark, path)
+    """Known code states; a missing table counts as empty, a damaged one is an error. The table is one of segments,
+    or a snapshot."""
+    found = read_segments(spark, path, "code")
+    found = read_snapshot(spark, path) if found is None else found
     return spark.createDataFrame([], STATE_SCHEMA) if found is None else found.select("code", "state")
 
 

@@ -103,16 +103,17 @@ def read_tender_details(
     """Landed detail responses: code, first listed detail (null when none), failed flag.
 
     One JSON object per file, named after its code; a file that does not parse is failed.
-    With ``codes`` (a column ``code``) only their files are kept, by a join on the file's name.
+    Without ``code_from_file`` an object per line, its code in the payload. With ``codes`` (a
+    column ``code``) only theirs are kept, by a join.
     """
-    raw = spark.read.schema(DETAIL_FILE_SCHEMA).option("multiLine", True).option(
+    raw = spark.read.schema(DETAIL_FILE_SCHEMA).option("multiLine", code_from_file).option(
         "columnNameOfCorruptRecord", "_corrupt_record"
     ).json(path, pathGlobFilter="*.json")
     detail = F.get("Listado", F.lit(0))
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     code = name if code_from_file else detail["CodigoExterno"]
     found = raw.select(
-        code.alias("code"), detail.alias("detail"), F.col("_corrupt_record").isNotNull().alias("failed"), name.alias("_named")
+        code.alias("code"), detail.alias("detail"), F.col("_corrupt_record").isNotNull().alias("failed"), code.alias("_named")
     )
     if codes is not None:
         found = found.join(codes.select(F.col("code").alias("_named")), "_named", "left_semi")

@@ -4,7 +4,8 @@ Each landed listing is one micro-batch. A batch works on tables written by the p
 one and is skipped if the log already has its listing, so re-delivery changes nothing,
 whatever number the stream gives the batch.
 Upserts go to a table of updates beside the bulk table: an hourly batch never rewrites the
-bulk, and a bulk reload never loses an update. ``current_offers`` shows both as one.
+bulk, and a bulk reload never loses an update. ``current_offers`` shows both as one. Updates,
+states and attempts are segments: a listing writes what it brings and leaves the rest alone.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tenderlens.session import barriers, stored
-from tenderlens.sources import tables
+from tenderlens.sources import segments, tables
 from tenderlens.sources.columns import to_offer_lines
 from tenderlens.sources.tender_json import (
     LISTING_FILE_SCHEMA,
@@ -104,7 +105,7 @@ class SyncPaths:
 def current_offers(spark: SparkSession, paths: SyncPaths, keep_bids: bool = False) -> DataFrame | None:
     """Bulk offer lines with the updates applied: an updated tender's lines are replaced
     by its update, or with ``keep_bids`` only its status is."""
-    bulk, updates = tables.read_snapshot(spark, paths.bulk), tables.read_snapshot(spark, paths.updates)
+    bulk, updates = tables.read_snapshot(spark, paths.bulk), segments.read_segments(spark, paths.updates, "tender_id")
     if bulk is None or updates is None:
         return updates if bulk is None else bulk
     return tables.overlay_offers(bulk, updates) if keep_bids else tables.upsert_by_key(bulk, updates, "tender_id")
@@ -124,18 +125,19 @@ def _active_now(spark: SparkSession, bulk: DataFrame | None, updates: DataFrame
 
 
 def _attempts(spark: SparkSession, paths: SyncPaths) -> DataFrame:
-    found = tables.read_snapshot(spark, f"{paths.state}-attempts")
-    return spark.createDataFrame([], "code string, last long") if found is None else found
+    found = segments.read_segments(spark, f"{paths.state}-attempts", "code")
+    return spark.createDataFrame([], "code string, last long") if found is None else found.filter("last IS NOT NULL").select("code", "last")
 
 
 def apply_listing(
-    spark: SparkSession, listing: DataFrame, listing_id: str, paths: SyncPaths, cap: int | None = None
+    spark: SparkSession, listing: DataFrame, listing_id: str, paths: SyncPaths, cap: int | None = None, code_from_file: bool = True
 ) -> bool:
     """Run one listing against the stored tables; returns False when it was already done.
 
     The log row, which names the listing, is written last: a batch that died half-way is
     repeated, finds its own upserts and states, and logs once. Codes queried without an
-    answer are kept with the number of the run, for the order under a ``cap``.
+    answer are kept with the number of the run, for the order under a ``cap``. Detail files are
+    named after their codes, or hold one response a line with the code in it.
     """
     log = tables.read_log(spark, paths.log, "sync")
     if not log.filter(F.col("detail") == listing_id).isEmpty():
@@ -143,19 +145,20 @@ def apply_listing(
     with barriers(spark):
         listing = stored(listing)
         known, attempts = tables.read_state(spark, paths.state), _attempts(spark, paths)
-        bulk, updates = tables.read_snapshot(spark, paths.bulk), tables.read_snapshot(spark, paths.updates)
+        bulk, updates = tables.read_snapshot(spark, paths.bulk), segments.read_segments(spark, paths.updates, "tender_id")
         pending = stored(pending_codes(listing, known, _active_now(spark, bulk, updates), cap, attempts))
-        result = sync_batch(listing, pending, read_tender_details(spark, paths.details, codes=pending))
+        result = sync_batch(listing, pending, read_tender_details(spark, paths.details, code_from_file, codes=pending))
         counts = result.counts.first()
         if counts["n_upserted"]:
-            tables.write_snapshot(tables.upsert_by_key(updates, result.upserts, "tender_id"), paths.updates)
+            batch = result.upserts if updates is None else tables.project_common_columns(result.upserts, updates)
+            segments.append_segment(batch, paths.updates, "tender_id")
         run = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         tried = pending.join(result.processed, "code", "left_anti").select("code", F.lit(run).cast("long").alias("last"))
-        kept = attempts.join(pending, "code", "left_anti").unionByName(tried)
-        tables.write_snapshot(kept, f"{paths.state}-attempts")
-        tables.write_snapshot(tables.advance_state(known, result.processed), paths.state)
-    for path in (paths.updates, paths.state, f"{paths.state}-attempts"):
-        tables.drop_old_versions(spark, path)
+        answered = result.processed.join(attempts, "code", "left_semi").select("code", F.lit(None).cast("long").alias("last"))
+        segments.append_segment(tried.unionByName(answered), f"{paths.state}-attempts", "code")
+        segments.append_segment(result.processed, paths.state, "code")
+    for path, key in ((paths.updates, "tender_id"), (paths.state, "code"), (f"{paths.state}-attempts", "code")):
+        segments.compact(spark, path, key)
     tables.append_run_log(spark, paths.log, "sync", {"state": "ok", "detail": listing_id, **counts.asDict()})
     return True
 
