@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalog import bindings as b
-from catalog.oracles import up
+from catalog.oracles import up, with_ctes
 from catalog.queries import rounded
 from tenderlens.config import BASE_FEATURES
 from tenderlens.operators import embeddings, forest, graph, tenders
 from tenderlens.functions.text import text_hash
 from tenderlens.session import ensure_checkpoint_dir, stored
-from tenderlens.sources import offers_csv, segments, tables, tender_json
+from tenderlens.sources import indexes, offers_csv, segments, tables, tender_json
 from tenderlens.sources.columns import to_offer_lines, unreadable_numbers
 from tenderlens.streaming import sync
 
@@ -189,6 +189,50 @@ def table_probe(spark, sf):
     return spark.createDataFrame(rows, "name string, column_name string")
 
 
+# --- laid-out tables --------------------------------------------------------------------------
+
+
+def _ranked(spark: SparkSession, sf: str) -> tuple[str, int]:
+    """(path, rows) of the scored table by rank; small chunks, so that these tables have some."""
+    path, scored = folder(spark, "ranked"), b.scored(spark, sf)
+    indexes.write_ranked(scored, path, [F.desc_nulls_last("risk_score"), F.asc("tender_id")], 500)
+    return path, scored.count()
+
+
+@query(with_ctes("""
+SELECT tender_id, risk_score, winner_name FROM (
+  SELECT *, row_number() OVER (ORDER BY risk_score DESC NULLS LAST, tender_id) - 1 AS place, count(*) OVER () AS n FROM s_scored) r
+WHERE place >= n * 9 // 10 AND place < n * 9 // 10 + 100
+"""))
+def deep_page(spark, sf):
+    """A page nine tenths down the ranking, from the one or two files that hold it."""
+    path, n = _ranked(spark, sf)
+    return indexes.stored_page(spark, path, 100, n * 9 // 10, 500).select("tender_id", "risk_score", "winner_name")
+
+
+@query("""
+SELECT o_orderkey, count(*) AS n, sum(l_quantity)::double AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey) GROUP BY 1
+""")
+def clustered_lookup(spark, sf):
+    """All lines of the last order, from a table in ranges of the key."""
+    path, lines = folder(spark, "clustered"), b.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    lines = lines.join(b.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
+    indexes.write_clustered(lines, path, "o_orderkey", rows_per_key=4)
+    stored_lines = spark.read.parquet(path)
+    last = stored_lines.agg(F.max("o_orderkey")).first()[0]
+    found = stored_lines.filter(F.col("o_orderkey") == last)
+    return found.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%er_0%12%'")
+def names_by_part(spark, sf):
+    """Customers by a part of the name with wildcards, through the runs of three characters of the different names."""
+    customers = b.table(spark, sf, "customer").select("c_custkey", "c_name")
+    grams = stored(indexes.name_grams(customers, "c_name"))
+    return indexes.with_name_like(customers, "c_name", grams, "er_0%12")
+
+
 # --- sync ----------------------------------------------------------------------------------
 
 
@@ -268,7 +312,7 @@ def _synced(spark: SparkSession, sf: str) -> sync.SyncPaths:
         )
         answered.select(F.array(payload).alias("Listado")).write.mode("overwrite").json(details)
 
-    paths = sync.SyncPaths(details, *(folder(spark, n) for n in ("bulk", "updates", "state", "log")))
+    paths = sync.SyncPaths(details, *(folder(spark, n) for n in ("bulk", "updates", "state", "log")), buckets=8)
     five, six = F.lit(5).alias("state"), F.when(F.col("st") == "F", 6).otherwise(5).alias("state")
     steps = (
         ("listing-1", orders.select("code", five), orders.filter("NOT late")), ("listing-1", orders.select("code", five), orders.filter("NOT late")),

@@ -92,14 +92,15 @@ def sync_batch(listing: DataFrame, pending: DataFrame, details: DataFrame) -> Sy
 
 @dataclass(frozen=True)
 class SyncPaths:
-    """Folders of one sync: landed details, the bulk table (read only), and the updates,
-    states and log it keeps."""
+    """Folders of one sync: landed details, the bulk table (read only), and the updates, states
+    and log it keeps, the former in so many ``buckets`` from their first batch on."""
 
     details: str
     bulk: str
     updates: str
     state: str
     log: str
+    buckets: int = segments.BUCKETS
 
 
 def current_offers(spark: SparkSession, paths: SyncPaths, keep_bids: bool = False) -> DataFrame | None:
@@ -151,12 +152,12 @@ def apply_listing(
         counts = result.counts.first()
         if counts["n_upserted"]:
             batch = result.upserts if updates is None else tables.project_common_columns(result.upserts, updates)
-            segments.append_segment(batch, paths.updates, "tender_id")
+            segments.append_segment(batch, paths.updates, "tender_id", paths.buckets)
         run = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         tried = pending.join(result.processed, "code", "left_anti").select("code", F.lit(run).cast("long").alias("last"))
         answered = result.processed.join(attempts, "code", "left_semi").select("code", F.lit(None).cast("long").alias("last"))
-        segments.append_segment(tried.unionByName(answered), f"{paths.state}-attempts", "code")
-        segments.append_segment(result.processed, paths.state, "code")
+        segments.append_segment(tried.unionByName(answered), f"{paths.state}-attempts", "code", paths.buckets)
+        segments.append_segment(result.processed, paths.state, "code", paths.buckets)
     for path, key in ((paths.updates, "tender_id"), (paths.state, "code"), (f"{paths.state}-attempts", "code")):
         segments.compact(spark, path, key)
     tables.append_run_log(spark, paths.log, "sync", {"state": "ok", "detail": listing_id, **counts.asDict()})
