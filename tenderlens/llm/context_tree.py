@@ -213,16 +213,17 @@ def words_of(body: bytes) -> list[bytes]:
 
 def keys_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(string of each byte with its context, place of each body's first one)."""
-    raw = np.frombuffer(b"".join(bodies), np.uint8)
+    raw = b"".join(bodies)
     lengths = np.array([len(b) for b in bodies])
-    starts = np.cumsum(lengths) - lengths
-    keys = raw.astype(np.int64)
-    for k in range(1, DEPTH + 1):
-        keys[k:] |= raw[:-k].astype(np.int64) << 8 * (DEPTH + 1 - k)
+    ends = np.cumsum(lengths)
+    # Eight bytes from every place on: the oldest context byte is the lowest, the byte itself stands above the context.
+    window = np.ndarray((len(raw),), "<i8", raw + b"\0" * 8, strides=(1,))
     inside = np.ones(len(raw), bool)
-    for k in range(DEPTH):
-        inside[starts + k] = False
-    return keys[inside], starts - DEPTH * np.arange(len(bodies))
+    for k in range(1, DEPTH + 1):
+        inside[ends - k] = False
+    window = window[inside]
+    keys = ((window & ((1 << 8 * DEPTH) - 1)) << 8) | ((window >> 8 * DEPTH) & 255)
+    return keys, ends - lengths - DEPTH * np.arange(len(bodies))
 
 
 _PIECES_DDL = "task int, unit int, row long, doc_id long, held_out boolean, n_tokens long, body binary"

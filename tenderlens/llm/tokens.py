@@ -17,7 +17,7 @@ from tenderlens.llm.common import claim_caches, keep_cache
 
 CACHE_BYTES = 40 << 20  # of each of two generations
 ENTRY_BYTES = 220  # what a cached part takes beside its characters and ids
-WINDOW = 12 << 20  # bytes of text handled at a time
+WINDOW = 6 << 20  # bytes of text handled at a time
 KEY_BYTES = 16  # longer parts are looked up one by one
 
 # White space for the tokenizers, as UTF-8. The separators 1C to 1F count as such for Python only;
@@ -214,7 +214,7 @@ def library_encoder(spec: bytes) -> ChunkEncoder:
     return _encoders[spec]
 
 
-def in_slices(texts: list[str | None], characters: int = 12_000_000):
+def in_slices(texts: list[str | None], characters: int = 6_000_000):
     """(first index, texts) in runs of about so many characters; null becomes empty."""
     first, run, size = 0, [], 0
     for i, t in enumerate(texts):
