@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalog import bindings as b
+from catalog.oracles import ORACLES as OF_CATALOG
 from catalog.oracles import up, with_ctes
 from catalog.queries import rounded
 from tenderlens.config import BASE_FEATURES
@@ -20,7 +21,7 @@ from tenderlens.functions.text import text_hash
 from tenderlens.session import ensure_checkpoint_dir, stored
 from tenderlens.sources import indexes, offers_csv, segments, tables, tender_json
 from tenderlens.sources.columns import to_offer_lines, unreadable_numbers
-from tenderlens.streaming import sync
+from tenderlens.streaming import latest, sync
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -340,6 +341,18 @@ def segment_upserts(spark, sf):
     return segments.read_segments(spark, path, "o_orderkey").withColumn("merged", F.lit(len(merged) > 0))
 
 
+@query(with_ctes(OF_CATALOG["latest_per_key"]))
+def latest_streamed(spark, sf):
+    """All events dealt over files whatever their time, read by a stream in some four batches."""
+    path = folder(spark, "latest")
+    events = b.code_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    events.withColumn("_deal", F.pmod(F.hash("event_id"), F.lit(4))).write.partitionBy("_deal").parquet(f"{path}/in")
+    files = len(spark.read.parquet(f"{path}/in").inputFiles())
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{path}/in/*")
+    latest.follow(stream, path, "code", ["ts", "event_id"], late="36500 days", span="7 days").awaitTermination()
+    return latest.read_latest(spark, path, "code").select("code", "state", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+
+
 # --- dates, vectors, communities, forest -----------------------------------------------------
 
 
