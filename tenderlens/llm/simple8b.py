@@ -16,15 +16,14 @@ WIDTHS = {
     1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7),
     8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60),
 }
+_LIMITS = np.array([1 << bits for _, bits in WIDTHS.values()], np.uint64)
+_NEED = np.array([bits for _, bits in WIDTHS.values()] + [64], np.int8)
 _COUNT = np.array([0] + [n for n, _ in WIDTHS.values()] + [1])
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs, 1 at least."""
-    need = np.ones(len(values), np.int8)
-    for _, bits in WIDTHS.values():
-        need[values >= np.uint64(1) << np.uint64(bits)] = min((b for _, b in WIDTHS.values() if b > bits), default=64)
-    return need
+    return _NEED[np.searchsorted(_LIMITS, values, side="right")]
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +53,7 @@ def _encode_block(values: np.ndarray) -> np.ndarray:
         count, bits = WIDTHS[s]
         half = 1 << (count.bit_length() - 1)
         reach = np.maximum(widest[half][:n], widest[half][count - half : count - half + n])
-        selector[reach <= bits] = s
+        np.putmask(selector, reach <= bits, s)
     steps = _COUNT[selector].tolist()
     starts, i = [], 0
     while i < n:

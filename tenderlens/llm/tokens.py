@@ -9,6 +9,7 @@ bounded by bytes keeps their ids.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -26,6 +27,7 @@ _BLANK = np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20])
 _NO_CUT_AFTER = np.isin(np.arange(256), [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x1C, 0x1D, 0x1E, 0x1F])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _STOP = np.isin(np.arange(256), list(b".,;:!?"))
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _WIDE_BLANKS = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SAFE_CUT = re.compile(rb"[!-~](?=[ \n])")
 
@@ -78,13 +80,12 @@ def _groups(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
     """(one part of each kind, kind of each part) for parts of at most KEY_BYTES bytes, compared byte for byte."""
     if not len(starts):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    low, high = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
     padded = np.append(raw, np.zeros(KEY_BYTES, np.uint8))
-    for j in range(8):
-        low |= np.where(j < lengths, padded[starts + j], 0).astype(np.uint64) << np.uint64(8 * j)
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(raw) + 9,), (1,))
+    low = eight[starts] & _FIRST_BYTES[np.minimum(lengths, 8)]
+    high = np.zeros(len(starts), np.uint64)
     long = np.flatnonzero(lengths > 8)
-    for j in range(8, KEY_BYTES):
-        high[long] |= np.where(j < lengths[long], padded[starts[long] + j], 0).astype(np.uint64) << np.uint64(8 * (j - 8))
+    high[long] = eight[starts[long] + 8] & _FIRST_BYTES[lengths[long] - 8]
     # No part is a prefix of another one with zero bytes behind it, as their lengths are in the key too.
     mixed = (low * np.uint64(0x9E3779B97F4A7C15)) ^ (high * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (lengths.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
     mixed ^= mixed >> np.uint64(29)
@@ -102,10 +103,12 @@ def _groups(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
 
 
 class ChunkEncoder:
-    """``ids(texts)``: the little-endian unsigned 32-bit ids of each text, as bytes."""
+    """``ids(texts)``: the little-endian unsigned 32-bit ids of each text, as bytes. ``encode_raw`` takes parts as
+    UTF-8; without it they are decoded one by one."""
 
-    def __init__(self, encode_parts):
+    def __init__(self, encode_parts, encode_raw=None):
         self.encode_parts = encode_parts
+        self.encode_raw = encode_raw or (lambda parts: encode_parts([p.decode("utf-8", "surrogatepass") for p in parts]))
         self.fresh: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.size = 0
@@ -116,7 +119,7 @@ class ChunkEncoder:
         known = {part: self.old[part] for part in missing.intersection(self.old)}
         missing = list(missing.difference(known))
         if missing:
-            known.update(zip(missing, self.encode_parts([part.decode("utf-8", "surrogatepass") for part in missing])))
+            known.update(zip(missing, self.encode_raw(missing)))
         self.fresh.update(known)
         self.size += sum(map(len, known)) + sum(map(len, known.values())) + ENTRY_BYTES * len(known)
         found = list(map(self.fresh.__getitem__, parts))
@@ -168,7 +171,8 @@ class ChunkEncoder:
         offset = np.cumsum(size) - size
         counts = size[of]
         ends = np.cumsum(counts)
-        place = np.arange(ends[-1]) + np.repeat(offset[of] - (ends - counts), counts)
+        place = np.repeat(offset[of] - (ends - counts), counts)
+        place += np.arange(ends[-1])
         out = pool[place].tobytes()
         # A window's text ends where its last part does.
         last = np.searchsorted(starts, edges) - 1
@@ -177,6 +181,20 @@ class ChunkEncoder:
             found[number].append(out[a:b])
 
 
+def token_bytes(spec: bytes) -> np.ndarray | None:
+    """UTF-8 bytes that each id stands for, or None for a tokenizer whose ids don't spell the text byte by byte,
+    or that has an added token with a blank."""
+    said = json.loads(spec)
+    cut, added = said.get("pre_tokenizer") or {}, said.get("added_tokens") or []
+    plain = said.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space")
+    if not plain or said["model"]["type"] != "BPE" or any(not t["content"].isascii() or " " in t["content"] for t in added):
+        return None
+    tokens = {**said["model"]["vocab"], **{t["content"]: t["id"] for t in added}}
+    sizes = np.zeros(max(tokens.values()) + 1, np.int64)
+    sizes[list(tokens.values())] = [len(t) for t in tokens]  # one character for each byte
+    return sizes
+
+
 def library_encoder(spec: bytes) -> ChunkEncoder:
     """The encoder of a tokenizer file, one in each Python worker. Caches of other operators are dropped."""
     claim_caches("token ids")
@@ -210,7 +228,29 @@ def library_encoder(spec: bytes) -> ChunkEncoder:
                 found += [raw[a:b] for a, b in zip([0, *(c + 4 for c in ends[:-1])], ends)]
             return found
 
-        _encoders[spec] = ChunkEncoder(encode_parts)
+        sizes = token_bytes(spec)
+
+        def encode_raw(parts: list[bytes]) -> list[bytes]:
+            """Parts from a blank to a plain character stand side by side with nothing between them: no token runs
+            over such a border, and the bytes of the ids say where each part ends."""
+            plain = [] if sizes is None else [p for p in parts if p[0] == 32 and 32 < p[-1] < 127]
+            known: dict[bytes, bytes] = {}
+            if plain:
+                runs = [b"".join(plain[i : i + 100]).decode("utf-8", "surrogatepass") for i in range(0, len(plain), 100)]
+                batch = tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+                ids = np.concatenate([np.array(e.ids, "<u4") for e in batch])
+                ends = np.cumsum(sizes[ids])
+                wanted = np.cumsum([len(p) for p in plain])
+                at = np.searchsorted(ends, wanted)
+                if ends[-1] == wanted[-1] and (ends[at] == wanted).all():
+                    raw, cuts = ids.tobytes(), ((at + 1) * 4).tolist()
+                    known = dict(zip(plain, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]))
+            rest = [p for p in parts if p not in known]
+            if rest:
+                known.update(zip(rest, encode_parts([p.decode("utf-8", "surrogatepass") for p in rest])))
+            return [known[p] for p in parts]
+
+        _encoders[spec] = ChunkEncoder(encode_parts, encode_raw)
     return _encoders[spec]
 
 
