@@ -16,7 +16,7 @@ from catalog.oracles import ORACLES as OF_CATALOG
 from catalog.oracles import up, with_ctes
 from catalog.queries import rounded
 from tenderlens.config import BASE_FEATURES
-from tenderlens.operators import embeddings, forest, graph, tenders
+from tenderlens.operators import embeddings, forest, graph, history, tenders
 from tenderlens.functions.text import text_hash
 from tenderlens.session import ensure_checkpoint_dir, stored
 from tenderlens.sources import indexes, offers_csv, segments, tables, tender_json
@@ -447,3 +447,39 @@ def isolation_summary(spark, sf):
         F.bool_and(F.col("anomaly").between(0, 1)).alias("in_range"),
         (F.max(F.when(F.col("planted"), F.col("anomaly"))) >= F.max(F.when(~F.col("planted"), F.col("anomaly")))).alias("planted_in_front"),
     )
+
+
+# --- history that grows ---------------------------------------------------------------------
+
+
+@query(with_ctes(OF_CATALOG["prior_concentration"]))
+def prior_concentration_added(spark, sf):
+    """Closed tenders in one run and open ones, some of them older, in the next, which opens the months it touches only."""
+    built = stored(tenders.assemble_tenders(b.offer_lines(spark, sf), b.ROW_ORDER))
+    path = folder(spark, "history")
+    is_open = F.col("status") == "Publicada"
+    history.add_awards(built.filter(~is_open), path)
+    history.add_awards(built.filter(is_open), path)
+    return rounded(history.stored_concentration(spark, path), "supplier_share", "buyer_share")
+
+
+@query("""
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 2 * o_custkey AS a, 2 * l_suppkey + 1 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey = s_nationkey),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+n AS (SELECT 2 * c_custkey AS v FROM customer UNION ALL SELECT 2 * s_suppkey + 1 FROM supplier),
+r AS (SELECT v, v AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON r.v = l.a)
+SELECT v::bigint AS v, min(root)::bigint AS part FROM r GROUP BY v
+""")
+def connected_parts(spark, sf):
+    """Nations as communities of customers and suppliers, split where trade inside the nation leaves them apart."""
+    customers, suppliers = b.table(spark, sf, "customer"), b.table(spark, sf, "supplier")
+    member = customers.select((F.col("c_custkey") * 2).cast("long").alias("v"), F.col("c_nationkey").alias("comm")).unionByName(
+        suppliers.select((F.col("s_suppkey") * 2 + 1).cast("long").alias("v"), F.col("s_nationkey").alias("comm"))
+    )
+    trade = b.table(spark, sf, "orders").join(b.table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+        (F.col("o_custkey") * 2).cast("long").alias("src"), (F.col("l_suppkey") * 2 + 1).cast("long").alias("dst")
+    ).distinct()
+    links = stored(trade.unionByName(trade.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return graph.connected_parts(links, member).withColumnRenamed("comm", "part")

@@ -227,12 +227,40 @@ def _contract(level: _Level, position: _Position) -> _Level:
     return _Level(stored(links), stored(vertices), level.total)
 
 
+def connected_parts(links: DataFrame, member: DataFrame) -> DataFrame:
+    """(v, comm) with every community's connected parts as communities of their own, named by their least vertex.
+
+    ``links`` (src, dst) hold both directions, ``member`` is (v, comm). Apart from each other, parts share no
+    weight, so modularity never falls. Only links inside communities are kept. A round gives every vertex the
+    least name among its own and its neighbours', then that of the vertex it is named by; so names travel twice as
+    far in each round, and rounds grow with the logarithm of a part's extent in all but odd cases.
+    """
+    side = member.select(F.col("v").alias("_v"), F.col("comm").alias("_comm"))
+    inside = (
+        links.join(member.withColumnsRenamed({"v": "src", "comm": "_own"}), "src").join(side, F.col("dst") == F.col("_v"))
+        .filter(F.col("_own") == F.col("_comm")).select("src", "dst")
+    )
+    inside = stored(inside)
+    state = stored(member.select("v", F.col("v").alias("part")))
+    while True:
+        near = state.select(F.col("v").alias("dst"), F.col("part").alias("_near"))
+        least = inside.join(near, "dst").groupBy(F.col("src").alias("v")).agg(F.min("_near").alias("_near"))
+        hooked = stored(state.join(least, "v", "left").select("v", "part", F.least("part", "_near").alias("_new")))
+        if hooked.filter(F.col("_new") < F.col("part")).isEmpty():
+            return state.select("v", F.col("part").alias("comm"))
+        # A vertex that names many others is one row here; the many are spread by adaptive execution.
+        named = hooked.select(F.col("v").alias("_new"), F.col("_new").alias("_next"))
+        state = stored(hooked.join(named, "_new").select("v", F.col("_next").alias("part")))
+
+
 def communities(edges: DataFrame, settings: GraphSettings = GraphSettings()) -> DataFrame:
     """(id, community) for every node, communities numbered by size, largest first.
 
-    Equal sizes are ordered by their smallest node id.
+    Equal sizes are ordered by their smallest node id. Every community is connected: what moves and
+    contraction left apart is split at the end.
     """
     level, names = _first_level(edges)
+    links = level.links
     if level.total == 0:
         return names.select("id", F.lit(0).cast("int").alias("community"))
     member = names.select("id", F.col("v").alias("comm"), F.col("v").alias("rank"))
@@ -250,7 +278,8 @@ def communities(edges: DataFrame, settings: GraphSettings = GraphSettings()) ->
         if last:
             break
         level = _contract(level, position)
-    return number_by_size(member)
+    parts = connected_parts(links, member.select(F.col("rank").alias("v"), "comm"))
+    return number_by_size(member.select("id", "rank").join(parts.withColumnRenamed("v", "rank"), "rank"))
 
 
 def number_by_size(member: DataFrame) -> DataFrame:

@@ -40,14 +40,15 @@ class Segment:
         return f"{path}/of={buckets}/batch={self.kind}{self.number}/{BUCKET}={self.bucket}"
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names inside a folder, none where it does not exist."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
 
 
 def _buckets(spark: SparkSession, path: str) -> int | None:
-    found = [int(n[3:]) for n in _names(spark, path) if n.startswith("of=")]
+    found = [int(n[3:]) for n in folder_names(spark, path) if n.startswith("of=")]
     return found[0] if found else None
 
 
@@ -55,8 +56,8 @@ def segments(spark: SparkSession, path: str) -> tuple[int | None, list[Segment]]
     """(number of buckets, finished segments); names only, no data is read."""
     buckets = _buckets(spark, path)
     found = []
-    for name in _names(spark, f"{path}/of={buckets}") if buckets else []:
-        match, inside = _SEGMENT.match(name), _names(spark, f"{path}/of={buckets}/{name}")
+    for name in folder_names(spark, f"{path}/of={buckets}") if buckets else []:
+        match, inside = _SEGMENT.match(name), folder_names(spark, f"{path}/of={buckets}/{name}")
         if match and "_SUCCESS" in inside:
             own = [int(n.removeprefix(f"{BUCKET}=")) for n in inside if n.startswith(f"{BUCKET}=")]
             found += [Segment(int(match[2]), match[1], b) for b in own]
@@ -80,7 +81,7 @@ def bucket_of(key: str, buckets: int) -> Column:
 
 def _last_number(spark: SparkSession, path: str, buckets: int) -> int:
     """The highest number in use, failed writes included, so that their folders are never mixed with new files."""
-    return max((int(m[2]) for m in map(_SEGMENT.match, _names(spark, f"{path}/of={buckets}")) if m), default=0)
+    return max((int(m[2]) for m in map(_SEGMENT.match, folder_names(spark, f"{path}/of={buckets}")) if m), default=0)
 
 
 def append_segment(rows: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> int | None:

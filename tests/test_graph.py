@@ -121,3 +121,42 @@ def test_vertices_take_their_first_label(spark):
     assert got == {"I:b": ("buyer", "early"), "P:s1": ("supplier", "S1"), "P:s2": ("supplier", "S2")}
     summary = graph.graph_summary(graph.graph_edges(pairs)).first()
     assert (summary["n_nodes"], summary["n_edges"], summary["density"]) == (3, 2, pytest.approx(2 / 3))
+
+
+def _parts_of(edges, assignment):
+    """Connected parts of each community by plain search."""
+    near = {}
+    for a, b in edges:
+        if assignment[a] == assignment[b]:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    part = {}
+    for v in sorted(assignment):
+        todo = [] if v in part else [v]
+        while todo:
+            u = todo.pop()
+            if u not in part:
+                part[u] = v
+                todo += near.get(u, ())
+    return part
+
+
+def test_connected_parts_equal_plain_search(spark):
+    rng = random.Random(11)
+    chain = [(i, i + 1) for i in range(0, 60)]
+    edges = chain + [(rng.randrange(70, 140), rng.randrange(70, 140)) for _ in range(60)]
+    edges = sorted({(a, b) for a, b in edges if a != b})
+    assignment = {v: (0 if v <= 40 or 50 <= v <= 60 else 1 + v % 3) for v in range(140)}
+    links = spark.createDataFrame(edges + [(b, a) for a, b in edges], "src long, dst long")
+    member = spark.createDataFrame(list(assignment.items()), "v long, comm long")
+    got = {r["v"]: r["comm"] for r in graph.connected_parts(links, member).collect()}
+    assert got == _parts_of(edges, assignment)
+    assert graph.connected_parts(links.limit(0), member.limit(0)).count() == 0
+
+
+def test_every_community_is_connected(spark):
+    rng = random.Random(21)
+    edges = sorted({(f"I:{rng.randrange(40)}", f"P:{rng.randrange(60)}") for _ in range(110)})
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src string, dst string, weight double")
+    got = {r["id"]: r["community"] for r in graph.communities(df).collect()}
+    assert len(set(_parts_of(edges, got).values())) == len(set(got.values()))
