@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,7 +39,27 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 
 
 _FOLD_FROM, _FOLD_TO, _SEVERAL = _fold_tables()
-_SEVERAL_PATTERN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SEVERAL) + r"\x{ac00}-\x{d7a3}]"
+
+
+def _class_of(codes: Iterable[int], runs_a_block: int = 10) -> str:
+    """A pattern for one of the characters, as runs inside blocks of runs: a character is tried against the few
+    blocks and the runs of one, not against each of a thousand characters in turn."""
+    runs: list[list[int]] = []
+    for code in sorted(codes):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+
+    def span(low: int, high: int) -> str:
+        return f"\\x{{{low:x}}}-\\x{{{high:x}}}"
+
+    blocks = [runs[i : i + runs_a_block] for i in range(0, len(runs), runs_a_block)]
+    inner = "".join(f"[{span(b[0][0], b[-1][1])}&&[{''.join(span(*r) for r in b)}]]" for b in blocks)
+    return f"[{span(runs[0][0], runs[-1][1])}&&[{inner}]]"
+
+
+_SEVERAL_PATTERN = _class_of([*map(ord, _SEVERAL), *range(_SYLLABLES, _SYLLABLES + _N_SYLLABLES)])
 
 
 def _hangul_tables() -> tuple[str, str, str, str]:

@@ -1,11 +1,17 @@
 """TF-IDF similarity between the requested and the offered text of each offer line.
 
 Work is done once per distinct text and once per distinct text pair. Each text becomes
-one sparse vector row, so no join key ever multiplies terms by pairs.
+one sparse vector row, so no join key ever multiplies terms by pairs; terms are counted
+inside a text's row.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +22,10 @@ from tenderlens.operators.selection import layout_positions, top_by_count
 from tenderlens.session import stored
 
 SIDE_A, SIDE_B = "item_text", "offer_text"
+# Different terms that a task adds up before it hands them on, some 50 MB.
+HELD_TERMS = 200_000
+# A vocabulary of so many terms (some 20 MB) may travel to every task.
+LISTED_TERMS = 200_000
 
 
 def with_text_hashes(offers: DataFrame) -> DataFrame:
@@ -27,8 +37,7 @@ def corpus(offers: DataFrame) -> DataFrame:
     """Distinct texts of both sides; ``copies`` is 2 for a text found on both.
 
     Copies merge before the first shuffle. The second one spreads the distinct texts over
-    all tasks by ``slot``: cutting them into terms costs far more than their bytes
-    suggest, and the term counts below keep this partitioning instead of shuffling terms.
+    all tasks by ``slot``: cutting them into terms costs far more than their bytes suggest.
     """
     tasks = int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sides = F.inline(F.array(
@@ -46,31 +55,67 @@ def corpus(offers: DataFrame) -> DataFrame:
     )
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
+def word_lists(texts: DataFrame) -> DataFrame:
+    """The words of every text, a blank between them (no word holds one); cutting them is the dear part, so store
+    this where it is read twice."""
+    return texts.select("slot", "text_hash", "copies", F.array_join(tokens(F.col("text")), " ").alias("words"))
+
+
+def term_counts(words: DataFrame) -> DataFrame:
     """Occurrences of every 1-2-gram per text."""
+    cut = F.filter(F.split("words", " "), lambda w: w != "")
     return (
-        texts.select("slot", "text_hash", "copies", F.explode(one_two_grams(tokens(F.col("text")))).alias("term"))
+        words.select("slot", "text_hash", "copies", F.explode(one_two_grams(cut)).alias("term"))
         .groupBy("slot", "text_hash", "copies", "term")
         .agg(F.count("*").alias("tf"))
     )
 
 
+def _grams_of(text: str) -> list[str]:
+    """``one_two_grams`` of a word list."""
+    words = text.split()
+    return words + [*map(" ".join, zip(words, words[1:]))]
+
+
+def term_totals(words: DataFrame, held: int = HELD_TERMS) -> DataFrame:
+    """Per term its texts and occurrences, both times ``copies``. A text's terms are counted in its own row and added
+    up over the texts of a task, ``held`` terms at a time, so no row for each term of each text is ever made."""
+    grams_of = _grams_of
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_texts, occurs = Counter(), Counter()
+
+        def rows() -> pa.RecordBatch:
+            # Both met the terms in the same order.
+            columns = [pa.array(in_texts, "string"), pa.array(in_texts.values(), "int64"), pa.array(occurs.values(), "int64")]
+            return pa.RecordBatch.from_arrays(columns, ["term", "n_texts", "occurrences"])
+
+        for batch in batches:
+            for copies, text in zip(batch.column("copies").to_pylist(), batch.column("words").to_pylist()):
+                grams = grams_of(text)
+                for _ in range(copies):
+                    occurs.update(grams)
+                    in_texts.update([*dict.fromkeys(grams)])
+                if len(in_texts) >= held:
+                    yield rows()
+                    in_texts.clear(), occurs.clear()
+        yield rows()
+
+    partial = words.select("copies", "words").mapInArrow(totals, "term string, n_texts long, occurrences long")
+    return partial.groupBy("term").agg(F.sum("n_texts").alias("n_texts"), F.sum("occurrences").alias("occurrences"))
+
+
 def fit_vocabulary(
-    texts: DataFrame, settings: TextSettings = TextSettings(), counts: DataFrame | None = None
+    texts: DataFrame, settings: TextSettings = TextSettings(), words: DataFrame | None = None
 ) -> DataFrame:
     """Terms in enough texts, the most frequent ones first, with smoothed idf.
 
     At most ``max_terms`` rows; equal frequencies are cut in term order. Terms are numbered
-    in the range layout, so without a limit the table may have any size. ``counts`` are the
-    stored term counts of the texts.
+    in the range layout, so without a limit the table may have any size. ``words`` are the
+    stored word lists of the texts.
     """
     n_texts = texts.agg(F.sum("copies").alias("n")).scalar()
-    frequent = (
-        (term_counts(texts) if counts is None else counts)
-        .groupBy("term")
-        .agg(F.sum("copies").alias("n_texts"), F.sum(F.col("tf") * F.col("copies")).alias("occurrences"))
-        .filter(F.col("n_texts") >= settings.min_texts)
-    )
+    frequent = term_totals(word_lists(texts) if words is None else words).filter(F.col("n_texts") >= settings.min_texts)
     if settings.max_terms is not None:
         frequent = top_by_count(stored(frequent), "occurrences", "term", settings.max_terms)
     return layout_positions(frequent, [], [F.desc("occurrences"), F.asc("term")], "term_id").select(
@@ -82,13 +127,43 @@ def fit_vocabulary(
     )
 
 
-def tfidf_vectors(texts: DataFrame, vocabulary: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """One sparse unit vector per text with at least one known term. Whether the vocabulary is
-    broadcast depends on its size, which Spark knows of a stored table."""
-    weighted = (
-        (term_counts(texts) if counts is None else counts)
-        .join(stored(vocabulary.select("term", "term_id", "idf")), "term")
-        .select("slot", "text_hash", "term_id", (F.col("tf") * F.col("idf")).alias("w"))
+def tfidf_vectors(texts: DataFrame, vocabulary: DataFrame, words: DataFrame | None = None, listed: int = LISTED_TERMS) -> DataFrame:
+    """One sparse unit vector per text with at least one known term. A vocabulary of ``listed`` terms at most travels
+    to the tasks, which look up the terms of a text in its own row; a larger one is joined."""
+    words = word_lists(texts) if words is None else words
+    vocabulary = stored(vocabulary.select("term", "term_id", "idf"))
+    known = vocabulary.limit(listed + 1).collect()
+    if len(known) > listed:
+        return _joined_vectors(words, vocabulary)
+    shared = words.sparkSession.sparkContext.broadcast({r["term"]: (r["term_id"], r["idf"]) for r in known})
+    grams_of = _grams_of
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        kind = pa.list_(pa.struct([("id", pa.int32()), ("w", pa.float64())]))
+        for batch in batches:
+            kept, norms, ends, ids, weights = [], [], [0], [], []
+            for row, text in enumerate(batch.column("words").to_pylist()):
+                found = sorted((*of[t], tf) for t, tf in Counter(filter(of.__contains__, grams_of(text))).items())
+                if found:
+                    own = [tf * idf for _, idf, tf in found]
+                    kept.append(row)
+                    norms.append(math.sqrt(sum(w * w for w in own)))
+                    ids += [f[0] for f in found]
+                    weights += own
+                    ends.append(len(ids))
+            entries = pa.StructArray.from_arrays([pa.array(ids, "int32"), pa.array(weights, "float64")], fields=[*kind.value_type])
+            terms = pa.ListArray.from_arrays(pa.array(ends, "int32"), entries, type=kind)
+            own_rows = batch.select(["slot", "text_hash"]).take(pa.array(kept, "int64"))
+            yield pa.RecordBatch.from_arrays([*own_rows.columns, pa.array(norms, "float64"), terms], ["slot", "text_hash", "norm", "terms"])
+
+    schema = "slot long, text_hash string, norm double, terms array<struct<id: int, w: double>>"
+    return words.select("slot", "text_hash", "words").mapInArrow(vectors, schema)
+
+
+def _joined_vectors(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    weighted = term_counts(words).join(vocabulary, "term").select(
+        "slot", "text_hash", "term_id", (F.col("tf") * F.col("idf")).alias("w")
     )
     return weighted.groupBy("slot", "text_hash").agg(
         F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
@@ -127,11 +202,10 @@ def lexical_similarity(
 ) -> DataFrame:
     """TF-IDF cosine per distinct (a_hash, b_hash) of the hashed offer lines.
 
-    Texts are cut into terms once; counts and vectors are stored, as both are read twice.
+    Texts are cut into words once; word lists and vectors are stored, as both are read twice.
     """
-    texts = stored(corpus(hashed))
-    counts = stored(term_counts(texts))
-    vectors = stored(tfidf_vectors(texts, fit_vocabulary(texts, settings, counts), counts))
+    words = stored(word_lists(corpus(hashed)))
+    vectors = stored(tfidf_vectors(words, fit_vocabulary(words, settings, words), words))
     return pair_cosines(distinct_pairs(hashed) if pairs is None else pairs, vectors)
 
 

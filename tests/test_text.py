@@ -149,3 +149,35 @@ def test_dense_features_encode_each_text_once(spark, tmp_path):
     assert read_embeddings(spark, path, "m").count() == 3 and read_embeddings(spark, path, "other").count() == 0
     alone = attach_dense(tenders, hashed, lines, make_encoder, "m").filter("tender_id = '1'").first()
     assert alone["sim_won_dense"] == pytest.approx(1.0)
+
+
+def test_characters_that_fold_to_several_are_few_runs(spark):
+    from tenderlens.functions import text as folding
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    found = spark.createDataFrame([(c,) for c in chars], "c string").filter(F.col("c").rlike(folding._SEVERAL_PATTERN))
+    assert {r["c"] for r in found.collect()} == set(folding._SEVERAL) | {chr(c) for c in range(0xAC00, 0xD7A4)}
+    assert folding._SEVERAL_PATTERN.count("x{") < 300  # each is tried in turn, so not one for each character
+
+
+def test_terms_are_counted_in_the_rows_of_texts(spark):
+    rows = [("1", "won", "uno dos tres uno dos", "dos tres"), ("2", "lost", "dos tres", "uno dos"), ("3", "won", None, "seis")]
+    texts = text.corpus(lines(spark, rows)).coalesce(1)
+    plan = text.fit_vocabulary(texts, TextSettings(max_terms=None, min_texts=1))
+    want = {r["term"]: (r["n"], r["o"]) for r in text.term_counts(text.word_lists(texts)).groupBy("term").agg(
+        F.sum("copies").alias("n"), F.sum(F.col("tf") * F.col("copies")).alias("o")).collect()}
+    for held in (1, 3, 1000):
+        got = {r["term"]: (r["n_texts"], r["occurrences"]) for r in text.term_totals(text.word_lists(texts), held).collect()}
+        assert got == want
+    # "dos tres" is found on both sides and counts twice.
+    assert want["dos"] == (4, 5) and want["dos tres"] == (3, 3)
+
+    def as_dict(vectors):
+        return {r["text_hash"]: (r["norm"], sorted((t["id"], t["w"]) for t in r["terms"])) for r in vectors.collect()}
+
+    looked_up, joined = as_dict(text.tfidf_vectors(texts, plan)), as_dict(text.tfidf_vectors(texts, plan, listed=2))
+    assert looked_up.keys() == joined.keys() and len(joined) == 4
+    for key, (norm, terms) in joined.items():
+        assert looked_up[key][0] == pytest.approx(norm)
+        assert [t[0] for t in looked_up[key][1]] == [t[0] for t in terms]
+        assert [t[1] for t in looked_up[key][1]] == pytest.approx([t[1] for t in terms])
