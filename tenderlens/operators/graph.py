@@ -11,12 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tenderlens.config import GraphSettings
 from tenderlens.operators.selection import layout_positions
-from tenderlens.session import stored
+from tenderlens.session import planned_small, stored
 
 MIN_GAIN = 1e-9
 
@@ -160,14 +160,17 @@ class _Position:
 
 
 def _evaluate(level: _Level, state: DataFrame, resolution: float) -> _Position:
-    proposals = stored(_proposals(level, state, resolution))
     willing = F.col("gain") > MIN_GAIN
-    row = proposals.agg(
+    # Summed up while the table is written, so a sweep is one job.
+    seen = Observation()
+    proposals = stored(_proposals(level, state, resolution).observe(
+        seen,
         F.sum(F.col("k_own") + F.col("loop")).alias("inside"),
         F.sum(F.col("degree") * F.col("comm_total")).alias("squares"),
         F.count_if(willing & (F.col("colour") == 0)).alias("m0"),
         F.count_if(willing & (F.col("colour") == 1)).alias("m1"),
-    ).first()
+    ))
+    row = seen.get
     total = level.total
     modularity = row["inside"] / total - resolution * row["squares"] / (total * total)
     return _Position(proposals, modularity, (row["m0"], row["m1"]))
@@ -268,7 +271,8 @@ def communities(edges: DataFrame, settings: GraphSettings = GraphSettings()) ->
     for depth in count():
         if settings.max_levels is not None and depth >= settings.max_levels:
             raise RuntimeError(f"communities: modularity still rises after {depth} levels")
-        position = _settle(level, settings)
+        with planned_small(edges.sparkSession, level.links.count()):
+            position = _settle(level, settings)
         if reached is not None and position.modularity <= reached + MIN_GAIN:
             break
         last = reached is not None and position.modularity < reached + settings.min_rise

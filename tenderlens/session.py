@@ -36,7 +36,8 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     for paths in _open[-1:]:
         paths.append(path)
-    return df.sparkSession.read.parquet(path)
+    # With its schema given, reading it back starts no job.
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -57,3 +58,26 @@ def barriers(spark: SparkSession) -> Iterator[None]:
     finally:
         for path in _open.pop():
             delete_folder(spark, path)
+
+
+# Rows that one shuffle task takes with ease, and up to which a step is planned as a small one.
+TASK_ROWS, SMALL_ROWS = 100_000, 5_000_000
+
+
+@contextmanager
+def planned_small(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plan what runs in this block for tables of ``rows`` rows: where these are few, steps that repeat many times take
+    few shuffle tasks and one job each, instead of a job and a new plan for every shuffle. Larger ones stay adaptive."""
+    if rows > SMALL_ROWS:
+        yield
+        return
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(min(partitions, rows // TASK_ROWS + 1))}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
