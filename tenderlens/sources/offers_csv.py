@@ -105,6 +105,8 @@ def records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     stepped = _composed(lines, split, "_line", "after_out", "after_in", "_upto").withColumns({
         "_before": F.lag("_upto").over(inside), "_head": (F.row_number().over(inside) == 1) & (F.col("_start") == 0),
     })
+    # Read twice; the files are cut into lines, matched and sorted once.
+    stepped = stored(stepped)
     # One row for each split: what it does, and where its last record begins for either state at its begin.
     begins = {
         s: F.max(F.when((F.coalesce(F.col(f"_before.{s}"), F.lit(0 if s == "out" else 1))) == 0, F.col("_line"))) for s in ("out", "inside")
@@ -163,7 +165,8 @@ def read_offers_csv(spark: SparkSession, folders: Sequence[str], multi_line: boo
         broken = has_line_breaks_in_cells(spark, paths) if multi_line is None else multi_line
         if broken:
             cells = F.from_csv("value", schema, {"sep": SEPARATOR, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MISFIT})
-            keyed = records(spark, paths).withColumn("_cells", cells).select(*[F.col(f"_cells.{c}") for c in names], "_file", "_start", "_line")
+            # Stored, as the types of the columns are found by a pass of its own over all records.
+            keyed = stored(records(spark, paths).withColumn("_cells", cells).select(*[F.col(f"_cells.{c}") for c in names], "_file", "_start", "_line"))
         else:
             # A task may read several splits, each in one go: inside a split its line count only rises.
             keyed = _reader(spark, False).schema(schema).csv(paths).select(

@@ -293,3 +293,13 @@ def test_an_unclosed_cell_and_a_misfit_record(spark, tmp_path):
     (tmp_path / "f.csv").write_text('id;one\nA;"x\ny\n')
     with pytest.raises(ValueError, match="never closed"):
         offers_csv.read_offers_csv(spark, [str(tmp_path)])
+
+
+def test_records_with_line_breaks_are_found_once(spark, tmp_path):
+    from tenderlens.sources import offers_csv
+
+    (tmp_path / "a.csv").write_text('NroLicitacion;DescripcionItem\nT-1;"two\nlines"\nT-2;plain\n', encoding="ISO-8859-1")
+    read = offers_csv.read_all_offers(spark, [str(tmp_path)])
+    assert sorted((r["NroLicitacion"], r["DescripcionItem"]) for r in read.collect()) == [("T-1", "two\nlines"), ("T-2", "plain")]
+    # What is read later is the stored records, not the files, which would be cut and sorted anew each time.
+    assert all(f.endswith(".parquet") for f in read.inputFiles())
