@@ -64,6 +64,20 @@ def barriers(spark: SparkSession) -> Iterator[None]:
 TASK_ROWS, SMALL_ROWS = 100_000, 5_000_000
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys`` into tasks of some ``TASK_ROWS`` of its ``rows``, where the session's shuffle
+    partitions would be fewer: what a task sorts and holds then stays the same however many rows there are, and nothing
+    spills. Smaller tables stay as they are, for adaptive execution to plan."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """One side of a join that grows with the input: its rows go from task to task, never through the driver to all,
+    which the size of its compressed files would have Spark do."""
+    return df.hint("merge")
+
+
 @contextmanager
 def planned_small(spark: SparkSession, rows: int) -> Iterator[None]:
     """Plan what runs in this block for tables of ``rows`` rows: where these are few, steps that repeat many times take

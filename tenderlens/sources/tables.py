@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenderlens.functions.scalars import parse_number
-from tenderlens.session import delete_folder
+from tenderlens.session import by_shuffle, delete_folder, spread
 from tenderlens.sources.segments import read_segments
 
 STATE_SCHEMA = "code string, state int"
@@ -110,7 +110,7 @@ def upsert_by_key(target: DataFrame | None, batch: DataFrame, key: str) -> DataF
     if target is None:
         return batch
     keys = batch.select(key).distinct()
-    kept = target.join(keys, key, "left_anti").select(*target.columns)
+    kept = target.join(by_shuffle(keys), key, "left_anti").select(*target.columns)
     return kept.unionByName(project_common_columns(batch, target), allowMissingColumns=True)
 
 
@@ -187,7 +187,7 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 def advance_state(known: DataFrame, processed: DataFrame) -> DataFrame:
     """Merge processed (code, state) into the known states; the processed ones win."""
-    return known.join(processed.select("code"), "code", "left_anti").unionByName(processed.select("code", "state"))
+    return known.join(by_shuffle(processed.select("code")), "code", "left_anti").unionByName(processed.select("code", "state"))
 
 
 # --- daily partitions --------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenderlens.session import by_shuffle
 from tenderlens.sources.columns import COLUMN_NAMES
 
 SECTOR_KEYWORD = "MUNICIPALIDAD"
@@ -116,7 +117,7 @@ def read_tender_details(
         code.alias("code"), detail.alias("detail"), F.col("_corrupt_record").isNotNull().alias("failed"), code.alias("_named")
     )
     if codes is not None:
-        found = found.join(codes.select(F.col("code").alias("_named")), "_named", "left_semi")
+        found = found.join(by_shuffle(codes.select(F.col("code").alias("_named"))), "_named", "left_semi")
     return found.drop("_named")
 
 

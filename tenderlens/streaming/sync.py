@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tenderlens.session import barriers, stored
+from tenderlens.session import barriers, by_shuffle, stored
 from tenderlens.sources import segments, tables
 from tenderlens.sources.columns import to_offer_lines
 from tenderlens.sources.tender_json import (
@@ -32,12 +32,12 @@ def changed_or_new(listing: DataFrame, known: DataFrame) -> DataFrame:
     """Listed codes whose state is unknown or differs."""
     same = listing["state"].eqNullSafe(F.col("_known_state"))
     before = known.select(F.col("code").alias("_known_code"), F.col("state").alias("_known_state"))
-    return listing.join(before, (listing["code"] == F.col("_known_code")) & same, "left_anti").select("code")
+    return listing.join(by_shuffle(before), (listing["code"] == F.col("_known_code")) & same, "left_anti").select("code")
 
 
 def vanished_codes(active: DataFrame, listing: DataFrame) -> DataFrame:
     """Codes active in our table that the listing no longer has."""
-    return active.select("code").distinct().join(listing.select("code"), "code", "left_anti")
+    return active.select("code").distinct().join(by_shuffle(listing.select("code")), "code", "left_anti")
 
 
 def active_codes(clean: DataFrame, status: str = "Publicada") -> DataFrame:
@@ -54,7 +54,7 @@ def pending_codes(
         return pending
     if attempts is None:
         return pending.orderBy("code").limit(cap)
-    tried = pending.join(attempts, "code", "left")
+    tried = pending.join(by_shuffle(attempts), "code", "left")
     return tried.orderBy(F.col("last").asc_nulls_first(), "code").limit(cap).select("code")
 
 
@@ -72,13 +72,13 @@ def sync_batch(listing: DataFrame, pending: DataFrame, details: DataFrame) -> Sy
     unmarked; codes outside the sector are marked but not stored. A processed code absent
     from the listing is marked gone.
     """
-    answered = stored(pending.join(details, "code"))
+    answered = stored(pending.join(by_shuffle(details), "code"))
     found = answered.filter(~F.col("failed") & F.col("detail").isNotNull())
     wanted = found.filter(in_sector(F.col("detail.Comprador.NombreOrganismo")))
     upserts = to_offer_lines(flatten_details(wanted, renamed=False))
     states = listing.select("code", F.col("state").alias("_listed"))
     processed = (
-        found.select("code").distinct().join(states, "code", "left")
+        found.select("code").distinct().join(by_shuffle(states), "code", "left")
         .select("code", F.coalesce("_listed", F.lit(tables.GONE)).alias("state"))
     )
     counts = pending.agg(F.count("*").alias("n_queried")).select(
@@ -120,7 +120,7 @@ def _active_now(spark: SparkSession, bulk: DataFrame | None, updates: DataFrame
     if bulk is not None:
         listed = active_codes(bulk)
         if updates is not None:
-            listed = listed.join(updates.select(F.col("tender_id").alias("code")), "code", "left_anti")
+            listed = listed.join(by_shuffle(updates.select(F.col("tender_id").alias("code"))), "code", "left_anti")
         active = active.unionByName(listed)
     return active
 
@@ -154,8 +154,8 @@ def apply_listing(
             batch = result.upserts if updates is None else tables.project_common_columns(result.upserts, updates)
             segments.append_segment(batch, paths.updates, "tender_id", paths.buckets)
         run = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        tried = pending.join(result.processed, "code", "left_anti").select("code", F.lit(run).cast("long").alias("last"))
-        answered = result.processed.join(attempts, "code", "left_semi").select("code", F.lit(None).cast("long").alias("last"))
+        tried = pending.join(by_shuffle(result.processed), "code", "left_anti").select("code", F.lit(run).cast("long").alias("last"))
+        answered = result.processed.join(by_shuffle(attempts), "code", "left_semi").select("code", F.lit(None).cast("long").alias("last"))
         segments.append_segment(tried.unionByName(answered), f"{paths.state}-attempts", "code", paths.buckets)
         segments.append_segment(result.processed, paths.state, "code", paths.buckets)
     for path, key in ((paths.updates, "tender_id"), (paths.state, "code"), (f"{paths.state}-attempts", "code")):
