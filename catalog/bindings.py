@@ -174,12 +174,14 @@ def detail_payloads(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_quantity").alias("Cantidad"),
     )
     # The lines of one order, some seven.
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+    lines = table(spark, sf, "lineitem").filter("l_orderkey IS NOT NULL")
+    rows = lines.count()
+    lines = spread(lines, rows, "l_orderkey").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", item.alias("item")))).alias("lines")
     )
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     joined = (
-        table(spark, sf, "orders")
-        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        spread(orders, rows, "o_orderkey")
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     )
     key = F.col("o_orderkey")

@@ -258,6 +258,8 @@ def sync_counts(spark, sf):
         F.col("detail.CodigoExterno").alias("code"), "detail",
         (F.regexp_extract(F.col("detail.CodigoExterno"), r"(\d+)$", 1).cast("long") % 10 == 0).alias("failed"), F.col("detail.Estado").alias("status"),
     )
+    # Stored, as the step reads it several times and making it is most of the work.
+    details = stored(details)
     listing = details.filter("status <> 'P'").select("code", F.lit(5).alias("state"))
     result = sync.sync_batch(listing, details.select("code"), details.drop("status"))
     seen = result.processed.agg(F.count("*").alias("n_processed"), F.count_if(F.col("state") == tables.GONE).alias("n_gone"))
