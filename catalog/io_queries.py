@@ -194,8 +194,8 @@ def table_probe(spark, sf):
 
 
 def _ranked(spark: SparkSession, sf: str) -> tuple[str, int]:
-    """(path, rows) of the scored table by rank; small chunks, so that these tables have some."""
-    path, scored = folder(spark, "ranked"), b.scored(spark, sf)
+    """(path, rows) of what pages show of the scored table, by rank; small chunks, so that these tables have some."""
+    path, scored = folder(spark, "ranked"), b.scored(spark, sf).select(*PAGE)
     indexes.write_ranked(scored, path, [F.desc_nulls_last("risk_score"), F.asc("tender_id")], 500)
     return path, scored.count()
 
