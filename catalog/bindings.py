@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tenderlens.config import (
     LOST,
@@ -17,7 +18,7 @@ from tenderlens.config import (
 from tenderlens.operators.score import combine_scores
 from tenderlens.plans.score_job import tender_features
 from tenderlens.operators.rules import rule_score
-from tenderlens.session import stored
+from tenderlens.session import spread, stored
 from tenderlens.sources.tender_json import DATE_FIELDS, TOP_FIELDS
 
 # Prices here are small and the years earlier, so two cut-offs move with them.
@@ -37,25 +38,29 @@ def outcome_of(flag: str):
 def offer_lines(spark: SparkSession, sf: str, buyer: str = "nation", with_text: bool = False) -> DataFrame:
     """Orders with their lines as tenders with offers; an order without lines stays as one
     line without a supplier. ``buyer`` is the customer's nation or the customer."""
-    lines = table(spark, sf, "lineitem")
-    span = lines.groupBy("l_orderkey").agg(
-        F.min("l_shipdate").alias("closed_at"), F.max("l_shipdate").alias("awarded_at")
+    of_order = Window.partitionBy("l_orderkey")
+    suppliers = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey", "s_acctbal"
     )
+    # Suppliers and parts meet the lines before these are shuffled by order, so that what a tender is made of lies in one
+    # task from there on. A line without an order key is no order's.
+    lines = table(spark, sf, "lineitem").filter("l_orderkey IS NOT NULL")
+    rows = lines.count()
+    lines = lines.join(suppliers, "l_suppkey", "left")
+    if with_text:
+        parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand")
+        lines = lines.join(parts, "l_partkey", "left")
+    # With suppliers or parts listed twice a line comes twice, which changes neither date.
+    lines = spread(lines, rows, "l_orderkey").withColumns({
+        "closed_at": F.min("l_shipdate").over(of_order), "awarded_at": F.max("l_shipdate").over(of_order)
+    })
     customers = table(spark, sf, "customer").join(
         table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     ).select("c_custkey", "c_name", "c_nationkey", "n_name")
-    suppliers = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey", "s_acctbal"
-    )
     by_nation = buyer == "nation"
     priority = F.col("o_orderpriority")
-    joined = (
-        table(spark, sf, "orders")
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(span, F.col("o_orderkey") == span["l_orderkey"], "left").drop(span["l_orderkey"])
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .join(suppliers, "l_suppkey", "left")
-    )
+    orders = table(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    joined = spread(orders, rows, "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     columns = [
         F.col("o_orderkey").alias("tender_id"),
         F.col("l_linenumber").alias("line_no"),
@@ -78,8 +83,6 @@ def offer_lines(spark: SparkSession, sf: str, buyer: str = "nation", with_text:
         F.when(F.col("o_orderstatus") == "O", "Publicada").otherwise("Adjudicada").alias("status"),
     ]
     if with_text:
-        parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand")
-        joined = joined.join(parts, "l_partkey", "left")
         columns += [
             F.col("p_name").alias("item_text"),
             F.when(F.col("l_returnflag") == "A", F.concat_ws(" ", "p_name", "p_brand"))

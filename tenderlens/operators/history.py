@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tenderlens.functions.scalars import ratio_or
 from tenderlens.operators.selection import HOT_KEY_ROWS, hot_keys, running_positions
-from tenderlens.session import barriers, stored
+from tenderlens.session import barriers, spread, stored
 from tenderlens.sources.periods import (
     PERIOD,
     drop_replaced,
@@ -132,5 +132,5 @@ def stored_concentration(spark: SparkSession, path: str, only: Collection[int] |
 
 
 def attach_history(tenders: DataFrame, order_by: str = "published_at", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
-    """Tenders with their history; give it a stored table, it is read twice."""
-    return tenders.join(prior_concentration(tenders, order_by, hot_rows), "tender_id", "left")
+    """Tenders with their history; give it a stored table, it is read and counted."""
+    return spread(tenders, tenders.count(), "tender_id").join(prior_concentration(tenders, order_by, hot_rows), "tender_id", "left")

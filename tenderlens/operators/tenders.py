@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.config import HEADER_COLUMNS, LOST, WON, FlagRules
@@ -39,17 +39,31 @@ def timestamp_failures(
     ])
 
 
-def _has_null(column: str) -> Column:
-    return F.coalesce(F.max(F.col(column).isNull().cast("int")), F.lit(0))
+def _distinct_counts(offers: DataFrame) -> DataFrame:
+    """Per tender the different suppliers and items, and whether a line has none (0 or 1).
+
+    Each line gives a row for its supplier and one for its item, and these are made distinct. Unlike two distinct counts
+    in one aggregation this keeps offers that are partitioned by tender where they are.
+    """
+    no_supplier, no_item = (F.lit(None).cast(offers.schema[c].dataType) for c in ("supplier_id", "item_name"))
+    sides = F.inline(F.array(
+        F.struct(F.lit(True).alias("bid"), F.col("supplier_id").alias("supplier"), no_item.alias("item")),
+        F.struct(F.lit(False).alias("bid"), no_supplier.alias("supplier"), F.col("item_name").alias("item")),
+    ))
+    return offers.select("tender_id", sides).distinct().groupBy("tender_id").agg(
+        F.count("supplier").alias("bidders"),
+        F.count("item").alias("items"),
+        F.max((F.col("bid") & F.col("supplier").isNull()).cast("int")).alias("null_bidder"),
+        F.max((~F.col("bid") & F.col("item").isNull()).cast("int")).alias("null_item"),
+    )
 
 
 def bid_metrics(offers: DataFrame, null_counts_as_bidder: bool = False) -> DataFrame:
     """Distinct bidders and items per tender. A line without a supplier is no bidder unless
     ``null_counts_as_bidder``; a line without an item still counts as one item."""
-    bidders = F.count_distinct("supplier_id")
-    return offers.groupBy("tender_id").agg(
-        (bidders + _has_null("supplier_id") if null_counts_as_bidder else bidders).cast("long").alias("n_bidders"),
-        (F.count_distinct("item_name") + _has_null("item_name")).cast("long").alias("n_items"),
+    bidders = F.col("bidders") + F.col("null_bidder") if null_counts_as_bidder else F.col("bidders")
+    return _distinct_counts(offers).select(
+        "tender_id", bidders.cast("long").alias("n_bidders"), (F.col("items") + F.col("null_item")).cast("long").alias("n_items")
     )
 
 
@@ -61,7 +75,7 @@ def assemble_tenders(
     """One row per tender: header of its first line, bid metrics, winner and losers.
 
     One conditional aggregation builds everything but the distinct counts. Those run on
-    three narrow columns, so only these are multiplied by their expansion, and both sides
+    three narrow columns, so only these are doubled, and both sides
     are already partitioned by tender when they meet.
     """
     header = [c for c in HEADER_COLUMNS if c in offers.columns and c != "tender_id"]
@@ -78,12 +92,8 @@ def assemble_tenders(
         .alias("awarded_amount"),
         F.min(lost_bid).alias("runner_up_amount"),
         F.avg(lost_bid).alias("losing_mean_amount"),
-        _has_null("supplier_id").alias("null_bidder"),
-        _has_null("item_name").alias("null_item"),
-    )
-    counts = offers.groupBy("tender_id").agg(
-        F.count_distinct("supplier_id").alias("bidders"), F.count_distinct("item_name").alias("items")
     )
+    counts = _distinct_counts(offers)
     bidders = F.col("bidders") + F.col("null_bidder") if null_counts_as_bidder else F.col("bidders")
     return wide.join(counts, "tender_id", "left").select(
         "tender_id",
