@@ -119,11 +119,13 @@ def overlay_offers(
 ) -> DataFrame:
     """Bulk offer lines plus update rows of tenders the bulk lacks, so an update never
     erases bids; the status of an updated tender is the update's. Of several update rows
-    the last by ``order`` counts, or by all their columns."""
+    the last by ``order`` counts, or by all their columns. Give it stored tables, the bulk is counted."""
+    rows = bulk.count()
+    bulk, updates = spread(bulk, rows, key), spread(updates, rows, key)
     last = F.struct(*[F.col(c) for c in order or updates.columns])
     newest = updates.groupBy(key).agg(F.max_by(F.col(status), last).alias("_status"))
-    refreshed = bulk.join(newest, key, "left").withColumn(status, F.coalesce("_status", status)).drop("_status")
-    extra = updates.join(bulk.select(key).distinct(), key, "left_anti")
+    refreshed = bulk.join(by_shuffle(newest), key, "left").withColumn(status, F.coalesce("_status", status)).drop("_status")
+    extra = updates.join(by_shuffle(bulk.select(key).distinct()), key, "left_anti")
     return refreshed.select(*bulk.columns).unionByName(project_common_columns(extra, bulk), allowMissingColumns=True)
 
 
