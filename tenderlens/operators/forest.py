@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenderlens.config import ForestSettings
@@ -61,12 +61,16 @@ def fit_scaling(train: DataFrame, features: Sequence[str]) -> Scaling:
     )
 
 
-def scale(df: DataFrame, scaling: Scaling) -> DataFrame:
-    """Impute and standardise the features in place."""
-    return df.withColumns({
+def scaled_columns(scaling: Scaling) -> dict[str, Column]:
+    return {
         c: (F.coalesce(F.col(c).cast("double"), F.lit(fill)) - F.lit(scaling.mean[c])) / F.lit(scaling.sd[c])
         for c, fill in scaling.fill.items()
-    })
+    }
+
+
+def scale(df: DataFrame, scaling: Scaling) -> DataFrame:
+    """Impute and standardise the features in place."""
+    return df.withColumns(scaled_columns(scaling))
 
 
 def mean_path(n: np.ndarray | float) -> np.ndarray:
@@ -88,6 +92,7 @@ def sample_rows(train: DataFrame, rows: int, key: str, settings: ForestSettings)
     share = min(1.0, wanted / max(rows, 1))
     # In doubles 2**63 * share is exact enough; every row is in for a share of one.
     limit = F.lit(float(2**63) * (2 * share - 1))
+
     trees = F.filter(
         F.sequence(F.lit(0), F.lit(settings.n_trees - 1)),
         lambda t: F.xxhash64(F.col(key), t, F.lit(settings.seed)).cast("double") <= limit,
@@ -216,6 +221,21 @@ def apply_forest(df: DataFrame, forest: Forest, carry: Sequence[str] = ("tender_
     return df.select(*carry, *features).mapInPandas(score, f"{schema}, anomaly double")
 
 
+def _fitted(
+    tenders: DataFrame, features: Sequence[str], settings: ForestSettings, key: str
+) -> tuple[DataFrame, bool, Scaling, Forest]:
+    """(the rows to score with key, split and features; whether these are all rows; scaling and forest of the past rows,
+    or of all without any)."""
+    split = temporal_split(tenders, settings.cut_year).select(key, "split", *features)
+    train = split.filter(F.col("split") == "train")
+    scored = split.filter(F.col("split").isNotNull())
+    without_past = train.isEmpty()
+    if without_past:
+        train = scored = split.withColumn("split", F.lit("all"))
+    scaling = fit_scaling(train, features)
+    return scored, without_past, scaling, fit_forest(scale(train, scaling), features, key, settings)
+
+
 def isolation_scores(
     tenders: DataFrame, features: Sequence[str], settings: ForestSettings = ForestSettings(), key: str = "tender_id"
 ) -> DataFrame:
@@ -225,16 +245,28 @@ def isolation_scores(
     otherwise rows without a publication year get no score.
     """
     features = [f for f in features if f in tenders.columns]
-    split = temporal_split(tenders, settings.cut_year).select(key, "split", *features)
-    train = split.filter(F.col("split") == "train")
-    scored = split.filter(F.col("split").isNotNull())
-    if train.isEmpty():
-        train = scored = split.withColumn("split", F.lit("all"))
-    scaling = fit_scaling(train, features)
-    forest = fit_forest(scale(train, scaling), features, key, settings)
+    scored, _, scaling, forest = _fitted(tenders, features, settings, key)
     return apply_forest(scale(scored, scaling), forest, (key, "split"))
 
 
+def anomaly_column(
+    tenders: DataFrame, features: Sequence[str], settings: ForestSettings = ForestSettings(), key: str = "tender_id"
+) -> Column:
+    """What joining ``isolation_scores`` by ``key`` gives each row, as a column for ``tenders`` or for what was made
+    of its rows: only the features enter Python, and the other columns of a wide row stay where they are."""
+    features = [f for f in features if f in tenders.columns]
+    _, every_row, scaling, forest = _fitted(tenders, features, settings, key)
+    shared = tenders.sparkSession.sparkContext.broadcast(forest.nodes())
+    depth, size = forest.depth, forest.sample_size
+
+    def score(*columns: pd.Series) -> pd.Series:
+        return pd.Series(anomaly(np.column_stack(columns), shared.value, depth, size))
+
+    columns = scaled_columns(scaling)
+    found = F.pandas_udf(score, "double")(*[columns[f] for f in forest.features])
+    return F.when(F.col(key).isNotNull() & (F.lit(every_row) | F.year("published_at").isNotNull()), found)
+
+
 def anomaly_rate(scores: DataFrame, contamination: float = 0.05) -> DataFrame:
     """Percent of rows per split above the training scores' (1 - contamination) quantile."""
     train = scores.filter(F.col("split").isin("train", "all"))

@@ -94,14 +94,20 @@ def _narrow(df: DataFrame, targets: list[_Target], direct_limit: int, accuracy:
         t.rank0 = t.rank
     margin = 2.0 / accuracy
     while open_ := [t for t in targets if t.value is None and t.inside > direct_limit]:
-        brackets = df.agg(*[
+        # Ranks inside the same bracket are read off one sketch: the two ranks of a median cost one.
+        sketches: dict[tuple, list[_Target]] = {}
+        for t in open_:
+            sketches.setdefault((t.column, t.low, t.high), []).append(t)
+        row = df.agg(*[
             F.percentile_approx(
-                t.values(),
-                [max(0.0, t.rank / t.inside - margin), min(1.0, (t.rank + 1) / t.inside + margin)],
+                same[0].values(),
+                [p for t in same for p in (max(0.0, t.rank / t.inside - margin), min(1.0, (t.rank + 1) / t.inside + margin))],
                 accuracy,
-            ).alias(f"b{i}")
-            for i, t in enumerate(open_)
+            ).alias(f"s{i}")
+            for i, same in enumerate(sketches.values())
         ]).first()
+        found = {id(t): row[f"s{i}"][2 * j : 2 * j + 2] for i, same in enumerate(sketches.values()) for j, t in enumerate(same)}
+        brackets = {f"b{i}": found[id(t)] for i, t in enumerate(open_)}
         counts = df.agg(*[
             F.count_if(test).alias(f"{name}{i}")
             for i, t in enumerate(open_)

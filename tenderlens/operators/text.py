@@ -48,8 +48,9 @@ def corpus(offers: DataFrame) -> DataFrame:
     ))
     return (
         offers.select(sides)
-        .groupBy("text_hash")
-        .agg(F.first("text").alias("text"), (F.max("in_a") + F.max("in_b")).alias("copies"))
+        # A hash stands for one text, and as a key the text lets copies merge by hashing, without a sort.
+        .groupBy("text_hash", "text")
+        .agg((F.max("in_a") + F.max("in_b")).alias("copies"))
         .withColumn("slot", F.xxhash64("text_hash"))
         .repartition(tasks, "slot")
     )
@@ -171,11 +172,13 @@ def _joined_vectors(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def pair_lines(hashed: DataFrame) -> DataFrame:
+def pair_lines(hashed: DataFrame, with_text: bool = False) -> DataFrame:
     """Winning and losing lines per (tender, text pair). This narrow table replaces the
     texts in everything that follows, so a pair repeated over millions of lines of a
-    tender is shuffled once."""
-    return hashed.groupBy("tender_id", "a_hash", "b_hash").agg(
+    tender is shuffled once. ``with_text`` keeps the texts beside their hashes, a missing one
+    as the empty one, so that ``corpus`` can read them off this table once it is stored."""
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in (SIDE_A, SIDE_B)] if with_text else []
+    return hashed.groupBy("tender_id", "a_hash", "b_hash", *texts).agg(
         F.count_if(F.col("outcome") == WON).alias("n_won"), F.count_if(F.col("outcome") == LOST).alias("n_lost")
     )
 

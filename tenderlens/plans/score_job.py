@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tenderlens.config import BASE_FEATURES, DENSE_FEATURES, LEXICAL_FEATURES, ScoringSettings
 from tenderlens.operators.embeddings import Encoder, embed_missing
-from tenderlens.operators.forest import isolation_scores
+from tenderlens.operators.forest import anomaly_column
 from tenderlens.operators.graph import community_features
 from tenderlens.operators.history import attach_history
 from tenderlens.operators.rules import rule_score
 from tenderlens.operators.score import combine_scores, score_summary
 from tenderlens.operators.tenders import assemble_tenders, parse_timestamps, tier1_flags
 from tenderlens.operators.text import (
+    SIDE_A,
+    SIDE_B,
     corpus,
     delta_similarity,
     dense_similarity,
@@ -92,14 +94,16 @@ def score_tenders(
     features = [*BASE_FEATURES, *LEXICAL_FEATURES, *(DENSE_FEATURES if make_encoder else ())]
     tenders = tender_features(offers, row_order, settings)
     hashed = with_text_hashes(offers)
-    lines = stored(pair_lines(hashed))
+    # Offers are read for their texts once: what follows reads the texts and the counts off this table.
+    hashed = stored(pair_lines(hashed, with_text=True))
+    lines = hashed.drop(SIDE_A, SIDE_B)
     tenders = attach_lexical(tenders, hashed, lines, settings)
     if make_encoder is not None:
         tenders = attach_dense(tenders, hashed, lines, make_encoder, model, cache_path)
     first = stored(rule_score(tenders, settings.weights))
-    anomalies = isolation_scores(first, features, settings.forest).select("tender_id", "anomaly")
+    anomaly = anomaly_column(first, features, settings.forest)
     ruled = rule_score(community_features(first, settings.graph), settings.weights)
-    scored = stored(ruled.join(anomalies, "tender_id", "left"))
+    scored = stored(ruled.withColumn("anomaly", anomaly))
     return combine_scores(scored, settings.rules_share, settings.forest_share)
 
 

@@ -83,3 +83,14 @@ def test_scores_with_deltas_one_ulp_apart(spark):
     rows = [(i, datetime(2022 + i % 3, 1, 1), steps[i % 2]) for i in range(300)]
     got = forest.isolation_scores(spark.createDataFrame(rows, "tender_id int, published_at timestamp_ntz, a double"), ["a"], SETTINGS)
     assert got.count() == 300
+
+
+@pytest.mark.parametrize("years", [(2022, 2025), (2024, 2025)])
+def test_anomaly_column_is_the_joined_score_without_a_join(spark, years):
+    df = points(spark, years).union(spark.createDataFrame([(None, datetime(years[0], 1, 1), 1.0, 2.0)], points(spark).schema))
+    scores = forest.isolation_scores(df, ["a", "b", "absent"], SETTINGS).select(F.col("tender_id").alias("id"), "anomaly")
+    joined = df.join(scores, F.col("tender_id") == F.col("id"), "left").select("tender_id", "anomaly")
+    got = df.withColumn("more", F.lit(1)).select("tender_id", forest.anomaly_column(df, ["a", "b", "absent"], SETTINGS).alias("anomaly"))
+    key = lambda r: (r[0] is None, r[0])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, joined.collect()), key=key)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()

@@ -71,3 +71,12 @@ def test_global_positions_descending(spark):
     got = layout_positions(df, [], [F.desc("size"), F.asc("id")], "p").collect()
     want = {i: n for n, (i, _) in enumerate(sorted(((i, i % 10) for i in range(100)), key=lambda r: (-r[1], r[0])))}
     assert {r["id"]: r["p"] for r in got} == want
+
+
+def test_both_ranks_of_a_median_are_read_off_one_sketch(spark, monkeypatch):
+    asked = []
+    whole = F.percentile_approx
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: asked.append(a) or whole(*a))
+    df = spark.range(1000).select(F.col("id").cast("double").alias("a"), (-F.col("id")).cast("double").alias("b"))
+    assert exact_quantiles(df, ["a", "b"], direct_limit=400) == {"a": 499.5, "b": -499.5}
+    assert len(asked) == 2

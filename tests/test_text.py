@@ -181,3 +181,14 @@ def test_terms_are_counted_in_the_rows_of_texts(spark):
         assert looked_up[key][0] == pytest.approx(norm)
         assert [t[0] for t in looked_up[key][1]] == [t[0] for t in terms]
         assert [t[1] for t in looked_up[key][1]] == pytest.approx([t[1] for t in terms])
+
+
+def test_texts_are_read_off_the_pair_counts(spark):
+    df = lines(spark, [("t", "Adjudicada", "a b", None), ("t", "x", "a b", ""), ("u", None, None, "c d"), (None, "x", "a b", "c d")])
+    kept = text.pair_lines(df, with_text=True)
+    plain = sorted(map(tuple, text.pair_lines(df).collect()), key=str)
+    assert sorted(map(tuple, kept.drop("item_text", "offer_text").collect()), key=str) == plain
+    want = {(r["text"], r["copies"]) for r in text.corpus(df).collect()}
+    found = text.corpus(kept)
+    assert {(r["text"], r["copies"]) for r in found.collect()} == want == {("a b", 1), ("", 2), ("c d", 1)}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
