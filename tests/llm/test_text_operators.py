@@ -380,3 +380,37 @@ def test_numerals_are_no_letters(spark):
     model = language_mix.learn_from(docs)
     got = {r["doc_id"]: r["lang_pred"] for r in language_mix.identify(docs, model).collect()}
     assert got[1] == "und" and got[0] == "en" and got[2] == "en"
+
+
+def test_short_parts_are_kept_in_a_table_of_fixed_size(monkeypatch):
+    """Whatever comes, the table stays as large as it is and a part is encoded once while it stands there."""
+    asked = []
+
+    def plainly(parts):
+        asked.extend(parts)
+        return [np.array([len(p), *map(ord, p[:9])], "<u4").tobytes() for p in parts]
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 200 * 50)
+    encoder = tokens.ChunkEncoder(plainly)
+    places = len(encoder.table.ids)
+    want = lambda text: b"".join(np.array([len(p), *map(ord, p[:9])], "<u4").tobytes() for p in tokens.parts_of(text))
+    text = "a bb ccc dddd a bb"
+    assert encoder.ids([text, text]) == [want(text)] * 2
+    assert len(asked) == len(set(asked))
+    known = len(asked)
+    assert encoder.ids([text]) == [want(text)] and len(asked) == known
+    many = " ".join(f"w{i} longer{i} much-longer-than-that{i}" for i in range(2000))
+    assert encoder.ids([many, text]) == [want(many), want(text)]
+    assert len(encoder.table.ids) == places and len(encoder.fresh) + len(encoder.old) < 4000
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_parts_side_by_side_give_their_own_ids(library, name):
+    """Words with accents, stops and quotes in one call: few of them need a mark between them."""
+    words = ["Straße", "naïve.", "l'été", "don't", "ÀÉÎ", "<|endoftext|>", "İst", "éa", "x ", "σας", "a×b", "12ab", "日本", "x<y", "%%%"]
+    text = " " + " ".join(f"{a}{b}" for a in words for b in words)
+    encoder = tokens.library_encoder(tokens.tokenizer_file(name))
+    pool, first, size = encoder.encode_raw([f" {w}".encode() for w in words])
+    for w, at, n in zip(words, first, size):
+        assert pool[at : at + n].tolist() == ids_of(library, name, f" {w}"), w
+    assert np.frombuffer(encoder.ids([text])[0], "<u4").tolist() == ids_of(library, name, text)
