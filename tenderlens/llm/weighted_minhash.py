@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tenderlens.llm.common import claim_caches, keep_cache, components, digest, ship, shuffle_parts, stored, table
+from tenderlens.llm.common import claim_caches, few_files, keep_cache, components, digest, ship, shuffle_parts, stored, table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -236,11 +236,14 @@ def signatures(docs: DataFrame, weights, words: int, bands: int, rows: int) -> D
 class _Candidates:
     """Verified links between the texts that share a band with another."""
 
-    def __init__(self, docs: DataFrame, signed: DataFrame, weights, words: int, similarity: float):
+    def __init__(self, docs: DataFrame, signed: DataFrame, weights, words: int, similarity: float, bands: int = BANDS):
         self.weights, self.similarity = weights, similarity
-        self.texts = stored(signed.filter("id IS NOT NULL").dropDuplicates(["id"]).select("id", "t1", "t2", "signature", "keys"))
+        texts = signed.filter("id IS NOT NULL").dropDuplicates(["id"]).select("id", "t1", "t2", "signature", "keys")
+        self.texts = stored(few_files(texts, signed.count()))
         entries = self.texts.select("id", F.explode("keys").alias("key"))
-        buckets = stored(entries.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1"))
+        buckets = entries.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+        # A bucket has two members or more, and each text as many as it has bands.
+        buckets = stored(few_files(buckets, signed.count() * bands // 2))
         self.members = stored(entries.join(buckets, "key").select("key", "id", "leader", "n"))
         wanted = self.members.select("id").distinct().join(self.texts.select("id", "t1", "t2"), "id")
         self.sets = self._sets(docs, wanted, words)
@@ -285,17 +288,19 @@ class _Candidates:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
         columns = filled.select("a", "b", "ha", "ca", "hb", "cb")
-        return stored(columns.mapInArrow(compare, "a binary, b binary, similarity double"))
+        return columns.mapInArrow(compare, "a binary, b binary, similarity double")
 
-    def roots(self, pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
-        """Components after measuring more pairs."""
-        return self._joined(self.measure(pairs).filter(F.col("similarity") >= self.similarity).select("a", "b"), before)
+    def roots(self, pairs: DataFrame, rows: int, before: DataFrame | None = None) -> DataFrame:
+        """Components after measuring more pairs, ``rows`` of them at most."""
+        return self._joined(self.measure(pairs).filter(F.col("similarity") >= self.similarity).select("a", "b"), rows, before)
 
-    def _joined(self, links: DataFrame, before: DataFrame | None) -> DataFrame:
+    def _joined(self, links: DataFrame, rows: int, before: DataFrame | None) -> DataFrame:
         """The components so far stand for all links so far; without a new link they stay."""
-        if before is not None and links.isEmpty():
+        links = stored(few_files(links.distinct(), rows))
+        found = links.count()
+        if before is not None and not found:
             return before
-        return components(links if before is None else links.union(before.select("id", "root")))
+        return components(links, found) if before is None else components(links.union(before.select("id", "root")), found + before.count())
 
     def _open(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs whose ends are still in different components."""
@@ -310,7 +315,8 @@ class _Candidates:
         """
         weights, similarity = self.weights, self.similarity
         placed = self.members.filter("n > 2").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        split = stored(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key"))
+        split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
+        split = stored(few_files(split, self.members.count() // 3))
         dealt = (
             placed.join(split, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -346,16 +352,19 @@ class _Candidates:
         members of different ones. A pair of one component would change nothing, so no
         component is lost by leaving it out.
         """
-        stars = stored(
+        members = self.members.count()
+        stars = (
             self.members.filter("id != leader").groupBy("id", "leader").agg(F.count("*").alias("shared"))
             .withColumn("first", F.row_number().over(Window.partitionBy("id").orderBy(F.col("shared").desc(), "leader")) == 1)
             .select(F.col("id").alias("a"), F.col("leader").alias("b"), "first")
         )
-        roots = self.roots(stars.filter("first").select("a", "b"))
+        stars = stored(few_files(stars, members))
+        ties = stars.count()
+        roots = self.roots(stars.filter("first").select("a", "b"), ties)
         others = stars.filter("NOT first").select("a", "b")
         if not others.isEmpty():
-            roots = self.roots(self._open(others, roots), roots)
-        return self._joined(stored(self._links_in_split_bands(roots)), roots)
+            roots = self.roots(self._open(others, roots), ties, roots)
+        return self._joined(self._links_in_split_bands(roots), members, roots)
 
 
 def _answer(links: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -413,11 +422,12 @@ def near_duplicate_classes(
     ship(spark)
     weights = spark.sparkContext.broadcast(Weights.of(frequencies(docs, words), docs.count()))
     signed = signatures(docs, weights, words, bands, rows)
-    roots = _Candidates(docs, signed, weights, words, similarity).link()
+    roots = _Candidates(docs, signed, weights, words, similarity, bands).link()
     rooted = stored(
         signed.select("doc_id", "t1", "t2", "id").join(roots, "id", "left").select("doc_id", "t1", "t2", F.coalesce("root", "id").alias("root"))
     )
-    least = stored(rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id")))
+    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    least = stored(few_files(least, rooted.count()))
     return rooted.join(least, "root", "left").select(
         "doc_id", "t1", "t2", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "root"
     )
@@ -430,7 +440,8 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     # Rows of a class without any doc_id: the one of least digest stays.
     best = classes.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t1", "t2")).alias("w"))
     single = classes.filter("root IS NULL").select("t1", "t2").distinct()
-    kept = stored(best.select("w.t1", "w.t2").union(single).toDF("_keep_t1", "_keep_t2"))
+    kept = best.select("w.t1", "w.t2").union(single).toDF("_keep_t1", "_keep_t2")
+    kept = stored(few_files(kept, classes.count()))
     t1, t2 = row_key()
     marked = docs.withColumns({"_keep_k1": t1, "_keep_k2": t2})
     match = (F.col("_keep_k1") == F.col("_keep_t1")) & (F.col("_keep_k2") == F.col("_keep_t2"))

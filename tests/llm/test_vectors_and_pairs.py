@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from tenderlens.llm import itq, registry, rotated_codes, sharding, weighted_minhash
+from tenderlens.llm import common, weighted_minhash
 from tenderlens.llm.common import components
 
 VECTORS = "vec_id long, embedding array<float>, label string"
@@ -41,6 +42,46 @@ def test_components(spark, shape):
     assert {i: got.get(i, i) for i in want} == want
 
 
+@pytest.fixture
+def many_partitions(spark):
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_tables_of_near_duplicates_are_few_files(many_partitions, monkeypatch):
+    """Each file costs processes of its own, which for a moment count as much memory as the executor."""
+    spark, cores = many_partitions, many_partitions.sparkContext.defaultParallelism
+    pairs = [(i, i + 1) for i in range(0, 1200, 2)]
+    found = components(spark.createDataFrame(pairs, "a long, b long"))
+    assert len(found.inputFiles()) <= cores and {(r["root"], r["id"]) for r in found.collect()} == set(pairs)
+
+    words = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join([f"t{k // 3}", *words[k // 3 % 20 :], *(f"u{k // 3}x{i}" for i in range(40)), f"e{k % 3}"])) for k in range(300)]
+    files = []
+    stored = weighted_minhash.stored
+    monkeypatch.setattr(weighted_minhash, "stored", lambda df: files.append(len((out := stored(df)).inputFiles())) or out)
+    classes = weighted_minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in classes.collect()} == {k: k - k % 3 for k in range(300)}
+    # Of the tables that it stores, only those whose joins adaptive execution may split are a file for each partition.
+    assert sum(n > cores for n in files) <= 4, files
+
+
+def test_memory_goes_back_when_another_operator_takes_a_worker(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "_claimed", "one")
+    monkeypatch.setattr(common, "release_memory", lambda: given.append(1))
+    for name in ("one", "two", "two", "one"):
+        common.claim_caches(name)
+    assert len(given) == 2
+    monkeypatch.undo()
+    common.release_memory()
+
+
 # --- vectors -----------------------------------------------------------------------------
 
 
