@@ -1,16 +1,23 @@
 """Buyer-supplier graph: weighted edges, modularity communities, community features.
 
 Communities come from repeated parallel local moves followed by contraction. Each sweep is
-one DataFrame job over (vertex, neighbouring community) weights; only counters reach the
-driver. Vertices that are linked never move in the same sweep of the bipartite level, and
-a sweep is kept only if modularity rises, so the result does not depend on task order.
+one job over (vertex, neighbouring community) weights. Up to ``HELD_VERTICES`` vertices the
+driver holds which vertex is in which community, sends that to the tasks, which hold the
+links, and gets the movers back; above, the state is a table too, sweeps are joins, and only
+counters reach the driver. Vertices that are linked never move in the same sweep of the
+bipartite level, and a sweep is kept only if modularity rises, so the result does not depend
+on task order.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -19,6 +26,10 @@ from tenderlens.operators.selection import layout_positions
 from tenderlens.session import planned_small, stored
 
 MIN_GAIN = 1e-9
+# Vertices of a level that the driver holds, some 50 bytes each; a task gets 12 bytes of each.
+HELD_VERTICES = 8_000_000
+# Links in a row of packed ones, some 4 MB; the links of one vertex are in one row, at most one for each vertex.
+PACKED_LINKS = 250_000
 
 
 # Awards without a buyer id share one node; its name can't be that of a buyer.
@@ -189,11 +200,204 @@ def _top_quarter_gain(position: _Position, colour: int) -> float:
     return movers.agg(F.percentile_approx("gain", 0.75).alias("g")).first()["g"]
 
 
-def _settle(level: _Level, settings: GraphSettings) -> _Position:
+class _Joined:
+    """Sweeps of a level as joins of its links and a table of its vertices."""
+
+    def __init__(self, level: _Level, resolution: float):
+        self.level, self.resolution = level, resolution
+
+    def start(self) -> _Position:
+        return _evaluate(self.level, self.level.vertices.withColumn("comm", F.col("v")), self.resolution)
+
+    def moved(self, position: _Position, colour: int, least_gain: float = 0.0) -> _Position:
+        return _evaluate(self.level, _moved(position, colour, least_gain), self.resolution)
+
+    def top_quarter_gain(self, position: _Position, colour: int) -> float:
+        return _top_quarter_gain(position, colour)
+
+    def step(self, position: _Position) -> DataFrame:
+        """(v, comm) of every vertex."""
+        return position.proposals.select("v", "comm")
+
+    def contract(self, position: _Position) -> _Level:
+        return _contract(self.level, position)
+
+
+@dataclass
+class _HeldPosition:
+    """As ``_Position``, by places of vertices in their order: every vertex's community, the vertices that would gain
+    by moving, where to, and how much."""
+
+    comm: np.ndarray
+    willing: np.ndarray
+    best: np.ndarray
+    gains: np.ndarray
+    modularity: float
+    movers: tuple[int, int]
+
+
+_LINK_ROWS = "src binary, n_links binary, degree binary, dst binary, w binary"
+
+
+def _packed_links(level: _Level, ids: np.ndarray, degree: np.ndarray) -> DataFrame:
+    """The links, stored in rows of some ``PACKED_LINKS``: the vertices they leave, how many leave each, and where to.
+    Vertices are named by their place in ``ids``."""
+    spark, most = level.links.sparkSession, PACKED_LINKS
+    shared = spark.sparkContext.broadcast((ids, degree))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, degree = shared.value
+
+        def row(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+            at = np.searchsorted(ids, src[first])
+            n_links = np.diff(np.r_[first, len(src)])
+            columns = [at.astype("i4"), n_links.astype("i4"), degree[at], np.searchsorted(ids, dst).astype("i4"), w]
+            return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], "binary") for c in columns], [c.split()[0] for c in _LINK_ROWS.split(", ")])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "w")))
+            if sum(len(x[0]) for x in held) >= most and held[-1][0][0] != held[-1][0][-1]:
+                src, dst, w = (np.concatenate(c) for c in zip(*held))
+                cut = np.searchsorted(src, src[-1])  # the last vertex may go on in the next batch
+                yield row(src[:cut], dst[:cut], w[:cut])
+                held = [(src[cut:], dst[cut:], w[cut:])]
+        if held:
+            yield row(*(np.concatenate(c) for c in zip(*held)))
+
+    parts = -(-level.links.count() // most)
+    ordered = level.links.repartitionByRange(max(1, parts), "src").sortWithinPartitions("src", "dst")
+    rows = stored(ordered.mapInArrow(packed, _LINK_ROWS))
+    shared.destroy()
+    return rows
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Each row of packed links: vertices, links of each, their degrees, and where links lead with their weights."""
+    kinds = ("i4", "i4", "f8", "i4", "f8")
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            yield tuple(np.frombuffer(x, k) for x, k in zip(row, kinds))
+
+
+def _sums(rows: np.ndarray, columns: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights summed up by (row, column), both below ``n``, in their order."""
+    key = rows.astype("i8") * n + columns
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first] // n, key[first] % n, np.add.reduceat(w[order], first)
+
+
+def _best_moves(src, n_links, degree, dst, w, comm, totals, pull) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the vertices ``src``: their weight into their own communities in all, and for each that gains by moving its
+    place, the best community (of equal ones the first) and the gain; as ``_proposals``."""
+    at, to, k = _sums(np.repeat(np.arange(len(src)), n_links), comm[dst], w, len(comm))
+    pull, home = degree * pull, comm[src]
+    own = to == home[at]
+    k_own = np.zeros(len(src))
+    k_own[at[own]] = k[own]
+    at, to = at[~own], to[~own]
+    if not len(at):
+        return k_own.sum(), src[:0], comm[:0], degree[:0]
+    score = k[~own] - pull[at] * totals[to]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    top = np.maximum.reduceat(score, first)
+    best = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[first, len(at)])))
+    best = best[np.r_[True, at[best][1:] != at[best][:-1]]]
+    at = at[first]
+    gain = top - (k_own[at] - pull[at] * (totals[home[at]] - degree[at]))
+    willing = gain > MIN_GAIN
+    return k_own.sum(), src[at[willing]], to[best][willing].astype(comm.dtype), gain[willing]
+
+
+class _Held:
+    """Sweeps of a level whose vertices the driver holds in arrays; its links are stored once, in packed rows."""
+
+    def __init__(self, level: _Level, resolution: float):
+        self.level, self.resolution = level, resolution
+        self.spark = level.links.sparkSession
+        vertices = level.vertices.select("v", "degree", "loop", "colour").toArrow()
+        ids, degree, loop, colour = (c.to_numpy() for c in vertices.columns)
+        order = np.argsort(ids)
+        self.ids, self.degree, self.loop, self.colour = ids[order], degree[order], loop[order], colour[order]
+        self.links = _packed_links(level, self.ids, self.degree)
+
+    def start(self) -> _HeldPosition:
+        return self._evaluate(np.arange(len(self.ids), dtype="i4"))
+
+    def moved(self, position: _HeldPosition, colour: int, least_gain: float = 0.0) -> _HeldPosition:
+        move = (self.colour[position.willing] == colour) & (position.gains >= least_gain)
+        comm = position.comm.copy()
+        comm[position.willing[move]] = position.best[move]
+        return self._evaluate(comm)
+
+    def top_quarter_gain(self, position: _HeldPosition, colour: int) -> float:
+        gains = position.gains[self.colour[position.willing] == colour]
+        at = math.ceil(0.75 * len(gains)) - 1
+        return float(np.partition(gains, at)[at])
+
+    def step(self, position: _HeldPosition) -> DataFrame:
+        """(v, comm) of every vertex."""
+        return self.spark.createDataFrame(pa.table({"v": self.ids, "comm": self.ids[position.comm]}))
+
+    def _evaluate(self, comm: np.ndarray) -> _HeldPosition:
+        total = self.level.total
+        totals = np.bincount(comm, self.degree, len(comm))
+        pull = self.resolution / total
+        shared = self.spark.sparkContext.broadcast((comm, totals))
+
+        def moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            comm, totals = shared.value
+            for row in _unpacked(batches):
+                inside, *found = _best_moves(*row, comm, totals, pull)
+                columns = [pa.array([float(inside)]), *(pa.array([x.tobytes()], "binary") for x in found)]
+                yield pa.RecordBatch.from_arrays(columns, ["inside", "v", "best", "gain"])
+
+        rows = self.links.mapInArrow(moves, "inside double, v binary, best binary, gain binary").toArrow().to_pydict()
+        shared.destroy()
+        willing, best, gains = (
+            np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("v", "i4"), ("best", "i4"), ("gain", "f8"))
+        )
+        modularity = (
+            (math.fsum(rows["inside"]) + self.loop.sum()) / total
+            - self.resolution * np.dot(self.degree, totals[comm]) / (total * total)
+        )
+        second = int(np.count_nonzero(self.colour[willing]))
+        return _HeldPosition(comm, willing, best, gains, float(modularity), (len(willing) - second, second))
+
+    def contract(self, position: _HeldPosition) -> _Level:
+        """As ``_contract``: links are summed up in their rows before they are shuffled."""
+        shared = self.spark.sparkContext.broadcast((position.comm, self.ids))
+
+        def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            comm, ids = shared.value
+            for src, n_links, _, dst, w in _unpacked(batches):
+                a, b, w = _sums(np.repeat(comm[src], n_links), comm[dst], w, len(comm))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], w)], ["src", "dst", "w"])
+
+        partial = self.links.mapInArrow(between, "src long, dst long, w double")
+        links = stored(partial.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+        shared.destroy()
+        inside = links.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("v"), "w")
+        at = np.unique(position.comm)
+        sums = (np.bincount(position.comm, x, len(self.ids))[at] for x in (self.degree, self.loop))
+        held = self.spark.createDataFrame(pa.table(dict(zip(("v", "degree", "loop"), (self.ids[at], *sums)))))
+        vertices = held.join(inside, "v", "left").select(
+            "v", "degree", (F.col("loop") + F.coalesce("w", F.lit(0.0))).alias("loop"),
+            F.pmod(F.xxhash64("v"), F.lit(2)).cast("int").alias("colour"),
+        )
+        return _Level(links.filter(F.col("src") != F.col("dst")), stored(vertices), self.level.total)
+
+
+def _settle(level: _Level, settings: GraphSettings, held: int = HELD_VERTICES) -> tuple[_Joined | _Held, _Position | _HeldPosition]:
     """Move colours in turn until neither raises modularity enough. A bound on sweeps that is
     reached is an error, not an early result."""
-    start = level.vertices.withColumn("comm", F.col("v"))
-    position = _evaluate(level, start, settings.resolution)
+    sweeps = (_Held if level.vertices.count() <= held else _Joined)(level, settings.resolution)
+    position = sweeps.start()
     idle, colour = 0, 0
     for sweep in count():
         if idle == 2 or position.movers == (0, 0):
@@ -202,15 +406,14 @@ def _settle(level: _Level, settings: GraphSettings) -> _Position:
             raise RuntimeError(f"communities: modularity still rises after {sweep} sweeps of a level")
         before = position.modularity
         if position.movers[colour]:
-            tried = _evaluate(level, _moved(position, colour, 0.0), settings.resolution)
+            tried = sweeps.moved(position, colour)
             if tried.modularity <= before + MIN_GAIN and position.movers[colour] > 1:
-                least = _top_quarter_gain(position, colour)
-                tried = _evaluate(level, _moved(position, colour, least), settings.resolution)
+                tried = sweeps.moved(position, colour, sweeps.top_quarter_gain(position, colour))
             if tried.modularity > before + MIN_GAIN:
                 position = tried
         idle = 0 if position.modularity >= before + settings.min_rise else idle + 1
         colour = 1 - colour
-    return position
+    return sweeps, position
 
 
 def _contract(level: _Level, position: _Position) -> _Level:
@@ -256,11 +459,13 @@ def connected_parts(links: DataFrame, member: DataFrame) -> DataFrame:
         state = stored(hooked.join(named, "_new").select("v", F.col("_next").alias("part")))
 
 
-def communities(edges: DataFrame, settings: GraphSettings = GraphSettings()) -> DataFrame:
+def communities(
+    edges: DataFrame, settings: GraphSettings = GraphSettings(), held: int = HELD_VERTICES
+) -> DataFrame:
     """(id, community) for every node, communities numbered by size, largest first.
 
     Equal sizes are ordered by their smallest node id. Every community is connected: what moves and
-    contraction left apart is split at the end.
+    contraction left apart is split at the end. A level of more than ``held`` vertices is swept by joins.
     """
     level, names = _first_level(edges)
     links = level.links
@@ -272,16 +477,16 @@ def communities(edges: DataFrame, settings: GraphSettings = GraphSettings()) ->
         if settings.max_levels is not None and depth >= settings.max_levels:
             raise RuntimeError(f"communities: modularity still rises after {depth} levels")
         with planned_small(edges.sparkSession, level.links.count()):
-            position = _settle(level, settings)
+            sweeps, position = _settle(level, settings, held)
         if reached is not None and position.modularity <= reached + MIN_GAIN:
             break
         last = reached is not None and position.modularity < reached + settings.min_rise
         reached = position.modularity
-        step = position.proposals.select(F.col("v").alias("comm"), F.col("comm").alias("next"))
+        step = sweeps.step(position).select(F.col("v").alias("comm"), F.col("comm").alias("next"))
         member = stored(member.join(step, "comm").select("id", "rank", F.col("next").alias("comm")))
         if last:
             break
-        level = _contract(level, position)
+        level = sweeps.contract(position)
     parts = connected_parts(links, member.select(F.col("rank").alias("v"), "comm"))
     return number_by_size(member.select("id", "rank").join(parts.withColumnRenamed("v", "rank"), "rank"))
 

@@ -188,3 +188,29 @@ def test_a_sweep_of_a_small_graph_is_one_job_beside_its_broadcasts(spark):
     jobs = sc.statusTracker().getJobIdsForGroup("sweep-of-test")
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) <= 4  # three small sides are broadcast; a job for each shuffle, the sums and the schema came on top
+
+
+def _random_edges(spark, n=300):
+    rng = random.Random(3)
+    rows = sorted({(f"I:{rng.randrange(n // 3)}", f"P:{rng.randrange(n // 2)}") for _ in range(n)})
+    return spark.createDataFrame([(a, b, 1.0 + i % 4) for i, (a, b) in enumerate(rows)], "src string, dst string, weight double")
+
+
+def test_held_sweeps_give_the_communities_of_joined_ones(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PACKED_LINKS", 50)  # several rows of links, so vertices are cut apart
+    edges = stored(_random_edges(spark))
+    held, joined = (sorted(map(tuple, graph.communities(edges, held=n).collect())) for n in (10**6, 0))
+    assert held == joined
+
+
+def test_a_held_sweep_shuffles_nothing(spark):
+    level, _ = graph._first_level(_random_edges(spark))
+    sweeps, position = graph._settle(level, GraphSettings())
+    assert isinstance(sweeps, graph._Held)
+    sc = spark.sparkContext
+    sc.setJobGroup("held-sweep-of-test", "")
+    again = sweeps.moved(position, 0)
+    jobs = sc.statusTracker().getJobIdsForGroup("held-sweep-of-test")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs] == [1]
+    assert again.comm.dtype.itemsize == 4 and len(again.comm) == level.vertices.count()
