@@ -120,16 +120,26 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document asks, the next one answers."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    answers = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("offer_text"))
-    kind = F.col("doc_id") % 3
-    return docs.join(answers, "doc_id", "left").select(
-        F.floor(F.col("doc_id") / 4).alias("tender_id"),
+    """Each document asks, the next one answers.
+
+    Runs of 64 ids lie together, and the first document of a run also comes to the run before it, so a text is
+    shuffled once instead of once as question and once as answer. Documents without an id have no answer.
+    """
+    doc = F.col("doc_id")
+    own = F.shiftright(doc, 6)
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn(
+        "run", F.explode(F.when(doc % 64 == 0, F.array(own, own - 1)).otherwise(F.array(F.coalesce(own, F.xxhash64("text")))))
+    )
+    after = Window.partitionBy("run").orderBy("doc_id").rangeBetween(1, 1)
+    answered = docs.withColumn("answers", F.when(doc.isNotNull(), F.collect_list(F.struct(F.col("text").alias("offer_text"))).over(after)))
+    asked = answered.filter(doc.isNull() | (own == F.col("run")))
+    kind = doc % 3
+    return asked.withColumn("answer", F.explode_outer("answers")).select(
+        F.floor(doc / 4).alias("tender_id"),
         F.when(kind == 0, WON).when(kind == 1, LOST).otherwise(OTHER).alias("outcome"),
         "doc_id",
         F.col("text").alias("item_text"),
-        "offer_text",
+        "answer.offer_text",
     )
 
 

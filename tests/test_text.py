@@ -192,3 +192,63 @@ def test_texts_are_read_off_the_pair_counts(spark):
     found = text.corpus(kept)
     assert {(r["text"], r["copies"]) for r in found.collect()} == want == {("a b", 1), ("", 2), ("c d", 1)}
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _prose(spark, n=40):
+    """A few frequent words among rare ones, in texts of both sides; one text without words and one missing."""
+    rng = np.random.default_rng(7)
+    def sentence(i):
+        return " ".join(f"w{min(int(rng.zipf(1.3)), 40)}" if rng.random() < 0.7 else f"rare{i}x{j}" for j in range(30))
+    texts = [sentence(i) for i in range(n)] + ["", None]
+    return lines(spark, [(str(i // 4), ("won", "lost", "other")[i % 3], a, b) for i, (a, b) in enumerate(zip(texts, [*texts[1:], "¿? !"]))])
+
+
+def test_vocabulary_counts_only_terms_of_heavy_buckets(spark, monkeypatch):
+    words = text.stored(text.word_lists(text.corpus(_prose(spark))))
+    every = text.term_totals(words).filter(F.col("n_texts") >= 3)
+    want = sorted((r["term"], r["n_texts"], r["occurrences"]) for r in every.orderBy(F.desc("occurrences"), "term").limit(10).collect())
+    seen, plain = [], text.term_totals
+    def counted(*a, heavy=None, **b):
+        df = plain(*a, heavy=heavy, **b)
+        seen.append(None if heavy is None else df.count())
+        return df
+    monkeypatch.setattr(text, "term_totals", counted)
+    def found():
+        return sorted((r["term"], r["n_texts"], r["occurrences"]) for r in text._most_frequent(words, 3, 10).collect())
+    assert found() == want and seen[0] < plain(words).count() / 10
+    # A cut that was set too high is lowered until it holds.
+    seen.clear()
+    monkeypatch.setattr(text, "_likely_cut", lambda counts, terms: 10**5)
+    assert found() == want and len(seen) > 1
+
+
+def test_each_document_meets_the_next_one(spark, tmp_path):
+    from catalog import bindings
+
+    ids = [*range(-3, 3), 62, 63, 64, 64, 65, 127, 128, 128, 130, None, None, 2**62, 2**62 + 1]
+    rows = [(d, f"text {i}" if i % 7 else None, "en") for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = bindings.text_lines(spark, str(tmp_path))
+    want = sorted(((d, t, u) for d, t, _ in rows for u in ([u for e, u, _ in rows if d is not None and e == d + 1] or [None])), key=str)
+    assert sorted(((r["doc_id"], r["item_text"], r["offer_text"]) for r in got.collect()), key=str) == want
+    assert {r["outcome"] for r in got.filter("doc_id IS NULL").collect()} == {"other"}
+    # Texts are shuffled once, not as questions and as answers.
+    fresh = bindings.text_lines(spark, str(tmp_path))
+    assert str(fresh._jdf.queryExecution().executedPlan()).count("Exchange") == 1
+
+
+def test_what_was_shuffled_for_a_stored_table_is_deleted(spark):
+    import time
+    from pathlib import Path
+
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    def shuffled():
+        return {p.name for d in folders for p in Path(d.getPath()).rglob("shuffle_*.data")}
+    before, setting = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    table = text.stored(spark.range(1000).repartition(3, "id"))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == setting
