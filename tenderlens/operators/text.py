@@ -279,18 +279,64 @@ def _lookup(vocabulary: DataFrame, listed: int) -> _Lookup | None:
     return _Lookup(numbers, terms[order], ids[order], idf)
 
 
+def _to_varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as bytes of seven bits, all but the last of a number marked; and where each ends."""
+    size = 1 + sum((values >> 7 * k > 0).astype("i8") for k in range(1, 5))
+    ends = np.cumsum(size)
+    data = np.zeros(ends[-1] if len(ends) else 0, "u1")
+    for k in range(size.max(initial=0)):
+        longer = size > k
+        data[(ends - size)[longer] + k] = values[longer] >> 7 * k & 127 | np.where(size[longer] > k + 1, 128, 0)
+    return data, ends
+
+
+def _from_varints(data: np.ndarray) -> np.ndarray:
+    ends = np.flatnonzero(data < 128) + 1
+    size = np.diff(np.r_[0, ends])
+    shift = 7 * (np.arange(len(data)) - np.repeat(ends - size, size))
+    return np.add.reduceat((data & 127).astype("i8") << shift, ends - size) if len(ends) else ends
+
+
+def _packed_terms(at: np.ndarray, ids: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The texts with terms, and for each its terms in a few bytes: steps from id to id, each with its frequency."""
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    steps = np.diff(ids, prepend=0)
+    steps[first] = ids[first]
+    data, ends = _to_varints(np.stack([steps, tf], 1).ravel())
+    offsets = np.r_[0, ends[2 * np.r_[first[1:], len(ids)] - 1]] if len(ids) else np.zeros(1)
+    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype("i4")), pa.py_buffer(data)])
+    return at[first], packed
+
+
+def _unpacked_terms(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and frequency of each term of packed ones; a null has none."""
+    _, offsets, data = packed.buffers()
+    ends = np.frombuffer(offsets, "i4")[packed.offset : packed.offset + len(packed) + 1]
+    data = np.frombuffer(data, "u1")[ends[0] : ends[-1]] if data else np.zeros(0, "u1")
+    values = _from_varints(data)
+    n_terms = np.diff(np.r_[0, np.cumsum(data < 128)][ends - ends[0]]) // 2
+    at, steps = np.repeat(np.arange(len(packed)), n_terms), values[::2]
+    summed = np.cumsum(steps)
+    first = np.cumsum(n_terms) - n_terms
+    some = n_terms > 0
+    base = np.zeros(len(packed), "i8")
+    base[some] = summed[first[some]] - steps[first[some]]
+    return at, summed - base[at], values[1::2]
+
+
 def tfidf_vectors(
-    texts: DataFrame, vocabulary: DataFrame, words: DataFrame | None = None, listed: int = LISTED_TERMS
+    texts: DataFrame, vocabulary: DataFrame, words: DataFrame | None = None, listed: int = LISTED_TERMS, packed: bool = False
 ) -> DataFrame:
     """One sparse unit vector per text with at least one known term. A vocabulary of ``listed`` terms at most travels
-    to the tasks, which look up the terms of a text in its own row; a larger one is joined."""
+    to the tasks, which look up the terms of a text in its own row; a larger one is joined. ``packed`` keeps ids and
+    frequencies instead, in some two bytes a term, for ``pair_cosines``; not with a larger vocabulary."""
     words = word_lists(texts) if words is None else words
     vocabulary = stored(vocabulary.select("term", "term_id", "idf"))
     lookup = _lookup(vocabulary, listed)
     if lookup is None:
         return _joined_vectors(words, vocabulary)
     shared = words.sparkSession.sparkContext.broadcast(lookup)
-    slices = _slices
+    slices, pack = _slices, _packed_terms
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
@@ -298,17 +344,21 @@ def tfidf_vectors(
         for batch in batches:
             for part in slices(batch, "words"):
                 at, ids, tf = of.terms_of(part.column("words"))
-                w = tf * of.idf[ids]
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                kept, norms = at[first], np.sqrt(np.add.reduceat(w * w, first)) if len(first) else w
-                entries = pa.StructArray.from_arrays([pa.array(ids, "int32"), pa.array(w)], fields=[*kind.value_type])
-                terms = pa.ListArray.from_arrays(pa.array(np.r_[first, len(ids)], "int32"), entries, type=kind)
-                columns, names = [pa.array(norms), terms], ["norm", "terms"]
+                if packed:
+                    kept, terms = pack(at, ids, tf)
+                    columns, names = [terms], ["terms"]
+                else:
+                    w = tf * of.idf[ids]
+                    first = np.flatnonzero(np.diff(at, prepend=-1))
+                    kept, norms = at[first], np.sqrt(np.add.reduceat(w * w, first)) if len(first) else w
+                    entries = pa.StructArray.from_arrays([pa.array(ids, "int32"), pa.array(w)], fields=[*kind.value_type])
+                    terms = pa.ListArray.from_arrays(pa.array(np.r_[first, len(ids)], "int32"), entries, type=kind)
+                    columns, names = [pa.array(norms), terms], ["norm", "terms"]
                 own = part.select(["slot", "text_hash"]).take(pa.array(kept, "int64"))
                 yield pa.RecordBatch.from_arrays([*own.columns, *columns], ["slot", "text_hash", *names])
 
-    schema = "slot long, text_hash string, norm double, terms array<struct<id: int, w: double>>"
-    return words.select("slot", "text_hash", "words").mapInArrow(vectors, schema)
+    of_terms = "terms binary" if packed else "norm double, terms array<struct<id: int, w: double>>"
+    return words.select("slot", "text_hash", "words").mapInArrow(vectors, f"slot long, text_hash string, {of_terms}")
 
 
 def _joined_vectors(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -336,8 +386,10 @@ def distinct_pairs(lines: DataFrame) -> DataFrame:
     return lines.select("a_hash", "b_hash").distinct()
 
 
-def pair_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of each text pair; 0 when either text has no known term."""
+def pair_cosines(pairs: DataFrame, vectors: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Cosine of each text pair; 0 when either text has no known term. Packed vectors need their vocabulary."""
+    if dict(vectors.dtypes)["terms"] == "binary":
+        return _packed_cosines(pairs, vectors, vocabulary)
     a = vectors.select(F.col("text_hash").alias("a_hash"), F.col("norm").alias("a_norm"), F.col("terms").alias("a_terms"))
     b = vectors.select(F.col("text_hash").alias("b_hash"), F.col("norm").alias("b_norm"), F.col("terms").alias("b_terms"))
     return pairs.join(a, "a_hash", "left").join(b, "b_hash", "left").select(
@@ -349,6 +401,33 @@ def pair_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     )
 
 
+def _packed_cosines(pairs: DataFrame, vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    known = vocabulary.select("term_id", "idf").collect()
+    idf = np.zeros(max((r["term_id"] for r in known), default=-1) + 1)
+    idf[[r["term_id"] for r in known]] = [r["idf"] for r in known]
+    shared = pairs.sparkSession.sparkContext.broadcast(idf)
+    slices, unpacked = _slices, _unpacked_terms
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = shared.value
+        for batch in batches:
+            for part in slices(batch, "a_terms", "b_terms"):
+                n = part.num_rows
+                sides = [unpacked(part.column(c)) for c in ("a_terms", "b_terms")]
+                (a, a_w), (b, b_w) = ((at * len(idf) + ids, tf * idf[ids]) for at, ids, tf in sides)
+                norms = [np.sqrt(np.bincount(at, w * w, n)) for (at, *_), w in zip(sides, (a_w, b_w))]
+                place = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+                hit = np.flatnonzero(b[place] == a) if len(b) else place[:0]
+                dots = np.bincount(sides[0][0][hit], a_w[hit] * b_w[place[hit]], n)
+                scale = norms[0] * norms[1]
+                similarity = np.divide(dots, scale, out=np.zeros(n), where=scale > 0)
+                yield pa.RecordBatch.from_arrays([part.column("a_hash"), part.column("b_hash"), pa.array(similarity)], ["a_hash", "b_hash", "similarity"])
+
+    a, b = (vectors.select(F.col("text_hash").alias(f"{x}_hash"), F.col("terms").alias(f"{x}_terms")) for x in "ab")
+    joined = pairs.join(a, "a_hash", "left").join(b, "b_hash", "left").select("a_hash", "b_hash", "a_terms", "b_terms")
+    return joined.mapInArrow(cosines, "a_hash string, b_hash string, similarity double")
+
+
 def lexical_similarity(
     hashed: DataFrame, settings: TextSettings = TextSettings(), pairs: DataFrame | None = None, listed: int = LISTED_TERMS
 ) -> DataFrame:
@@ -360,8 +439,8 @@ def lexical_similarity(
     pairs = stored(distinct_pairs(hashed)) if pairs is None else pairs
     with stored_meanwhile(word_lists(corpus(hashed))) as words:
         vocabulary = stored(fit_vocabulary(words, settings, words))
-        vectors = stored(tfidf_vectors(words, vocabulary, words, listed))
-    return pair_cosines(pairs, vectors)
+        vectors = stored(tfidf_vectors(words, vocabulary, words, listed, packed=True))
+    return pair_cosines(pairs, vectors, vocabulary)
 
 
 def delta_similarity(lines: DataFrame, pair_similarity: DataFrame, suffix: str) -> DataFrame:

@@ -222,6 +222,34 @@ def test_vocabulary_counts_only_terms_of_heavy_buckets(spark, monkeypatch):
     assert found() == want and len(seen) > 1
 
 
+def test_packed_terms_round_trip():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    at = np.repeat([0, 2, 3], [3, 1, 200])
+    ids = np.concatenate([[0, 5, 300_000], [199_999], np.sort(rng.choice(40_000, 200, replace=False))])
+    tf = rng.integers(1, 20_000, len(ids))
+    kept, packed = text._packed_terms(at, ids, tf)
+    assert kept.tolist() == [0, 2, 3]
+    rows = pa.array([None, *packed.to_pylist(), None])
+    for shift, some in ((1, rows), (0, rows.slice(1, 3))):
+        got = text._unpacked_terms(some)
+        assert got[0].tolist() == (np.searchsorted([0, 2, 3], at) + shift).tolist()
+        assert got[1].tolist() == ids.tolist() and got[2].tolist() == tf.tolist()
+    assert [len(x) for x in text._unpacked_terms(pa.array([None, None], "binary"))] == [0, 0, 0]
+    assert [len(x) for x in text._packed_terms(at[:0], ids[:0], tf[:0])] == [0, 0]
+
+
+def test_packed_cosines_equal_those_of_sparse_rows(spark):
+    hashed = _prose(spark)
+    settings = TextSettings(max_terms=60, min_texts=2)
+    packed, rows = (
+        {(r["a_hash"], r["b_hash"]): r["similarity"] for r in text.lexical_similarity(hashed, settings, listed=n).collect()}
+        for n in (1000, 0)
+    )
+    assert packed == pytest.approx(rows) and len(packed) == 42 and 0.0 in packed.values() and max(packed.values()) > 0.1
+
+
 def test_each_document_meets_the_next_one(spark, tmp_path):
     from catalog import bindings
 
