@@ -322,7 +322,10 @@ def tfidf_pair_similarity(spark, sf):
 @query
 def delta_similarity(spark, sf):
     hashed = text.with_text_hashes(b.text_lines(spark, sf))
-    deltas = text.delta_similarity(text.pair_lines(hashed), text.lexical_similarity(hashed, b.SETTINGS.text), "tfidf")
+    # Read twice, and far smaller than the texts it is made of.
+    lines = stored(text.pair_lines(hashed))
+    similarity = text.lexical_similarity(hashed, b.SETTINGS.text, text.distinct_pairs(lines))
+    deltas = text.delta_similarity(lines, similarity, "tfidf")
     return rounded(deltas, "sim_won_tfidf", "sim_lost_tfidf", "delta_sim_tfidf")
 
 
